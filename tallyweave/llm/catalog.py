@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mixing, percentiles, reservoir, survivor
+from . import leaks, mixing, percentiles, reservoir, survivor, syntax
 
 METRICS = ["elapsed_ms", "peak_memory_bytes"]
 
@@ -23,6 +23,15 @@ def p2_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reservoir.merged_reservoirs(table(spark, sf_dir, "reservoir"), ["language", "size_bucket"])
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.check_files(table(spark, sf_dir, "file_contents"), ["file_id"]).filter("not _valid").select("file_id")
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of invalid files per repository and language."""
+    return syntax.invalid_rates(syntax.check_files(table(spark, sf_dir, "file_contents"), ["repository"]), ["repository"])
+
+
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact percentiles per language."""
     runs = table(spark, sf_dir, "robustness_full")
@@ -37,6 +46,15 @@ def p4_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_per_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each leaked item is in."""
+    return p8_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of each document of the training set."""
     return mixing.token_mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
@@ -97,10 +115,14 @@ where rank = greatest(1, (n * permille + 999) // 1000)
 QUERIES = {
     "p2_samples": p2_samples,
     "p2_merged": p2_merged,
+    "p3_found": p3_found,
+    "p3_rates": p3_rates,
     "p4_percentiles": p4_percentiles,
     "p4_combined": p4_combined,
     "p7_found": p7_found,
     "p7_survivors": p7_survivors,
+    "p8_found": p8_found,
+    "p8_per_item": p8_per_item,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
 }
