@@ -193,7 +193,7 @@ class Tables:
         self.lengths = [len(r) for _, r in prods]
         self.lefts = [left for left, _ in prods]
         self.start_empty = grammar.start_empty
-        self.terminals = {x for _, r in prods for x in r if x not in by}
+        self.terminals = {x for _, r in prods for x in r if x not in by and not x.isupper()}  # the words and marks
         del closures
 
     @staticmethod
