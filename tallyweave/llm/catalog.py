@@ -8,11 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leaks, mixing, percentiles, reservoir, survivor, syntax
+from . import handwritten, leaks, mixing, percentiles, reservoir, survivor, syntax
 
 METRICS = ["elapsed_ms", "peak_memory_bytes"]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.judged_files(table(spark, sf_dir, "file_contents")).filter("reason is not null").select("file_id")
+
+
+def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled files per language and reason, and the median peak memory of their runs."""
+    key = ["repository", "commit", "path"]
+    files = table(spark, sf_dir, "file_contents")
+    judged = files.select("file_id", *key, "language").join(handwritten.judged_files(files), "file_id")
+    sampled = table(spark, sf_dir, "candidates").select(*key).distinct()
+    peaks = table(spark, sf_dir, "robustness_full").groupBy(*key).agg(F.max("peak_memory_bytes").alias("peak_memory_bytes"))
+    joined = judged.join(sampled, key, "left_semi").join(peaks, key, "left")
+    return joined.groupBy("language", F.coalesce("reason", F.lit("hand_written")).alias("reason")).agg(F.count(F.lit(1)).alias("files"), F.percentile("peak_memory_bytes", 0.5).alias("median_peak_memory_bytes"))
+
+
 def p2_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece by piece from the stream of candidates."""
     return reservoir.reservoirs(table(spark, sf_dir, "candidates"), ["language", "size_bucket"], "candidate_id", "piece", capacity=16)
@@ -113,6 +128,8 @@ where rank = greatest(1, (n * permille + 999) // 1000)
 """
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_reasons": p1_reasons,
     "p2_samples": p2_samples,
     "p2_merged": p2_merged,
     "p3_found": p3_found,
