@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import handwritten, leaks, mixing, percentiles, reservoir, survivor, syntax
+from . import abuse, handwritten, leaks, mixing, percentiles, reservoir, survivor, syntax
 
 METRICS = ["elapsed_ms", "peak_memory_bytes"]
 
@@ -88,6 +88,29 @@ def p7_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.survivors(table(spark, sf_dir, "robustness_full"))
 
 
+#: Score from which a document is abusive.
+ABUSIVE = 0.5
+
+
+def _abuse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return abuse.scored(docs, abuse.fit_on(docs, table(spark, sf_dir, "doc_labels")), ["doc_id", "source"])
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse_scores(spark, sf_dir).filter(F.col("score") > ABUSIVE).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of abusive documents per source."""
+    return (
+        _abuse_scores(spark, sf_dir)
+        .groupBy("source")
+        .agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("score") > ABUSIVE).alias("abusive"))
+        .withColumn("rate", F.col("abusive") / F.col("documents"))
+    )
+
+
 _P7 = r"""
 with clean as (
   select r.*, regexp_replace(regexp_replace(lower(trim(repository)), '^(\./|[/\s])+', ''), '(\.git|[/\s])+$', '') as repo,
@@ -142,6 +165,8 @@ QUERIES = {
     "p8_per_item": p8_per_item,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
 }
 SQL = {
     "p4_percentiles": _P4,
