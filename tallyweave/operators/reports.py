@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def census(changes: DataFrame, key: Column, repository: str, lines: Column, binary: Column, sample: str) -> DataFrame:
@@ -173,10 +174,11 @@ def histogram(rows: DataFrame, by: Sequence[str], value: str, bins: int, trim: f
     """by, bin, n: equal bins (of the logarithm) up to the percentile `trim` of each group; larger values are left out by design."""
     v = F.col(value).cast("double")
     known = rows.filter(v > 0 if log else v.isNotNull()).withColumn("_v", F.log10(v) if log else v)
-    edges = known.groupBy(*by).agg(F.min("_v").alias("_lo"), F.percentile("_v", trim).alias("_hi"))
-    joined = known.join(F.broadcast(edges) if by else edges, [known[b].eqNullSafe(edges[b]) for b in by] or None, "inner") if by else known.crossJoin(F.broadcast(edges))
+    edges = known.groupBy(*(F.col(b).alias(f"_{b}") for b in by)).agg(F.min("_v").alias("_lo"), F.percentile("_v", trim).alias("_hi"))
+    same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by] or [F.lit(True)]
+    joined = known.join(edges, same)
     bin_ = F.when(F.col("_hi") == F.col("_lo"), 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)))
-    return joined.filter("_v <= _hi").groupBy(*(known[b] for b in by), bin_.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return joined.filter("_v <= _hi").groupBy(*by, bin_.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def lognormal(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -220,6 +222,6 @@ def round_robin(rows: DataFrame, order: Sequence[str], shards: int) -> DataFrame
     """
     spark = rows.sparkSession
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = ranged.schema.add("_i", "bigint", False)
+    schema = StructType([*ranged.schema.fields, StructField("_i", LongType(), False)])
     numbered = spark.createDataFrame(ranged.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
     return numbered.withColumn("shard", F.pmod("_i", F.lit(shards)).cast("int")).drop("_i")

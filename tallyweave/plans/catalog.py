@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core_problems
+from . import core_problems, corpus_queries, diff_queries
 
-QUERIES = {**core_problems.QUERIES}
-SQL = {**core_problems.SQL}
+QUERIES = {**core_problems.QUERIES, **corpus_queries.QUERIES, **diff_queries.QUERIES}
+SQL = {**core_problems.SQL, **corpus_queries.SQL, **diff_queries.SQL}
 
-flagship = core_problems.p5_found
+flagship = diff_queries.line_multiset_diff
