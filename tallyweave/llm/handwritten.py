@@ -17,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
+from ..session import cut_lineage
 from .syntax import known_language
 
 #: Order of the identifier models, and the number of symbols: letters, digits, `_`, other, end.
@@ -150,11 +152,11 @@ def names_of(text: str) -> list[str]:
     return _NAME.findall(_STRING.sub(" ", _COMMENT.sub(" ", text)))
 
 
-def triples(text: str) -> list[str]:
+def triples(text: str) -> list[int]:
     """Three compound names in a row, in the order of their first use: what a copy keeps and chance doesn't repeat."""
     seen = dict.fromkeys(x for x in names_of(text) if len(x) > 5 and ("_" in x.strip("_") or re.search(r"[a-z][A-Z]", x)))
     line = list(seen)
-    return [" ".join(line[i : i + 3]) for i in range(len(line) - 2)]
+    return [xxh3_64_intdigest(" ".join(line[i : i + 3])) - (1 << 63) for i in range(len(line) - 2)]
 
 
 def train(df: DataFrame, language: str, content: str) -> dict[str, np.ndarray]:
@@ -253,19 +255,20 @@ def judged_files(
                 bits.append(b)
                 lists.append([] if reason in ("data", "mangled?") else sorted(set(triples(text))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array(reasons, pa.string()), pa.array(bits, pa.float64()), pa.array(named, pa.float64()), pa.array(lists, pa.list_(pa.string()))],
+                [batch.column(0), batch.column(1), batch.column(3), pa.array(reasons, pa.string()), pa.array(bits, pa.float64()), pa.array(named, pa.float64()), pa.array(lists, pa.list_(pa.int64()))],
                 names=["_id", "_repository", "_language", "reason", "bits", "_named", "_triples"],
             )
 
-    seen = source.mapInArrow(judge, f"_id {id_type}, _repository string, _language string, reason string, bits double, _named double, _triples array<string>")
+    # Read by three branches below, judged once.
+    seen = cut_lineage(source.mapInArrow(judge, f"_id {id_type}, _repository string, _language string, reason string, bits double, _named double, _triples array<bigint>"))
     # A row of its own key, as ids may repeat: the same file has the same triples anyway.
-    keyed = seen.withColumn("_key", F.xxhash64("_id", "_repository", F.concat_ws("|", "_triples")))
-    names = keyed.select("_key", "_repository", "_named", F.explode("_triples").alias("_t")).select("_key", F.coalesce("_repository", F.lit("")).alias("_repository"), "_named", F.xxhash64("_t").alias("_t"), F.xxhash64(F.lit(1), "_t").alias("_u"))
+    keyed = seen.withColumn("_key", F.xxhash64("_id", "_repository", "_triples"))
+    names = keyed.select("_key", "_repository", "_named", F.explode("_triples").alias("_t")).withColumn("_repository", F.coalesce("_repository", F.lit("")))
     # Per triple and repository first, so that a triple of a third of all files is few rows.
-    held = names.groupBy("_t", "_u", "_repository").agg(F.max("_named").alias("_named"), F.count(F.lit(1)).alias("_n"))
-    home = held.groupBy("_t", "_u").agg(F.max(F.struct("_named", "_n", "_repository"))["_repository"].alias("_home"), F.count(F.lit(1)).alias("_repos")).filter("_repos > 1")
+    held = names.groupBy("_t", "_repository").agg(F.max("_named").alias("_named"), F.count(F.lit(1)).alias("_n"))
+    home = held.groupBy("_t").agg(F.max(F.struct("_named", "_n", "_repository"))["_repository"].alias("_home"), F.count(F.lit(1)).alias("_repos")).filter("_repos > 1")
     foreign = (
-        names.join(home, ["_t", "_u"])
+        names.join(home, "_t")
         .groupBy("_key")
         .agg(F.count_if(F.col("_home") != F.col("_repository")).alias("_foreign"), F.count(F.lit(1)).alias("_shared"))
         .filter(F.col("_foreign") >= LEAST_TRIPLES)
