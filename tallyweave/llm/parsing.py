@@ -193,6 +193,7 @@ class Tables:
         self.lengths = [len(r) for _, r in prods]
         self.lefts = [left for left, _ in prods]
         self.start_empty = grammar.start_empty
+        self.units: dict[tuple[int, int, str], int] = {}  # filled while parsing; at most states times states times terminals
         self.terminals = {x for _, r in prods for x in r if x not in by and not x.isupper()}  # the words and marks
         del closures
 
@@ -234,29 +235,66 @@ class Tables:
 
 def _settle(tables: Tables, tops: list, token: str) -> list | None:
     """All stacks after `token` from the stacks `tops`, or None if it is accepted as the end."""
-    action, goto, lengths, lefts = tables.action, tables.goto, tables.lengths, tables.lefts
-    known: dict[tuple, tuple] = {}
+    action, goto, lengths, lefts, units = tables.action, tables.goto, tables.lengths, tables.lefts, tables.units
+    known: set[tuple] = set()
+    made: list[tuple] = []  # keeps the stacks of `known` alive, whose identities it holds
     shifted: dict[tuple, tuple] = {}
     todo = list(tops)
     while todo:
         top = todo.pop()
-        acts = action[top[0]].get(token)
-        if acts is None:
+        while True:
+            a = action[top[0]].get(token)
+            if type(a) is not int:
+                break
+            if a >= 0:
+                if a == Tables.ACCEPT:
+                    return None
+                key = (a, id(top))
+                if key not in shifted:
+                    shifted[key] = (a, top)
+                a = None
+                break
+            below = top[1]
+            if lengths[~a] == 1:
+                unit = (top[0], below[0], token)
+                to = units.get(unit)
+                if to is None:
+                    to = top[0]
+                    while type(a) is int and a < 0 and lengths[~a] == 1:
+                        to = goto[below[0]][lefts[~a]]
+                        a = action[to].get(token)
+                    units[unit] = to
+            else:
+                for _ in range(lengths[~a] - 1):
+                    below = below[1]
+                to = goto[below[0]][lefts[~a]]
+            key = (to, id(below))
+            if key in known:  # equal stacks are worked on once
+                a = None
+                break
+            known.add(key)
+            top = (to, below)
+            made.append(top)
+        if a is None:
             continue
-        for a in (acts,) if type(acts) is int else acts:
-            if a == Tables.ACCEPT:
+        for x in a:
+            if x == Tables.ACCEPT:
                 return None
-            if a >= 0:
-                shifted.setdefault((a, id(top)), (a, top))
+            if x >= 0:
+                key = (x, id(top))
+                if key not in shifted:
+                    shifted[key] = (x, top)
                 continue
             below = top
-            for _ in range(lengths[~a]):
+            for _ in range(lengths[~x]):
                 below = below[1]
-            to = goto[below[0]][lefts[~a]]
+            to = goto[below[0]][lefts[~x]]
             key = (to, id(below))
-            if key not in known:  # equal stacks are one object, so each is worked on once
-                known[key] = made = (to, below)
-                todo.append(made)
+            if key not in known:
+                known.add(key)
+                new = (to, below)
+                made.append(new)
+                todo.append(new)
     return list(shifted.values())
 
 
@@ -268,6 +306,7 @@ def first_error(tables: Tables, tokens: list[str], may_insert: list[bool] | None
     if not tokens and tables.start_empty:
         return None
     action, goto, lengths, lefts = tables.action, tables.goto, tables.lengths, tables.lefts
+    units = tables.units
     tops: list = [(0, None)]
     count = len(tokens)
     for i in range(count + 1):
@@ -285,6 +324,19 @@ def first_error(tables: Tables, tokens: list[str], may_insert: list[bool] | None
                         return None
                     top = (a, top)
                     break
+                if lengths[~a] == 1:
+                    # Where a run of reductions of single symbols ends depends on these three alone.
+                    below = top[1]
+                    key = (top[0], below[0], token)
+                    to = units.get(key)
+                    if to is None:
+                        to = top[0]
+                        while type(a) is int and a < 0 and lengths[~a] == 1:
+                            to = goto[below[0]][lefts[~a]]
+                            a = action[to].get(token)
+                        units[key] = to
+                    top = (to, below)
+                    continue
                 below = top
                 for _ in range(lengths[~a]):
                     below = below[1]
