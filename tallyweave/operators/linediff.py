@@ -35,45 +35,77 @@ def multiset_diff(pairs: DataFrame, pair_id: str, before: str, after: str) -> Da
     return pairs.select(pair_id).join(found, pair_id, "left").fillna(0, ["kept", "deleted", "inserted"])
 
 
+#: Cells of the table of a pair (in bits) up to which it is kept for the way back.
+MOST_CELLS = 2_000_000_000
+
+
 def common_lines(a: list, b: list) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence (Myers, greedy, linear in the number of differences squared)."""
+    """Index pairs of a longest common subsequence.
+
+    Equal ends are cut off. A row of the table is one whole number with a bit per item of `b`, so a
+    step handles all of them. Tables beyond MOST_CELLS are cut at items that are unique on both sides.
+    """
     start = 0
     while start < len(a) and start < len(b) and a[start] == b[start]:
         start += 1
     end_a, end_b = len(a), len(b)
     while end_a > start and end_b > start and a[end_a - 1] == b[end_b - 1]:
         end_a, end_b = end_a - 1, end_b - 1
-    n, m = end_a - start, end_b - start
-    reach = {1: 0}
-    trail: list[dict[int, int]] = []
-    for d in range(n + m + 1):
-        trail.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            x = reach[k + 1] if k == -d or k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1) else reach[k - 1] + 1
-            y = x - k
-            while x < n and y < m and a[start + x] == b[start + y]:
-                x, y = x + 1, y + 1
-            reach[k] = x
-            if x >= n and y >= m:
-                break
-        else:
-            continue
-        break
-    out = []
-    x, y = n, m
-    for d in range(len(trail) - 1, -1, -1):
-        before = trail[d]
-        k = x - y
-        prev = k + 1 if k == -d or k != d and before.get(k - 1, -1) < before.get(k + 1, -1) else k - 1
-        px = before[prev]
-        py = px - prev
-        while x > px and y > py and x > 0 and y > 0:
-            x, y = x - 1, y - 1
-            out.append((start + x, start + y))
-        x, y = px, py
+    middle = _in_order(a[start:end_a], b[start:end_b]) if (end_a - start) * (end_b - start) > MOST_CELLS else _by_bits(a[start:end_a], b[start:end_b])
     head = [(i, i) for i in range(start)]
     tail = [(end_a + i, end_b + i) for i in range(len(a) - end_a)]
-    return head + out[::-1] + tail
+    return head + [(start + i, start + j) for i, j in middle] + tail
+
+
+def _by_bits(a: list, b: list) -> list[tuple[int, int]]:
+    if not a or not b:
+        return []
+    whole = (1 << len(b)) - 1
+    where: dict = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    rows = []
+    v = whole
+    for x in a:
+        hit = v & where.get(x, 0)
+        v = ((v + hit) | (v - hit)) & whole
+        rows.append(v)
+    # A bit of a row is 0 where the sequence grows by the item of b.
+    out = []
+    i, j = len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if i and not rows[i - 1] >> (j - 1) & 1:
+            continue
+        j -= 1
+        out.append((i, j))
+    return out[::-1]
+
+
+def _in_order(a: list, b: list) -> list[tuple[int, int]]:
+    """For very long lists: split at the heaviest chain of unique common items; halved where there is none."""
+    count_a: dict = {}
+    count_b: dict = {}
+    for x in a:
+        count_a[x] = count_a.get(x, 0) + 1
+    for j, x in enumerate(b):
+        count_b[x] = -1 if x in count_b else j
+    anchors = [(i, count_b[x]) for i, x in enumerate(a) if count_a[x] == 1 and count_b.get(x, -1) >= 0]
+    chain = [anchors[k] for k in heaviest_in_order(anchors, [1] * len(anchors))] or [(len(a) // 2, len(b) // 2)]
+    out: list[tuple[int, int]] = []
+    x = y = 0
+    for i, j in [*chain, (len(a), len(b))]:
+        part = common_lines(a[x:i], b[y:j])
+        out += [(x + p, y + q) for p, q in part]
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            out.append((i, j))
+            x, y = i + 1, j + 1
+        else:
+            x, y = i, j
+    return out
 
 
 def moved_lines(a: list[str], b: list[str], kept: list[tuple[int, int]]) -> list[tuple[int, int]]:
