@@ -299,7 +299,7 @@ jump = ( 'return' | 'break' LIFETIME? | 'yield' ) expr? | 'continue' LIFETIME? |
 closure = ( 'for' generics )? 'static'? 'async'? 'move'? ( '||' | '|' ( closure_param ( ',' closure_param )* ','? )? '|' ) ( '->' type block | expr ) ;
 closure_param = OUTER* single ( ':' type )? ;
 postfix = primary | postfix '?' | postfix '.' ( ID ( '::' type_args )? | NUM | 'await' ) | postfix '(' exprs? ')' | postfix '[' expr ']' ;
-primary = literal | expr_path | expr_path '!' tree | expr_path '{' ( field ( ',' field )* )? ( ','? '..' expr? | ',' )? '}' | '(' exprs? ')' | '[' ( exprs | expr ';' expr )? ']' | block_expr ;
+primary = literal | expr_path | expr_path '!' tree | expr_path '{' ( field ( ',' field )* )? ( ','? RANGE expr? | ',' )? '}' | '(' exprs? ')' | '[' ( exprs | expr ';' expr )? ']' | block_expr ;
 field = OUTER* ( ( ID | NUM ) ( ':' expr )? ) ;
 exprs = OUTER* expr ( ',' expr )* ','? ;
 expr_path = '::'? expr_segment ( '::' expr_segment )* | qualified ;
@@ -353,7 +353,7 @@ param = '...'? target annotated? ( '=' expr )? ;
 function = 'async'? 'function' '*'? name? type_params? '(' params? ')' returns? ( block | bodyless ) ;
 @returns = ':' ( type | predicate ) ;
 @bodyless = ';' ;
-class = decorator* abstract? 'class' name? type_params? ( 'extends' postfix )? implements? any_brace member* '}' ;
+class = decorator* abstract? 'class' name? type_params? ( 'extends' postfix type_args? )? implements? any_brace member* '}' ;
 @abstract = 'abstract' ;
 @implements = 'implements' type ( ',' type )* ;
 decorator = '@' postfix ;
@@ -372,7 +372,7 @@ lone = arrow | 'yield' ( '*'? expr )? | unary ( binary unary )* '?' expr ':' lon
 binary = OP | '*' | '+' | '-' | '/' | '<' | '>' | '>' '>' | '>' '>' '>' | '>=' | '>' '>=' | '>' '>' '>=' | '=' | 'in' | 'instanceof' | '|' | '&' | '?' expr ':' ;
 @unary = '<' type '>' unary ;
 unary = ( '+' | '-' | '!' | '~' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' ) unary | postfix ( '++' | '--' )? casts? ;
-@casts = ( 'as' type | 'satisfies' type )+ ;
+@casts = ( 'as' type | 'as' 'const' | 'satisfies' type )+ ;
 arrow = 'async'? ( name | '(' params? ')' ) '=>' ( expr | block ) | 'async'? type_params? '(' params? ')' returns? '=>' ( expr | block ) ;
 postfix = primary | postfix ( '.' | '?.' ) ( key | PRIVATE ) | postfix '?.'? '[' exprs ']' | postfix '?.'? arguments | postfix template | 'import' arguments | 'import' '.' key | 'new' '.' key ;
 @postfix = postfix '!' | postfix type_args arguments | postfix type_args template ;
@@ -382,7 +382,7 @@ primary = name | NUM | STR | REGEX | template | 'this' | 'super' | 'null' | 'tru
 creator = primary | creator '.' ( key | PRIVATE ) | creator '[' exprs ']' ;
 @creator = creator type_args ;
 function_expr = 'async'? 'fexpr' '*'? name? type_params? '(' params? ')' returns? block ;
-class_expr = decorator* 'cexpr' name? type_params? ( 'extends' postfix )? implements? any_brace member* '}' ;
+class_expr = decorator* 'cexpr' name? type_params? ( 'extends' postfix type_args? )? implements? any_brace member* '}' ;
 object = begins ( property ( ',' property )* ','? )? '}' ;
 property = member_name ':' expr | name ( '=' expr )? | '...' expr | ( 'async'? '*'? | 'get' | 'set' ) member_name type_params? '(' params? ')' returns? block ;
 template = TEMPLATE | HEAD exprs ( MIDDLE exprs )* TAIL ;
@@ -420,6 +420,6 @@ def script(typed: bool) -> str:
         return text.replace("SOFT ;", words(SOFT_WORDS + SOFT_TYPED) + " ;").replace("RESERVED ;", words(RESERVED) + " ;")
     text = "\n".join(line for line in lines if not line.startswith("@"))
     text = text.replace("SOFT ;", words(SOFT_WORDS) + " ;").replace("RESERVED ;", words(RESERVED) + " ;")
-    for absent in ("annotated", "type_params", "returns", "implements", "abstract", "optional", "casts"):
+    for absent in ("annotated", "type_params", "type_args", "returns", "implements", "abstract", "optional", "casts"):
         text = text.replace(f" {absent}?", "")
     return text.replace("( block | bodyless )", "block")

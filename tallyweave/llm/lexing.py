@@ -533,6 +533,8 @@ _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\(?s:.)|\$(?!\{))*")
 #: After these an operand follows: a slash opens a pattern, a brace an object.
 _OPERAND = {"(", ",", "=", ":", "[", "!", "&", "|", "?", "+", "-", "*", "~", "OP", "<", "/", "return", "typeof", "instanceof", "in", "of", "new", "delete", "throw", "case", "await", "yield", "...", "HEAD", "MIDDLE", "default", "const", "let", "var", "extends", "as", "export", "import", "satisfies", "keyof", "=>"}
+_OPENS_OBJECT = _OPERAND - {"=>"}
+_BEFORE_EXPRESSION = _OPERAND - {"default", "export"}
 _VALUE_ENDS = {"ID", "NUM", "STR", "REGEX", "TEMPLATE", "TAIL", "PRIVATE", ")", "]", "}", "this", "super", "null", "true", "false", "++", "--"}
 _RESTRICTED = {"return", "break", "continue", "throw", "yield"}
 
@@ -549,6 +551,8 @@ def lex_script(text: str, words: set[str], soft: frozenset[str] = frozenset()) -
     at, n = 0, len(text)
     line = False
     template_end = False
+    labels: list[int] = []  # open `case` labels, as the number of `?` since
+    after_label = False
     while at < n:
         prev = tokens[-1] if tokens else None
         if template_end:
@@ -600,13 +604,13 @@ def lex_script(text: str, words: set[str], soft: frozenset[str] = frozenset()) -
                 kind = "ID"
             elif prev in (",", "o{") and re.compile(r"\s*:").match(text, end):
                 kind = "ID"
-            elif kind in ("function", "class") and prev in _OPERAND - {"default", "export"} and not (prev == ":" and False):
+            elif kind in ("function", "class") and prev in _BEFORE_EXPRESSION:
                 kind = "fexpr" if kind == "function" else "cexpr"
-            elif kind == "function" and prev == "async" and len(tokens) > 1 and tokens[-2] in _OPERAND - {"default", "export"}:
+            elif kind == "function" and prev == "async" and len(tokens) > 1 and tokens[-2] in _BEFORE_EXPRESSION:
                 kind = "fexpr"
         elif kind == "op":
             if value == "{":
-                kind = "c{" if prev in (":", ">", "void") else "o{" if prev in _OPERAND - {"=>"} else "{"
+                kind = "{" if after_label else "c{" if prev in (":", ">", "void") else "o{" if prev in _OPENS_OBJECT else "{"
                 braces.append(False)
             elif value == "}":
                 kind = "}"
@@ -623,6 +627,19 @@ def lex_script(text: str, words: set[str], soft: frozenset[str] = frozenset()) -
                     free.append(False)
             else:
                 kind = value if value in words else "OP"
+        after_label = False
+        if kind == "case":
+            labels.append(0)
+        elif kind == "?" and labels:
+            labels[-1] += 1
+        elif kind == ":":
+            if prev == "default" or prev == "ID" and len(tokens) > 1 and tokens[-2] in (";", "{", "}"):
+                after_label = True
+            elif labels and not labels[-1]:
+                labels.pop()
+                after_label = True
+            elif labels:
+                labels[-1] -= 1
         tokens.append(kind)
         offsets.append(at)
         free.append(line or kind == "}")

@@ -38,12 +38,14 @@ def _section(v: Column, lo: Column, hi: Column, whole: bool, spread: bool) -> Co
             at, width = F.log1p(at), F.log1p(width)
     else:
         bound = lambda x: F.greatest(F.lit(-_LARGEST), F.least(F.lit(_LARGEST), x))
-        v, lo, hi = bound(v), bound(lo), bound(hi)
+        x, low, high = bound(v), bound(lo), bound(hi)
         if spread:
-            at, width = F.asinh(v) - F.asinh(lo), F.asinh(hi) - F.asinh(lo)
+            at, width = F.asinh(x) - F.asinh(low), F.asinh(high) - F.asinh(low)
         else:
-            at, width = v / 2 - lo / 2, hi / 2 - lo / 2
-    share = F.when(width > 0, at / width).otherwise(F.lit(0.0))
+            wide = (high - low) > _LARGEST  # beyond the doubles
+            at, width = F.when(wide, x / 2 - low / 2).otherwise(x - low), F.when(wide, high / 2 - low / 2).otherwise(high - low)
+    # The greatest value is always told from the least, however little the scale tells.
+    share = F.when(v == hi, F.lit(1.0)).when(width > 0, at / width).otherwise(F.lit(0.0))
     return F.least(F.lit(SECTIONS - 1), F.floor(share * SECTIONS).cast("int"))
 
 
@@ -75,7 +77,9 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, permille
         .withColumn("_rank", _rank(F.col("_n"), F.col("_permille")))
     )
     state = cut_lineage(state)
-    for step in range(most_passes):
+    for step in range(most_passes + 1):
+        if step == most_passes:
+            raise ValueError(f"not resolved in {most_passes} passes")
         intervals = state.filter(~_closed(F.col("_lo"), F.col("_hi"))).select(*names, "_lo", "_hi").distinct()
         open_ = intervals.count()
         if not open_:
