@@ -121,7 +121,7 @@ def orphan_references(
         df = df.withColumn("_range", _range_of(bits))
         df = df.withColumn(f"_part{side}", F.pmod(mix, parts(side)).cast("int"))
         copies = F.explode(F.sequence(F.lit(0), parts(1 - side) - 1)) if any(v[1 - side] > 1 for v in hot.values()) else F.lit(0)
-        return df.withColumn(f"_part{1 - side}", copies.cast("int"))
+        return df.withColumn(f"_part{1 - side}", copies)
 
     left = dealt(periods, 0, F.xxhash64("_h1", "_h2", "_start"))
     right = dealt(probes, 1, F.xxhash64("_id", "_at"))

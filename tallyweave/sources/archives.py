@@ -49,7 +49,7 @@ def members(data: bytes, most: int = MOST_EXPANDED) -> tuple[str | None, list[tu
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             return kind, [(i.filename, i.CRC << 31 ^ i.file_size, i.file_size) for i in z.infolist() if not i.is_dir()]
     if kind in ("gzip", "xz", "bzip2"):
-        opened = {"gzip": gzip.GzipFile, "xz": lzma.LZMAFile, "bzip2": bz2.BZ2File}[kind](io.BytesIO(data))
+        opened = {"gzip": gzip.open, "xz": lzma.open, "bzip2": bz2.open}[kind](io.BytesIO(data))
         data = _expand(opened, most)
         if sniff(data) != "tar":
             return kind, [("(content)", zlib.crc32(data) << 31 ^ len(data), len(data))]
