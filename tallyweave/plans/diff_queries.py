@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hunks, schemas, text
-from ..operators import linediff, sketches, treediff, trees
+from ..operators import linediff, review, sketches, treediff, trees
 from ..sources.archives import member_diff
 from ..session import table
 
@@ -191,3 +191,54 @@ def tree_unique_keys(spark, d):
 def tree_gaps(spark, d):
     """Characters of inner nodes that no child covers."""
     return trees.owned_gaps(trees.nodes(table(spark, d, "file_contents").filter("language <> 'Json'"), "content", "language", ["file_id"]), ["file_id"])
+
+
+@query()
+def tree_status(spark, d):
+    """Matched, deleted and inserted nodes per kind of the side before."""
+    m = treediff.tree_mapping(version_pairs(spark, d), "pair_id", "before", "after", "language")
+    n = _tree_nodes(spark, d, "before")
+    return review.node_status(m, ["pair_id"], "before").join(n.select("pair_id", "node_id", "kind"), ["pair_id", "node_id"]).groupBy("kind", "status").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query()
+def tree_ablation(spark, d):
+    """What leaving out a pass costs: the summed cost of all pairs without it."""
+    whole = None
+    for name in ("none", "orphaned_leaves", "residual", "moved_subtrees", "surviving_values"):
+        cost = treediff.tree_mapping(version_pairs(spark, d), "pair_id", "before", "after", "language", frozenset({name})).agg(F.sum("cost").alias("cost")).select(F.lit(name).alias("without"), "cost")
+        whole = cost if whole is None else whole.unionByName(cost)
+    return whole
+
+
+@query()
+def tree_bracket_fates(spark, d):
+    m = treediff.tree_mapping(version_pairs(spark, d), "pair_id", "before", "after", "language")
+    return review.bracket_fates(_tree_nodes(spark, d, "before"), m, ["pair_id"])
+
+
+@query()
+def tree_leaf_conventions(spark, d):
+    m = treediff.tree_mapping(version_pairs(spark, d), "pair_id", "before", "after", "language")
+    return review.leaf_conventions(_tree_nodes(spark, d, "before"), _tree_nodes(spark, d, "after"), m, ["pair_id"])
+
+
+@query()
+def tree_node_paths(spark, d):
+    """How many distinct paths of kinds the files of a language have."""
+    n = trees.nodes(table(spark, d, "file_contents").filter("language = 'Json'"), "content", "language", ["file_id"])
+    return trees.node_paths(n, ["file_id"]).groupBy("file_id").agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("path").alias("paths"))
+
+
+@query("""with h as (select repository, doc_id, case when contains(lower(text), 'grammar') then doc_id end as hit from documents)
+select repository, doc_id, coalesce(min(hit) over (partition by repository order by doc_id rows between 1 following and unbounded following), min(hit) over (partition by repository)) as next from h""")
+def search_matches(spark, d):
+    """The next document of a repository that holds a word, from each one."""
+    return review.next_matches(table(spark, d, "documents"), ["repository"], "doc_id", F.col("text"), "Grammar")
+
+
+@query("""select split_part(coalesce(status, 'none') || ':' || coalesce(exit_status, ''), ':', 1) as bucket, coalesce(status, 'none') || ':' || coalesce(exit_status, '') as detail, count(*) as n from robustness_full group by 1, 2""")
+def reason_buckets(spark, d):
+    """Buckets and details of outcomes."""
+    detail = F.concat_ws(":", F.coalesce("status", F.lit("none")), F.coalesce("exit_status", F.lit("")))
+    return table(spark, d, "robustness_full").groupBy(review.reason_bucket(detail).alias("bucket"), detail.alias("detail")).agg(F.count(F.lit(1)).alias("n"))
