@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .abuse_words import ADJECTIVES, CONFUSABLE, GROUPS, INSULTS, LEET, SEEDS_BAD, SEEDS_FINE, SEXUAL, SWEARING, YOU
 
 #: Labelled documents that are fitted on, at most.
-MOST_LABELLED = 20_000
+MOST_LABELLED = 6_000
 BUCKETS = 1 << 18
 #: Weight of the squared score changes under swaps of group names, and of the squared weights.
 SWAP_PENALTY, RIDGE = 2.0, 2e-4
@@ -147,9 +147,9 @@ class Model:
         self.weights, self.groups = weights, groups
 
     def score(self, words: list[str]) -> float:
-        if not words:
-            return 0.0
-        f = features(words, self.groups)
+        return self.score_of(np.array(features(words, self.groups))) if words else 0.0
+
+    def score_of(self, f: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.weights[f].sum() / np.sqrt(len(f)) + self.weights[-1], -30, 30))))
 
     def worst(self, text: str | None) -> float:
@@ -163,24 +163,25 @@ def group_names(lists: list[list[str]]) -> frozenset[str]:
     for ws in lists:
         for w in set(ws):
             common[w] = common.get(w, 0) + 1
+    distinct = {tuple(x) for x in lists if len(x) > 4}
+
+    def frames(ws: tuple) -> Iterator[tuple[str, int]]:
+        for i, w in enumerate(ws):
+            if w.isalpha() and not w.isupper():
+                yield w, hash((*ws[:i], None, *ws[i + 1 :]))
+
     for _ in range(2):
-        frames: dict[tuple, set] = {}
-        for ws in {tuple(x) for x in lists}:
-            for i, w in enumerate(ws):
-                if len(ws) > 4 and w.isalpha() and w not in ("CODE", "NUM"):
-                    frames.setdefault((*ws[:i], "?", *ws[i + 1 :]), set()).add(w)
-        for names in frames.values():
-            if names & groups:
-                groups |= {w for w in names if len(w) > 3 and _class(w) is None and common[w] < 0.02 * len(lists) + 20}
+        named = {f for ws in distinct if any(w in groups for w in ws) for w, f in frames(ws) if w in groups}
+        groups |= {w for ws in distinct for w, f in frames(ws) if f in named and len(w) > 3 and _class(w) is None and common[w] < 0.02 * len(lists) + 20}
     return frozenset(groups)
 
 
 class _Rows:
     """Sentences as a sparse matrix of buckets, each row scaled to unit length."""
 
-    def __init__(self, lists: list[list[int]]):
+    def __init__(self, lists: list[np.ndarray]):
         self.n = len(lists)
-        self.column = np.array([b for f in lists for b in f], np.int64)
+        self.column = np.concatenate(lists) if lists else np.zeros(0, np.int32)
         self.row = np.repeat(np.arange(self.n), [len(f) for f in lists])
         self.scale = np.array([1 / np.sqrt(len(f)) for f in lists])
 
@@ -229,6 +230,17 @@ def train(labelled: list[tuple[str | None, int]]) -> Model:
     def unusual(words: list[str]) -> int:
         return sum(used.get(w, 0) <= rare and (w in groups or not w.isupper()) for w in set(words))
 
+    known: dict[tuple, np.ndarray] = {}
+
+    def of(words: list[str]) -> np.ndarray:
+        key = tuple(words)
+        if key not in known:
+            known[key] = np.array(features(words, groups), np.int32)
+        return known[key]
+
+    def score(words: list[str]) -> float:
+        return model.score_of(of(words)) if words else 0.0
+
     model: Model | None = None
     for step in range(ROUNDS):
         picked: list[list[str]] = []
@@ -236,11 +248,11 @@ def train(labelled: list[tuple[str | None, int]]) -> Model:
         if model is not None:
             for d in bad_docs:
                 # The abusive sentence is what the model doubts most and what fine documents don't say.
-                best = max(d, key=lambda w: model.score(w) + 0.5 * min(3, unusual(w)) / 3, default=[])
-                if best and (model.score(best) > 0.5 or unusual(best) >= 2 and model.score(best) > 0.08):
+                best = max(d, key=lambda w: score(w) + 0.5 * min(3, unusual(w)) / 3, default=[])
+                if best and (score(best) > 0.5 or unusual(best) >= 2 and score(best) > 0.08):
                     picked.append(best)
             # A sentence of a document that is labelled fine, but close to what is picked elsewhere, is a wrong label.
-            doubted = {tuple(w) for w in fine if model.score(w) > (0.8 if step == 1 else 0.7)}
+            doubted = {tuple(w) for w in fine if score(w) > (0.8 if step == 1 else 0.7)}
             shapes = {}
             for w in picked:
                 for f in _shape(w, groups):
@@ -254,7 +266,7 @@ def train(labelled: list[tuple[str | None, int]]) -> Model:
         weight = np.where(y == 1, 1.0 / max(1, y.sum()), 1.0 / max(1, len(y) - y.sum()))
         # Seeds of fine sentences weigh like labelled ones of their number at least.
         weight[len(seeds_bad) + len(picked) : len(seeds_bad) + len(picked) + len(seeds_fine)] = np.maximum(0.4 / len(seeds_fine), weight[-1])
-        rows = _Rows([features(w, groups) for w in lists])
+        rows = _Rows([of(w) for w in lists])
         swapped = []
         pairs = [(w, i) for w in lists for i, x in enumerate(w) if x in groups]
         others = sorted(groups)
@@ -262,8 +274,8 @@ def train(labelled: list[tuple[str | None, int]]) -> Model:
             left, right = [], []
             for k, (w, i) in enumerate(pairs):
                 for j in (1, 7, 13):
-                    left.append(features(w, groups))
-                    right.append(features([*w[:i], others[(k * 5 + j * 11) % len(others)], *w[i + 1 :]], groups))
+                    left.append(of(w))
+                    right.append(of([*w[:i], others[(k * 5 + j * 11) % len(others)], *w[i + 1 :]]))
             swapped.append((_Rows(left), _Rows(right)))
         model = Model(_fit(rows, y, weight, swapped), groups)
     return model
