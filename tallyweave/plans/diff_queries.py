@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hunks, schemas, text
-from ..operators import linediff, review, sketches, treediff, trees
+from ..operators import linediff, painting, review, sketches, treediff, trees
 from ..sources.archives import member_diff
 from ..session import table
 
@@ -242,3 +242,9 @@ def reason_buckets(spark, d):
     """Buckets and details of outcomes."""
     detail = F.concat_ws(":", F.coalesce("status", F.lit("none")), F.coalesce("exit_status", F.lit("")))
     return table(spark, d, "robustness_full").groupBy(review.reason_bucket(detail).alias("bucket"), detail.alias("detail")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def painted_ranges(spark, d):
+    """Painted ranges of all pairs of files by side and operation."""
+    return painting.painted(version_pairs(spark, d), "pair_id", "before", "after").groupBy("side", "operation").agg(F.count(F.lit(1)).alias("ranges"), F.sum(F.col("end") - F.col("start")).alias("characters"))
