@@ -153,6 +153,58 @@ class PairDiff:
                 self.pair_whole(x, y, reason, below)
                 shift[self.a.parent[x]] = y - x
 
+    @staticmethod
+    def _qualified(tree: Tree) -> dict[tuple[str, ...], list[int]]:
+        """Statements that declare something with a block, by the names on the way to them."""
+        found: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        names: dict[int, tuple[str, ...]] = {}
+        for n in range(1, len(tree) + 1):
+            outer = names.get(tree.parent[n], ())
+            names[n] = outer
+            kids = tree.children[n]
+            if tree.kind[n] != "statement" or not any(tree.kind[k] == "braces" for k in kids):
+                continue
+            # the name right before the parameters, else the last one before the block
+            stop = next((i for i, k in enumerate(kids) if tree.kind[k] in ("parens", "braces")), 0)
+            own = next((tree.text[k] for k in reversed(kids[:stop]) if tree.kind[k] == "name"), "")
+            if own:
+                names[n] = (*outer, own)
+                found[names[n]].append(n)
+        return found
+
+    def qualified_names(self) -> None:
+        """Declarations that are alone of their qualified name on both sides, unless what is matched inside lies elsewhere."""
+        left, right = self._qualified(self.a), self._qualified(self.b)
+        for name in sorted(left):
+            if len(left[name]) == 1 and len(right.get(name, [])) == 1:
+                x, y = left[name][0], right[name][0]
+                inside = self.b.inside(y)
+                if all(self.to[k] in inside for k in self.a.inside(x) if k in self.to):
+                    self.pair(x, y, "QualifiedName")
+
+    def wrap_growth(self) -> None:
+        """Retags equal blocks that got a new wrapper around them."""
+        for x, y in sorted(self.to.items()):
+            p, q = self.a.parent[x], self.b.parent[y]
+            if self.a.full[x] == self.b.full[y] and self.a.children[x] and p in self.to and q and q not in self.back and self.to[p] in self._ancestors(self.b, y):
+                self.why[x] = "WrapGrowth"
+
+    @staticmethod
+    def _ancestors(tree: Tree, n: int) -> set[int]:
+        out = set()
+        while tree.parent[n]:
+            n = tree.parent[n]
+            out.add(n)
+        return out
+
+    def extra_copies(self) -> list[tuple[int, list[int]]]:
+        """(before node, after nodes): statements that are in `after` more often than before, as one-to-many maps."""
+        more: dict[int, list[int]] = defaultdict(list)
+        for y in range(1, len(self.b) + 1):
+            if self.b.kind[y] == "statement" and self.b.size[y] >= MOVED_SIZE and self.free(self.b, y):
+                more[self.b.full[y]].append(y)
+        return [(x, [y, *more[self.a.full[x]]]) for x, y in sorted(self.to.items()) if self.a.kind[x] == "statement" and self.a.full[x] == self.b.full[y] and more.get(self.a.full[x])]
+
     def diagnostics(self) -> None:
         """Unmatched log and assert statements of equal text, the biggest first, in order."""
         queue: dict[int, deque] = defaultdict(deque)
@@ -361,8 +413,8 @@ class PairDiff:
                     self.why[x] = "HeritageClauseGrowth"
 
     PASSES = (
-        "hash_descent", "diagnostics", "bottom_up", "grouped_greedy", "unique_type", "leading_siblings", "orphaned_leaves", "residual", "moved_subtrees",
-        "stray_renames", "stray_terminators", "sibling_terminators", "unrelated_imports", "surviving_values", "permuted_leaves", "heritage_growth",
+        "hash_descent", "diagnostics", "qualified_names", "bottom_up", "grouped_greedy", "unique_type", "leading_siblings", "orphaned_leaves", "residual", "moved_subtrees",
+        "stray_renames", "stray_terminators", "sibling_terminators", "unrelated_imports", "surviving_values", "permuted_leaves", "heritage_growth", "wrap_growth",
     )
 
     def rows(self) -> list[tuple[int, int, str, str, int]]:
@@ -406,3 +458,28 @@ def tree_mapping(pairs: DataFrame, key: str, before: str, after: str, language:
                     yield pa.RecordBatch.from_arrays([own, *columns], names=[key, "before_id", "after_id", "operation", "reason", "cost"])
 
     return source.mapInArrow(work, f"`{key}` {kind}, {MAPPING_SCHEMA}")
+
+
+def copied_statements(pairs: DataFrame, key: str, before: str, after: str, language: str) -> DataFrame:
+    """key, before_id, after_ids: statements that one side has once and the other several times."""
+    source = pairs.select(key, before, after, language)
+    kind = dict(source.dtypes)[key]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, ids, many = [], [], []
+            for i, (b, a, lang) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
+                left, right = parse(b, lang), parse(a, lang)
+                if left is None or right is None:
+                    continue
+                d = PairDiff(left, right)
+                for name in PairDiff.PASSES:
+                    getattr(d, name)()
+                for x, ys in d.extra_copies():
+                    at.append(i)
+                    ids.append(x)
+                    many.append(ys)
+            if at:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, pa.int32()), pa.array(many, pa.list_(pa.int32()))], names=[key, "before_id", "after_ids"])
+
+    return source.mapInArrow(work, f"`{key}` {kind}, before_id int, after_ids array<int>")

@@ -248,3 +248,9 @@ def reason_buckets(spark, d):
 def painted_ranges(spark, d):
     """Painted ranges of all pairs of files by side and operation."""
     return painting.painted(version_pairs(spark, d), "pair_id", "before", "after").groupBy("side", "operation").agg(F.count(F.lit(1)).alias("ranges"), F.sum(F.col("end") - F.col("start")).alias("characters"))
+
+
+@query()
+def tree_copies(spark, d):
+    """Statements that the other file of a pair has several times."""
+    return treediff.copied_statements(version_pairs(spark, d), "pair_id", "before", "after", "language")

@@ -129,6 +129,38 @@ def test_permuted_leaves_find_their_twins():
     assert all(a.text[x] == b.text[y] for x, y in d.to.items())
 
 
+def solved(a, b):
+    d = D.PairDiff(tree(a), tree(b))
+    for name in D.PairDiff.PASSES:
+        getattr(d, name)()
+    return d
+
+
+def test_declarations_find_their_names():
+    d = solved("fn f(a) {\n x1;\n x2 + 1;\n}\nfn g(b) {\n y1;\n}\n", "fn g(c, d) {\n z1(2);\n}\nfn f(q, e, r) {\n w1;\n}\n")
+    assert {"QualifiedName"} <= set(d.why.values())
+    names = {d.a.text[d.a.children[x][1]]: d.b.text[d.b.children[d.to[x]][1]] for x, why in d.why.items() if why == "QualifiedName"}
+    assert names == {"f": "f", "g": "g"}
+
+
+def test_copies_are_one_to_many():
+    d = solved("call(a, b);\nother = 1;\n", "call(a, b);\nother = 1;\ncall(a, b);\n")
+    assert [len(ys) for _, ys in d.extra_copies()] == [2]
+
+
+def test_passes_decide_as_named():
+    d = D.PairDiff(tree("a ; b ;"), tree("a ; b ;"))
+    for i in range(1, len(d.a) + 1):
+        d.pair(i, i, "x")
+    d.stray_terminators()
+    d.stray_renames()
+    assert len(d.to) == len(d.a)
+    e = D.PairDiff(tree("f(old_value, 1);"), tree("f(2, new_value);"))
+    e.pair(1, 1, "x")
+    e.unique_type()
+    assert e.to[2] == 2
+
+
 def nodes(spark, text):
     df = spark.createDataFrame([(1, text, "Go")], "id int, t string, l string")
     return T.nodes(df, "t", "l", ["id"])
