@@ -85,7 +85,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivor.survivors(table(spark, sf_dir, "robustness_full"))
+    """The best row of every pair; times as microseconds."""
+    best = survivor.survivors(table(spark, sf_dir, "robustness_full"))
+    return best.withColumns({"measured_us": F.unix_micros("measured_at"), "arrived_us": F.unix_micros("arrived_at")}).drop("measured_at", "arrived_at")
 
 
 #: Score from which a document is abusive.
@@ -173,5 +175,5 @@ SQL = {
     "p7_found": _P7 + "select first_run_id, run_id as best_run_id from ranked where rank = 1 and n_rows > 1",
     "p7_survivors": _P7
     + """select repo as repository, full_hash as "commit", clean_path as path, run_id, language, status, elapsed_ms, ast_nodes_before, ast_nodes_after,
-      peak_memory_bytes, exit_status, shard, measured_at, arrived_at, n_rows from ranked where rank = 1""",
+      peak_memory_bytes, exit_status, shard, epoch_us(measured_at) as measured_us, epoch_us(arrived_at) as arrived_us, n_rows from ranked where rank = 1""",
 }

@@ -54,6 +54,8 @@ def survivors_per_cell(offered: np.ndarray, capacity: int, rng: np.random.Genera
     """offered[batch, slot]: records of each batch per slot; returns how many of each are in the sample after the last batch."""
     batches, slots = offered.shape
     held = np.zeros((batches, slots), np.int64)
+    filled = np.zeros(slots, np.int64)
+    used: list[set[int]] = [set() for _ in range(slots)]  # by slot, the batches that hold something: at most `capacity` in all
     seen = 0
     for b in range(batches):
         arrive = offered[b]
@@ -61,14 +63,21 @@ def survivors_per_cell(offered: np.ndarray, capacity: int, rng: np.random.Genera
         size = min(capacity, seen + n)
         # Of the new sample, this many come from the batch.
         enter = int(split_counts(rng, np.array([n, seen]), size)[0])
-        stay = size - enter
-        filled = held[:b].sum(axis=0)
-        evict = int(filled.sum()) - stay
+        evict = int(filled.sum()) - (size - enter)
         if evict:
-            per_slot = split_counts(rng, filled, evict)
-            for s in np.flatnonzero(per_slot):
-                held[:b, s] -= split_counts(rng, held[:b, s], int(per_slot[s]))
-        held[b] = split_counts(rng, arrive, enter)
+            for s, out in enumerate(split_counts(rng, filled, evict).tolist()):
+                if not out:
+                    continue
+                there = sorted(used[s])
+                gone = split_counts(rng, held[there, s], out)
+                held[there, s] -= gone
+                filled[s] -= out
+                used[s] -= {t for t, g in zip(there, gone, strict=True) if g and not held[t, s]}
+        if enter:
+            held[b] = split_counts(rng, arrive, enter)
+            filled += held[b]
+            for s in np.flatnonzero(held[b]).tolist():
+                used[s].add(b)
         seen += n
     return held
 
