@@ -97,8 +97,8 @@ def orphan_references(
     probes = refs.filter(~key_null).select(F.col(ref_id).alias("_id"), F.unix_micros(F.col(at)).alias("_at"), *_hashes(keys))
     periods = parent_periods(parents, keys, start, end)
 
-    n_parents = parents.count()
-    bits = min(int(np.log2(MOST_RANGES)), max(0, int(np.ceil(np.log2(max(1, n_parents / PART_ROWS)))) + 3))
+    most = max(parents.count(), refs.count(), 1)
+    bits = min(int(np.log2(MOST_RANGES)), max(0, int(np.ceil(np.log2(most / PART_ROWS)))) + 3)
     sizes = (
         periods.select(_range_of(bits).alias("_range"), F.lit(0).alias("_side"))
         .unionAll(probes.select(_range_of(bits).alias("_range"), F.lit(1).alias("_side")))
@@ -109,18 +109,17 @@ def orphan_references(
     splits: dict[int, list[int]] = {}
     for r in sizes:
         splits.setdefault(r["_range"], [1, 1])[r["_side"]] = -(-r["count"] // PART_ROWS)
-    hot = {k: v for k, v in splits.items() if v != [1, 1]}
+    split = [any(v[side] > 1 for v in splits.values()) for side in (0, 1)]
 
     def parts(side: int) -> Column:
-        """How many parts the side has in the row's range; a bounded literal, as only split ranges are in it."""
-        chosen = [x for k, v in hot.items() if v[side] > 1 for x in (F.lit(k), F.lit(v[side]))]
-        return F.coalesce(F.element_at(F.create_map(*chosen), F.col("_range")), F.lit(1)) if chosen else F.lit(1)
+        """How many parts the side has in the row's range: looked up in a literal array of at most MOST_RANGES numbers."""
+        return F.get(F.lit([splits.get(k, (1, 1))[side] for k in range(1 << bits)]), F.col("_range")) if split[side] else F.lit(1)
 
     def dealt(df: DataFrame, side: int, mix: Column) -> DataFrame:
         """One copy of the row for each part of the other side, in one part of its own."""
         df = df.withColumn("_range", _range_of(bits))
         df = df.withColumn(f"_part{side}", F.pmod(mix, parts(side)).cast("int"))
-        copies = F.explode(F.sequence(F.lit(0), parts(1 - side) - 1)) if any(v[1 - side] > 1 for v in hot.values()) else F.lit(0)
+        copies = F.explode(F.sequence(F.lit(0), parts(1 - side) - 1)) if split[1 - side] else F.lit(0)
         return df.withColumn(f"_part{1 - side}", copies)
 
     left = dealt(periods, 0, F.xxhash64("_h1", "_h2", "_start"))
@@ -136,7 +135,7 @@ def orphan_references(
 
     id_type = refs.schema[ref_id].dataType.simpleString()
     misses = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(search, f"_id {id_type}, _at bigint, _h1 bigint, _h2 bigint, _range int")
-    if any(v[0] > 1 for v in hot.values()):
+    if split[0]:
         counted = misses.groupBy("_id", "_at", "_h1", "_h2", "_range").count()
         misses = counted.withColumn("_n", (F.col("count") / parts(0)).cast("int")).filter("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     out_at = fresh_name([ref_id, "missing_in"], at)
@@ -144,5 +143,5 @@ def orphan_references(
 
 
 def orphans_per_period(found: DataFrame, at: str, period: str = "month") -> DataFrame:
-    """(missing_in, period, orphans) of what orphan_references() found."""
-    return found.groupBy("missing_in", F.date_trunc(period, F.col(at)).alias("period")).agg(F.count(F.lit(1)).alias("orphans"))
+    """(missing_in, period, orphans) of what orphan_references() found; a period is named by its first day."""
+    return found.groupBy("missing_in", F.date_trunc(period, F.col(at)).cast("date").alias("period")).agg(F.count(F.lit(1)).alias("orphans"))

@@ -18,7 +18,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The valid rows, typed."""
-    return good_rows(load_records(table(spark, sf_dir, "robustness_raw"))).drop("raw_line")
+    return good_rows(load_records(table(spark, sf_dir, "robustness_raw"))).withColumn("loaded_us", F.unix_micros("loaded_at")).drop("raw_line", "loaded_at")
 
 
 def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,10 +93,10 @@ QUERIES = {"p5_found": p5_found, "p5_loaded": p5_loaded, "p5_reasons": p5_reason
 SQL = {
     "p5_found": _P5_SPLIT + "select raw_id from judged where not good union all select raw_id from robustness_raw where raw_line is null",
     "p5_loaded": _P5_SPLIT
-    + """select j.raw_id, r.shard_file, r.line_no, r.loaded_at, fields[1] as language, fields[2] as repository, fields[3] as "commit", fields[4] as path, fields[5] as status,
+    + """select j.raw_id, r.shard_file, r.line_no, epoch_us(r.loaded_at) as loaded_us, fields[1] as language, fields[2] as repository, fields[3] as "commit", fields[4] as path, fields[5] as status,
       cast(nullif(fields[6], '') as double) as elapsed_ms, cast(nullif(fields[7], '') as bigint) as ast_nodes_before,
       cast(nullif(fields[8], '') as bigint) as ast_nodes_after, cast(nullif(fields[9], '') as bigint) as peak_memory_bytes
       from judged j join robustness_raw r using (raw_id) where good""",
     "p6_found": _P6 + "select candidate_id, missing_in from cases",
-    "p6_per_period": _P6 + "select missing_in, date_trunc('day', sampled_at) as period, count(*) as orphans from cases group by 1, 2",
+    "p6_per_period": _P6 + "select missing_in, cast(sampled_at as date) as period, count(*) as orphans from cases group by 1, 2",
 }
