@@ -31,7 +31,7 @@ _KEY = r"""case when lower(split_part(path, '/', -1)) like '%.min.js' then 'min.
 _CATEGORY = "case when key in ('rs','py','go','java','js','ts','c','h','cpp','rb','kt','swift','sh','lua') then 'Code' when key in ('csv','tsv','parquet','sql','xml','json') then 'Data' when key in ('yml','yaml','toml','ini','cfg','conf','lock') then 'Configuration' when key in ('md','rst','txt','adoc','tex') then 'Documentation' else 'Unknown' end"
 
 
-@query(f"""select key, count(*) as changes, count(*) filter (where change_type = 'D') as binary_changes, sum(length(path)) as lines_changed, count(distinct repository) as repositories, min(path) as sample
+@query(f"""select key, count(*) as changes, count(*) filter (where change_type = 'D') as binary_changes, sum(length(path))::bigint as lines_changed, count(distinct repository) as repositories, min(path) as sample
   from (select *, {_KEY} as key from commit_files) group by key""")
 def census_by_extension(spark, d):
     """Changes per extension key with distinct repositories and a sample."""
@@ -135,7 +135,7 @@ def language_transitions(spark, d):
 
 
 @query("""with x as (select coalesce(language, 'none') as category, 1 as b, 0 as a from candidates union all select coalesce(upper(split_part(path, '.', -1)), 'none'), 0, 1 from candidates)
-  select category, sum(b) as before, sum(a) as after, sum(a) - sum(b) as change from x group by 1""")
+  select category, sum(b)::bigint as before, sum(a)::bigint as after, (sum(a) - sum(b))::bigint as change from x group by 1""")
 def categories_before_after(spark, d):
     c = table(spark, d, "candidates")
     return reports.before_and_after(c, F.coalesce("language", F.lit("none")), F.coalesce(F.upper(paths.last_extension(F.col("path"))), F.lit("none")))
@@ -209,7 +209,7 @@ def lognormal_fit(spark, d):
     return reports.lognormal(table(spark, d, "robustness_full"), ["language"], "elapsed_ms")
 
 
-@query("""select area, sum(ast_nodes_after) as covered, sum(ast_nodes_before) as count, sum(ast_nodes_after) / sum(ast_nodes_before) as share from (select *, case when starts_with(path, 'crates/engine/src') then 'engine' when starts_with(path, 'tests') then 'tests' when starts_with(path, 'crates') then 'crates' when starts_with(path, 'src') then 'src' else 'other' end as area from robustness_full) where ast_nodes_before > 0 group by 1""")
+@query("""select area, sum(ast_nodes_after)::bigint as covered, sum(ast_nodes_before)::bigint as count, sum(ast_nodes_after) / sum(ast_nodes_before) as share from (select *, case when starts_with(path, 'crates/engine/src') then 'engine' when starts_with(path, 'tests') then 'tests' when starts_with(path, 'crates') then 'crates' when starts_with(path, 'src') then 'src' else 'other' end as area from robustness_full) where ast_nodes_before > 0 group by 1""")
 def coverage_by_area(spark, d):
     """Coverage per area, the longest prefix deciding (nodes stand for lines)."""
     r = reports.longest_prefix(table(spark, d, "robustness_full"), "path", {"src": "src", "crates": "crates", "crates/engine/src": "engine", "tests": "tests"})
@@ -225,13 +225,13 @@ def retry_routes(spark, d):
     return reports.to_retry(r, table(spark, d, "candidates"), ["repository", "commit", "path"], ["repository", "path"], "status", "exit_status", "measured_at").select("run_id", "route")
 
 
-@query("""select shard, count(*) as n, sum(run_id) as ids from (select run_id, (row_number() over (order by run_id) - 1) % 7 as shard from robustness_full) group by 1""")
+@query("""select shard, count(*) as n, sum(run_id)::bigint as ids from (select run_id, (row_number() over (order by run_id) - 1) % 7 as shard from robustness_full) group by 1""")
 def round_robin_shards(spark, d):
     r = table(spark, d, "robustness_full").select("run_id")
     return reports.round_robin(r, ["run_id"], 7).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("run_id").alias("ids"))
 
 
-@query("select key, sum(n) as n from (select repository as key, count(*) as n from commits group by 1 union all select repository, count(*) from commit_files group by 1) group by 1")
+@query("select key, sum(n)::bigint as n from (select repository as key, count(*) as n from commits group by 1 union all select repository, count(*) from commit_files group by 1) group by 1")
 def merged_counts(spark, d):
     """Counters of separate sources added up."""
     count = lambda t: table(spark, d, t).groupBy(F.col("repository").alias("key")).agg(F.count(F.lit(1)).alias("n"))

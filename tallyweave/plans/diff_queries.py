@@ -46,7 +46,7 @@ _PAIRS = "pairs as (select * from (select doc_id as pair_id, lag(text) over (par
   select pair_id, unnest(string_split(regexp_replace(before, '\\n\\z', ''), chr(10))) as line, 1 as b, 0 as a from pairs where before <> ''
   union all select pair_id, unnest(string_split(regexp_replace(after, '\\n\\z', ''), chr(10))), 0, 1 from pairs where after <> ''
 ), counts as (select pair_id, line, sum(b) as b, sum(a) as a from lines group by 1, 2)
-select p.pair_id, coalesce(sum(least(a, b)), 0) as kept, coalesce(sum(greatest(b - a, 0)), 0) as deleted, coalesce(sum(greatest(a - b, 0)), 0) as inserted from pairs p left join counts c using (pair_id) group by 1""")
+select p.pair_id, coalesce(sum(least(a, b)), 0)::bigint as kept, coalesce(sum(greatest(b - a, 0)), 0)::bigint as deleted, coalesce(sum(greatest(a - b, 0)), 0)::bigint as inserted from pairs p left join counts c using (pair_id) group by 1""")
 def line_multiset_diff(spark, d):
     """Kept, deleted and inserted lines of every pair of documents, whatever their order."""
     return linediff.multiset_diff(document_pairs(spark, d), "pair_id", "before", "after")
@@ -72,7 +72,7 @@ def diff_documents_json(spark, d):
 
 
 @query("""with ops as (select p.before, p.after from (select doc_id, lag(text) over (partition by repository, source order by doc_id) as before, text as after from documents) p where before is not null)
-select least(3000, greatest(len(before), len(after)) // 100) as size, count(*) as pairs, sum(len(after) - len(before)) as growth from ops group by 1""")
+select least(3000, greatest(len(before), len(after)) // 100) as size, count(*) as pairs, sum(len(after) - len(before))::bigint as growth from ops group by 1""")
 def size_changes(spark, d):
     """Derived differences of size per size class."""
     p = document_pairs(spark, d)
@@ -101,7 +101,7 @@ def _patches(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with c as (select repository, "commit", n_files as n from commits where n_files is not null), t as (
   select repository, 'before' as side, unnest(range(n, n + n % 3)) as line from c union all select repository, 'after', n + 1 from c union all select repository, 'after', unnest([n + 10, n + 11]) from c)
-select repository, side, count(*) as lines, sum(line) as total from t group by 1, 2""")
+select repository, side, count(*) as lines, sum(line)::bigint as total from t group by 1, 2""")
 def hunk_lines(spark, d):
     """Lines that hunk headers touch; a count of 0 touches none, a missing one is 1."""
     return hunks.touched_lines(_patches(spark, d), "patch", ["repository"]).groupBy("repository", "side").agg(F.count(F.lit(1)).alias("lines"), F.sum("line").alias("total"))
