@@ -16,6 +16,8 @@ import pyarrow.csv as pacsv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # The columns of a benchmark run and the words its status may be.
 COLUMNS = ["language", "repository", "commit", "path", "status", "elapsed_ms", "ast_nodes_before", "ast_nodes_after", "peak_memory_bytes"]
 STATUSES = ["ok", "timed_out", "killed", "unreadable", "panicked"]
@@ -213,7 +215,7 @@ def load_records(df: DataFrame, text: str = "raw_line", block: int = 1024) -> Da
                     reason = pa.array([r for _, r in bad], pa.string())
                     yield pa.RecordBatch.from_arrays([*own.columns, *empty, reason], names=[*keep, *COLUMNS, "reason"])
 
-    return source.mapInArrow(work, out)
+    return spread(source).mapInArrow(work, out)
 
 
 def good_rows(loaded: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def numbered_lines(pairs: DataFrame, pair_id: str, side: str, text: str) -> DataFrame:
     """pair_id, line, occurrence: each line of a text and how many equal ones stood before it; a final break opens no line."""
@@ -191,7 +193,7 @@ def _per_pair(pairs: DataFrame, pair_id: str, before: str, after: str, schema: s
                 columns = [pa.array([r[k] for r in rows], arrow.field(k).type) for k in range(len(names))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *columns], names=[pair_id, *names])
 
-    return source.mapInArrow(work, f"`{pair_id}` {kind}, {schema}")
+    return spread(source).mapInArrow(work, f"`{pair_id}` {kind}, {schema}")
 
 
 def line_classes(pairs: DataFrame, pair_id: str, before: str, after: str) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable, Hashable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import spread
 from .linediff import common_lines
 from .trees import Tree, parse
 
@@ -457,7 +458,7 @@ def tree_mapping(pairs: DataFrame, key: str, before: str, after: str, language:
                     own = batch.column(0).take(pa.array([i] * len(rows), pa.int64()))
                     yield pa.RecordBatch.from_arrays([own, *columns], names=[key, "before_id", "after_id", "operation", "reason", "cost"])
 
-    return source.mapInArrow(work, f"`{key}` {kind}, {MAPPING_SCHEMA}")
+    return spread(source).mapInArrow(work, f"`{key}` {kind}, {MAPPING_SCHEMA}")
 
 
 def copied_statements(pairs: DataFrame, key: str, before: str, after: str, language: str) -> DataFrame:
@@ -482,4 +483,4 @@ def copied_statements(pairs: DataFrame, key: str, before: str, after: str, langu
             if at:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, pa.int32()), pa.array(many, pa.list_(pa.int32()))], names=[key, "before_id", "after_ids"])
 
-    return source.mapInArrow(work, f"`{key}` {kind}, before_id int, after_ids array<int>")
+    return spread(source).mapInArrow(work, f"`{key}` {kind}, before_id int, after_ids array<int>")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 NODE_SCHEMA = "node_id int, parent_id int, depth int, child_idx int, kind string, text string, start int, end int, size int, full_hash bigint, kind_hash bigint"
 
 _TOKEN = re.compile(r'\s+|(?P<comment>//[^\n]*|#[^\n]*|/\*(?s:.*?)\*/)|(?P<string>"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\')|(?P<number>\d[\w.]*)|(?P<name>[^\W\d]\w*)|(?P<mark>.)', re.S)
@@ -185,7 +187,7 @@ def nodes(df: DataFrame, text: str, language: str, keep: list[str]) -> DataFrame
                 own = batch.slice(i, 1).take(pa.array([0] * len(rows), pa.int64()))
                 yield pa.RecordBatch.from_arrays([*own.columns[: len(keep)], *columns], names=[*keep, *names])
 
-    return source.mapInArrow(work, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), NODE_SCHEMA]))
+    return spread(source).mapInArrow(work, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), NODE_SCHEMA]))
 
 
 # --- set-oriented operators on node tables ------------------------------------------------

@@ -46,6 +46,21 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+#: Bytes of input per core below which rows are spread over all cores before heavy work.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores, if its input is too small to be split into as many parts by itself.
+
+    Beyond SPREAD_BYTES a core the splits of the files are parts enough, and nothing is shuffled.
+    The size is the optimizer's estimate; no job runs for it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def fresh_name(taken: list[str], wanted: str) -> str:
     """`wanted`, or with underscores put before it, such that no column of `taken` has the name."""
     low = {x.lower() for x in taken}
