@@ -12,8 +12,24 @@ CATEGORIES = {
     "Configuration": ["yml", "yaml", "toml", "ini", "cfg", "conf", "lock"],
     "Documentation": ["md", "rst", "txt", "adoc", "tex"],
 }
-# Fragments of paths that are no regular part of a repository.
-ANOMALOUS = ["/.git/", "/.hg/", "/.svn/", "/node_modules/", "/__pycache__/", "/.tox/", "/.venv/", "/.idea/", "/.cache/"]
+# Fragments of paths that corpus scans skip.
+ANOMALOUS = [
+    "/.gitignore",
+    "/.gitkeep",
+    "/.git/",
+    "/.github/",
+    "third_party",
+    "3rdparty",
+    "security/nss/gtests/freebl_gtest/kat",
+    "blob/4.x/3rdparty/openexr/Half/toFloat.h",
+    "libavcodec/metasound_data.h",
+    "libavcodec/on2avcdata.c",
+    "libavcodec/dcadata.c",
+    "libavcodec/hq_hqadata.h",
+    "libavcodec/ralfdata.h",
+    "libavcodec/twinvq_data.h",
+    "swiftlang-swift.git/test",
+]
 
 
 def basename(path: Column) -> Column:
@@ -69,5 +85,5 @@ def label_of_tip(tip: Column) -> Column:
 
 
 def is_anomalous(path: Column) -> Column:
-    padded = F.concat(F.lit("/"), path)
-    return F.exists(F.array(*map(F.lit, ANOMALOUS)), lambda x: F.contains(padded, x))
+    """Whether the path holds one of the fragments anywhere."""
+    return F.exists(F.array(*map(F.lit, ANOMALOUS)), lambda x: F.contains(path, x))

@@ -258,3 +258,22 @@ def line_totals(spark, d):
     """A plain aggregate over the largest star table."""
     l = table(spark, d, "lineitem")
     return l.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("sum_disc_price"), F.avg("l_discount").alias("avg_disc"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""select repository, count(*) as kept from candidates where path is not null and not (contains(path, '/.gitignore') or contains(path, '/.gitkeep') or contains(path, '/.git/') or contains(path, '/.github/') or contains(path, 'third_party') or contains(path, '3rdparty')) group by 1""")
+def regular_paths(spark, d):
+    """Sampled pairs per repository whose path a corpus scan doesn't skip."""
+    c = table(spark, d, "candidates")
+    return c.filter(F.col("path").isNotNull() & ~paths.is_anomalous(F.col("path"))).groupBy("repository").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query("""select a.repository, a.path, case when b.n is null then 'A' when a.n is null then 'D' else 'M' end as change_type from (select repository, path, count(*) as n from candidates where piece % 2 = 0 and path is not null group by 1, 2) b
+  full join (select repository, path, count(*) as n from candidates where piece % 2 = 1 and path is not null group by 1, 2) a on a.repository = b.repository and a.path = b.path where a.n is distinct from b.n and a.repository is not null
+  union all select b.repository, b.path, 'D' from (select repository, path from candidates where piece % 2 = 0 and path is not null group by 1, 2) b where not exists (select 1 from candidates a where a.piece % 2 = 1 and a.repository = b.repository and a.path = b.path)""")
+def snapshot_changes(spark, d):
+    """Added, deleted and changed paths between the pairs of the even and of the odd pieces, as two snapshots."""
+    from ..sources.archives import member_diff
+
+    side = lambda odd: table(spark, d, "candidates").filter(f"piece % 2 = {odd} and path is not null").groupBy("repository", "path").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.create_map(*map(F.lit, ("added", "A", "removed", "D", "changed", "M")))
+    return member_diff(side(0), side(1), ["repository"], "path", "n").filter("change <> 'unchanged'").select("repository", "path", kind[F.col("change")].alias("change_type"))

@@ -27,7 +27,8 @@ def test_labels(spark):
     assert value(spark, paths.label_of_tip(F.col("p")), p="Code (by name)") == "Code"
     assert value(spark, paths.label_of_tip(F.col("p")), p=None) == "Unknown"
     assert value(spark, paths.category(F.col("p")), p="a/b.toml") == "Configuration"
-    assert value(spark, paths.is_anomalous(F.col("p")), p="node_modules/x.js")
+    assert value(spark, paths.is_anomalous(F.col("p")), p="a/third_party/x.js")
+    assert not value(spark, paths.is_anomalous(F.col("p")), p="src/party.rs")
     assert value(spark, paths.top_folder(F.col("p")), p="a//./b/c") == "a"
 
 
