@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .abuse_words import ADJECTIVES, CONFUSABLE, GROUPS, INSULTS, LEET, SEEDS_BAD, SEEDS_FINE, SEXUAL, SWEARING, YOU
 
 #: Labelled documents that are fitted on, at most.
@@ -318,4 +319,4 @@ def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -
                 scores.append(top)
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(scores, pa.float64())], names=[*keep, "score"])
 
-    return source.mapInArrow(work, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double"]))
+    return spread(source).mapInArrow(work, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double"]))

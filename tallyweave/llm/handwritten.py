@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .syntax import known_language
 
 #: Order of the identifier models, and the number of symbols: letters, digits, `_`, other, end.
@@ -234,6 +234,7 @@ def judged_files(
     source = df.select(
         F.col(file_id).alias("_id"), F.col(repository).alias("_repository"), F.coalesce(F.col(path), F.lit("")).alias("_path"), known_language(F.col(language), F.col(path)).alias("_language"), F.col(content).alias("_content")
     )
+    source = spread(source)
     models = spark.sparkContext.broadcast(train(source, "_language", "_content"))
     id_type = dict(source.dtypes)["_id"]
 

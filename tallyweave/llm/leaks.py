@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Words in a row that count as repeated, and words of a section that may have one edit in EDIT_SHARE.
 RUN, SECTION, EDIT_SHARE = 12, 24, 6
 WINDOW = 12
@@ -252,7 +254,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     kinds = dict(docs.dtypes) | {"": dict(items.dtypes)[item_id]}
     schema = f"`{item_id}` {kinds['']}, `{doc_id}` {kinds[doc_id]}"
     spark = docs.sparkSession
-    source = docs.select(doc_id, text)
+    source = spread(docs.select(doc_id, text))
     out: DataFrame | None = None
     for block in blocks:
         sent = spark.sparkContext.broadcast(Index(block))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import grammars, lexing
 from .parsing import Grammar, Tables, first_error
 
@@ -108,7 +109,7 @@ def check_files(df: DataFrame, keep: list[str], content: str = "content", langua
                 lines.append(line)
             yield pa.RecordBatch.from_arrays([*batch.columns[: k + 1], pa.array(valid, pa.bool_()), pa.array(lines, pa.int32())], names=[*keep, "_language", "_valid", "_line"])
 
-    return source.mapInArrow(work, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "_language string, _valid boolean, _line int"]))
+    return spread(source).mapInArrow(work, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "_language string, _valid boolean, _line int"]))
 
 
 def invalid_rates(checked: DataFrame, by: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A vocabulary file may be broadcast up to this size.
 MOST_BYTES = 64_000_000
@@ -45,4 +47,4 @@ def with_token_counts(df: DataFrame, text: str, keep: list[str], out: str = "n_t
             counts = [len(encoder.encode_ordinary(x)) if x else 0 for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(counts, pa.int64())], names=[*keep, out])
 
-    return source.mapInArrow(work, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{out}` bigint"]))
+    return spread(source).mapInArrow(work, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{out}` bigint"]))
