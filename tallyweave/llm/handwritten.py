@@ -104,14 +104,37 @@ def head_of(text: str) -> str:
     return "\n".join(out)
 
 
+def named_projects(head: str) -> list[str]:
+    """The projects that the leading comments name, in lower-case letters and digits."""
+    found = [g.lower() for m in _PROJECT.finditer(head) for g in m.groups() if g]
+    return [re.sub(r"[^a-z0-9]", "", x) for x in found if x.lower() not in ("the", "this", "version", "v", "release", "licence", "license", "python", "apache", "mit", "bsd", "gpl", "mpl", "isc", "zlib", "copyright", "spdx", "todo", "note", "since", "requires", "step", "section", "chapter", "part")]
+
+
 def names_other_project(head: str, repository: str | None) -> bool:
     """Whether the leading comments say that the file belongs to a project that isn't this repository."""
     own = re.sub(r"[^a-z0-9]", "", (repository or "").lower())
-    found = [g.lower() for m in _PROJECT.finditer(head) for g in m.groups() if g]
-    found = [re.sub(r"[^a-z0-9]", "", x) for x in found if x.lower() not in ("the", "this", "version", "v", "release", "licence", "license", "python", "apache", "mit", "bsd", "gpl", "mpl", "isc", "zlib", "copyright", "spdx", "todo", "note", "since", "requires", "step", "section", "chapter", "part")]
+    found = named_projects(head)
     return any(x and x not in own for x in found) and not any(x and x in own for x in found)
 
 
+def vendored_package(path: str) -> tuple[str, bool] | None:
+    """The package whose folder the file is in, and whether that is surely another project's."""
+    vendor = _VENDOR.search(path)
+    if not vendor:
+        return None
+    package = re.sub(r"(?:-src|[-@]v?\d[\d.]*)$", "", vendor["package"]).lower()
+    stem = vendor["file"].rsplit(".", 1)[0].lower()
+    strict = not re.search(r"(?:^|/)(?:external|extern|deps|contrib)/", path) or stem in (package, "index", "main", "lib", "mod", "__init__") or package != vendor["package"].lower()
+    return package, strict
+
+
+def origins(text: str, path: str) -> list[str]:
+    """The projects that a copied file comes from, by its head and folder, in lower-case letters and digits."""
+    vendor = vendored_package(path)
+    package = [re.sub(r"[^a-z0-9]", "", vendor[0])] if vendor and vendor[1] else []
+    return sorted({x for x in named_projects(head_of(text)) + package if x})
+
+
 def layout(text: str) -> dict[str, float]:
     """What the file looks like: shapes of lines, literals, blanks, names."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
@@ -208,13 +231,9 @@ def _judge(name: str | None, text: str, path: str, repository: str | None, model
         return "generated", bits
     if _LOCKFILE.search(path) and len(_HASHED.findall(text)) >= 2:
         return "generated", bits
-    vendor = _VENDOR.search(path)
-    if vendor:
-        package = re.sub(r"(?:-src|[-@]v?\d[\d.]*)$", "", vendor["package"]).lower()
-        stem = vendor["file"].rsplit(".", 1)[0].lower()
-        strict = not re.search(r"(?:^|/)(?:external|extern|deps|contrib)/", path) or stem in (package, "index", "main", "lib", "mod", "__init__") or package != vendor["package"].lower()
-        if strict and package not in re.split(r"[^a-z0-9]+", (repository or "").lower()):
-            return "copied", bits
+    vendor = vendored_package(path)
+    if vendor and vendor[1] and vendor[0] not in re.split(r"[^a-z0-9]+", (repository or "").lower()):
+        return "copied", bits
     if names_other_project(head, repository):
         return "copied", bits
     return None, bits
@@ -227,7 +246,8 @@ def judged_files(
 
     Null and empty contents are hand-written as far as anyone can tell. Files of an unknown language
     have no model, so their names can't be mangled. A file in its project's home repository is no
-    copy: the home of a project is the repository that is called like the file, else the one with
+    copy: where any holder's head or package folder names the project, its home is the repository of
+    that name, present or not; else the repository that is called like the file, else the one with
     most files of it. Repeated ids are judged separately; other columns aren't read.
     """
     spark = df.sparkSession
@@ -241,7 +261,7 @@ def judged_files(
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pydict()
-            reasons, bits, lists, named = [], [], [], []
+            reasons, bits, lists, named, sources = [], [], [], [], []
             for repo, where, name, text in zip(rows["_repository"], rows["_path"], rows["_language"], rows["_content"], strict=True):
                 stem = where.replace("\\", "/").rsplit("/", 1)[-1].rsplit(".", 1)[0].lower()
                 parts = [x for x in re.split(r"[^a-z0-9]+", (repo or "").lower()) if x]
@@ -250,28 +270,34 @@ def judged_files(
                     reasons.append(None)
                     bits.append(0.0)
                     lists.append([])
+                    sources.append([])
                     continue
                 reason, b = _judge(name, text, where.replace("\\", "/"), repo, models.value.get(name))
                 reasons.append(reason)
                 bits.append(b)
                 lists.append([] if reason in ("data", "mangled?") else sorted(set(triples(text))))
+                sources.append(origins(text, where.replace("\\", "/")) if reason == "copied" else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array(reasons, pa.string()), pa.array(bits, pa.float64()), pa.array(named, pa.float64()), pa.array(lists, pa.list_(pa.int64()))],
-                names=["_id", "_repository", "_language", "reason", "bits", "_named", "_triples"],
+                [batch.column(0), batch.column(1), batch.column(3), pa.array(reasons, pa.string()), pa.array(bits, pa.float64()), pa.array(named, pa.float64()), pa.array(lists, pa.list_(pa.int64())), pa.array(sources, pa.list_(pa.string()))],
+                names=["_id", "_repository", "_language", "reason", "bits", "_named", "_triples", "_origins"],
             )
 
     # Read by three branches below, judged once.
-    seen = cut_lineage(source.mapInArrow(judge, f"_id {id_type}, _repository string, _language string, reason string, bits double, _named double, _triples array<bigint>"))
+    seen = cut_lineage(source.mapInArrow(judge, f"_id {id_type}, _repository string, _language string, reason string, bits double, _named double, _triples array<bigint>, _origins array<string>"))
     # A row of its own key, as ids may repeat: the same file has the same triples anyway.
     keyed = seen.withColumn("_key", F.xxhash64("_id", "_repository", "_triples"))
     names = keyed.select("_key", "_repository", "_named", F.explode("_triples").alias("_t")).withColumn("_repository", F.coalesce("_repository", F.lit("")))
     # Per triple and repository first, so that a triple of a third of all files is few rows.
     held = names.groupBy("_t", "_repository").agg(F.max("_named").alias("_named"), F.count(F.lit(1)).alias("_n"))
     home = held.groupBy("_t").agg(F.max(F.struct("_named", "_n", "_repository"))["_repository"].alias("_home"), F.count(F.lit(1)).alias("_repos")).filter("_repos > 1")
+    # Who says where a triple comes from says it for all its holders.
+    told = keyed.filter("size(_origins) > 0").select(F.explode("_triples").alias("_t"), "_origins").select("_t", F.explode("_origins").alias("_o")).groupBy("_t").agg(F.collect_set("_o").alias("_told"))
+    own = F.regexp_replace(F.lower("_repository"), "[^a-z0-9]", "")
+    elsewhere = F.when(F.col("_told").isNotNull(), ~F.exists("_told", lambda x: F.contains(own, x))).otherwise(F.col("_home") != F.col("_repository"))
     foreign = (
-        names.join(home, "_t")
+        names.join(home.join(told, "_t", "full"), "_t")
         .groupBy("_key")
-        .agg(F.count_if(F.col("_home") != F.col("_repository")).alias("_foreign"), F.count(F.lit(1)).alias("_shared"))
+        .agg(F.count_if(elsewhere).alias("_foreign"), F.count(F.lit(1)).alias("_shared"))
         .filter(F.col("_foreign") >= LEAST_TRIPLES)
     )
     # The usual bits of a language, from all its files.

@@ -158,6 +158,16 @@ def test_copies_and_homes(spark):
     assert H.judged_files(df.limit(0)).count() == 0
 
 
+def test_a_copier_is_no_home_because_it_sorts_last(spark):
+    """One copy names its project, whose own repository isn't there: then no holder is at home."""
+    lib, own = HAND.replace("table", "atlas"), HAND.replace("_", "_own_")
+    rows = [(1, "a-a", "external/argsplit-src/index.py", "# argsplit: splits (version 3.9.7)\n" + lib), (2, "z-z", "core/count.py", lib), (3, "y-y", "core/other.py", own), (4, "argsplit-kit", "x.py", lib)]
+    schema = "file_id bigint, repository string, path string, language string, content string"
+    df = spark.createDataFrame([(i, r, p, "Python", c) for i, r, p, c in rows], schema)
+    assert sorted((r.file_id, r.reason) for r in H.judged_files(df.filter("file_id < 4")).collect() if r.reason) == [(1, "copied"), (2, "copied")]
+    assert sorted(r.file_id for r in H.judged_files(df).collect() if r.reason) == [1, 2]
+
+
 def test_mangled_names_stand_out(spark):
     rows = [(i, "r", f"f{i}.js", HAND.replace("def", f"f{i}")) for i in range(30)] + [(99, "r", "m.js", MINIFIED * 3)]
     df = spark.createDataFrame([(i, r, p, "JavaScript", c) for i, r, p, c in rows], "file_id bigint, repository string, path string, language string, content string")
