@@ -252,19 +252,54 @@ def nearest_marked_ancestor(nodes_: DataFrame, key: list[str], marked: str) -> D
     return nodes_.select(*key, "node_id", "size", marked).groupBy(*key).applyInPandas(work, schema)
 
 
-def node_paths(nodes_: DataFrame, key: list[str], most_depth: int = 64) -> DataFrame:
-    """key, node_id, path: `kind:n/kind:n`, n counting siblings of one kind from 1; the root's is empty. Iterates over depths, not rows."""
-    w = Window.partitionBy(*key, "parent_id", "kind").orderBy("child_idx")
-    steps = nodes_.select(*key, "node_id", "parent_id", "depth", F.concat("kind", F.lit(":"), F.row_number().over(w)).alias("_step")).persist()
-    level = steps.filter("depth = 0").select(*key, "node_id", F.lit("").alias("path"))
-    out = level
-    deepest = steps.agg(F.max("depth")).first()[0] or 0
-    for d in range(1, min(deepest, most_depth) + 1):
-        kids = steps.filter(F.col("depth") == d)
-        up = level.withColumnRenamed("node_id", "parent_id")
-        level = kids.join(up, [*key, "parent_id"]).select(*key, "node_id", F.when(F.col("path") == "", F.col("_step")).otherwise(F.concat_ws("/", "path", "_step")).alias("path"))
-        out = out.unionByName(level)
-    return out
+#: Characters of paths that a batch holds.
+BATCH_CHARS = 16 << 20
+
+
+def node_paths(nodes_: DataFrame, key: list[str]) -> DataFrame:
+    """key, node_id, path: `kind:n/kind:n`, n counting siblings of one kind from 1; the root's is empty.
+
+    Any depth: one pass over the nodes in preorder that holds the open nodes of one tree, after one shuffle.
+    """
+    rows = nodes_.select(*key, "node_id", "parent_id", "depth", "kind")
+    k = len(key)
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.select(*key).dtypes), "node_id int, path string"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
+        open_: list[tuple[int, str, dict[str, int]]] = []  # node, path, children so far by kind
+        for batch in batches:
+            at, paths, keep, chars = 0, [], [], 0
+
+            def packed(end: int) -> pa.RecordBatch:
+                part = batch.slice(at, end - at).take(pa.array(keep, pa.int64()))
+                return pa.RecordBatch.from_arrays([*part.columns[: k + 1], pa.array(paths, pa.string())], names=[*key, "node_id", "path"])
+
+            ids = zip(*(batch.column(i).to_pylist() for i in range(k)), strict=True)
+            values = (batch.column(k + i).to_pylist() for i in range(4))
+            for row, (me, node, parent, depth, kind) in enumerate(zip(ids, *values, strict=True)):
+                if me != tree or depth == 0:
+                    tree, open_ = me, []
+                while open_ and open_[-1][0] > parent:
+                    open_.pop()
+                if depth == 0:
+                    path = ""
+                elif open_ and open_[-1][0] == parent:
+                    _, above, seen = open_[-1]
+                    seen[kind] = seen.get(kind, 0) + 1
+                    path = f"{above}/{kind}:{seen[kind]}" if above else f"{kind}:{seen[kind]}"
+                else:
+                    continue
+                open_.append((node, path, {}))
+                paths.append(path)
+                keep.append(row - at)
+                chars += len(path)
+                if chars > BATCH_CHARS:
+                    yield packed(row + 1)
+                    at, paths, keep, chars = row + 1, [], [], 0
+            yield packed(batch.num_rows)
+
+    return rows.repartition(*key).sortWithinPartitions(*key, "node_id").mapInArrow(work, schema)
 
 
 def visible_rows(nodes_: DataFrame, key: list[str], collapsed: Column, hidden: Column) -> DataFrame:

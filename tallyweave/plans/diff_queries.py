@@ -189,8 +189,9 @@ def tree_unique_keys(spark, d):
 
 @query()
 def tree_gaps(spark, d):
-    """Characters of inner nodes that no child covers."""
-    return trees.owned_gaps(trees.nodes(table(spark, d, "file_contents").filter("language <> 'Json'"), "content", "language", ["file_id"]), ["file_id"])
+    """Characters of inner nodes that no child covers. JSON is read as tokens too, as nodes of its own trees have no place in the text."""
+    f = table(spark, d, "file_contents").withColumn("language", F.lit(None).cast("string"))
+    return trees.owned_gaps(trees.nodes(f, "content", "language", ["file_id"]), ["file_id"])
 
 
 @query()
@@ -225,8 +226,9 @@ def tree_leaf_conventions(spark, d):
 
 @query()
 def tree_node_paths(spark, d):
-    """How many distinct paths of kinds the files of a language have."""
-    n = trees.nodes(table(spark, d, "file_contents").filter("language = 'Json'"), "content", "language", ["file_id"])
+    """How many distinct paths of kinds every file has; a null language is told by the extension."""
+    f = table(spark, d, "file_contents").withColumn("language", F.coalesce("language", F.when(F.lower("path").endswith(".json"), "Json")))
+    n = trees.nodes(f, "content", "language", ["file_id"])
     return trees.node_paths(n, ["file_id"]).groupBy("file_id").agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("path").alias("paths"))
 
 

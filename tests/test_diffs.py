@@ -166,6 +166,23 @@ def nodes(spark, text):
     return T.nodes(df, "t", "l", ["id"])
 
 
+def test_paths_of_any_depth(spark):
+    df = spark.createDataFrame([(1, "[" * 200 + "]" * 200, "Json"), (2, '{"a": [1, 2, "x"]}', "Json"), (3, "(" * 90 + ")" * 90, None)], "id int, t string, l string")
+    n = T.nodes(df, "t", "l", ["id"])
+    paths = {(r.id, r.node_id): r.path for r in T.node_paths(n, ["id"]).collect()}
+    assert len(paths) == n.count() and paths[1, 200] == "/".join(["array:1"] * 199)
+    assert [paths[2, i] for i in range(1, 7)] == ["", "pair:1", "pair:1/array:1", "pair:1/array:1/number:1", "pair:1/array:1/number:2", "pair:1/array:1/string:1"]
+
+
+def test_tree_queries_take_every_file(spark, tmp_path):
+    from tallyweave.plans import diff_queries as Q
+
+    rows = [(1, "Go", "a.go", "f(b , c)"), (2, "Json", "a.json", '{"a" : 1}'), (3, None, "b.json", '{"a": [1]}'), (4, None, "x", "g(a  , b)")]
+    spark.createDataFrame(rows, "file_id bigint, language string, path string, content string").write.parquet(f"{tmp_path}/file_contents.parquet")
+    assert {r.file_id: r.nodes for r in Q.tree_node_paths(spark, str(tmp_path)).collect()} == {1: 9, 2: 3, 3: 4, 4: 9}
+    assert {r.kind: r.gap_characters for r in Q.tree_gaps(spark, str(tmp_path)).collect()}["statement"] == 6
+
+
 def test_node_operators(spark):
     n = nodes(spark, "a;\nf(b, c);\n").cache()
     paths = {r.node_id: r.path for r in T.node_paths(n, ["id"]).collect()}
