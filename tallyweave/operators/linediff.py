@@ -6,6 +6,7 @@ import json
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def common_lines(a: list, b: list) -> list[tuple[int, int]]:
     """Index pairs of a longest common subsequence.
 
     Equal ends are cut off. A row of the table is one whole number with a bit per item of `b`, so a
-    step handles all of them. Tables beyond MOST_CELLS are cut at items that are unique on both sides.
+    step handles all of them. Tables beyond MOST_CELLS are halved where a longest subsequence passes.
     """
     start = 0
     while start < len(a) and start < len(b) and a[start] == b[start]:
@@ -53,7 +54,7 @@ def common_lines(a: list, b: list) -> list[tuple[int, int]]:
     end_a, end_b = len(a), len(b)
     while end_a > start and end_b > start and a[end_a - 1] == b[end_b - 1]:
         end_a, end_b = end_a - 1, end_b - 1
-    middle = _in_order(a[start:end_a], b[start:end_b]) if (end_a - start) * (end_b - start) > MOST_CELLS else _by_bits(a[start:end_a], b[start:end_b])
+    middle = _by_halves(a[start:end_a], b[start:end_b]) if (end_a - start) * (end_b - start) > MOST_CELLS else _by_bits(a[start:end_a], b[start:end_b])
     head = [(i, i) for i in range(start)]
     tail = [(end_a + i, end_b + i) for i in range(len(a) - end_a)]
     return head + [(start + i, start + j) for i, j in middle] + tail
@@ -87,27 +88,47 @@ def _by_bits(a: list, b: list) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _in_order(a: list, b: list) -> list[tuple[int, int]]:
-    """For very long lists: split at the heaviest chain of unique common items; halved where there is none."""
-    count_a: dict = {}
-    count_b: dict = {}
-    for x in a:
-        count_a[x] = count_a.get(x, 0) + 1
+#: Most frequent items whose bits are kept at hand; the others' are made when needed.
+KEPT_MASKS = 256
+
+
+def _last_row(a: list, b: list) -> np.ndarray:
+    """The lengths of longest common subsequences of `a` with each beginning of `b`, in memory linear in both."""
+    places: dict = {}
     for j, x in enumerate(b):
-        count_b[x] = -1 if x in count_b else j
-    anchors = [(i, count_b[x]) for i, x in enumerate(a) if count_a[x] == 1 and count_b.get(x, -1) >= 0]
-    chain = [anchors[k] for k in heaviest_in_order(anchors, [1] * len(anchors))] or [(len(a) // 2, len(b) // 2)]
-    out: list[tuple[int, int]] = []
-    x = y = 0
-    for i, j in [*chain, (len(a), len(b))]:
-        part = common_lines(a[x:i], b[y:j])
-        out += [(x + p, y + q) for p, q in part]
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            out.append((i, j))
-            x, y = i + 1, j + 1
-        else:
-            x, y = i, j
-    return out
+        places.setdefault(x, []).append(j)
+
+    def mask(at: list[int]) -> int:
+        if len(at) == 1:
+            return 1 << at[0]
+        bits = np.zeros(len(b), np.uint8)
+        bits[at] = 1
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    often = sorted((x for x in places if len(places[x]) > 1), key=lambda x: -len(places[x]))[:KEPT_MASKS]
+    kept = {x: mask(places[x]) for x in often}
+    whole = (1 << len(b)) - 1
+    v = whole
+    for x in a:
+        if x in places:
+            hit = v & (kept[x] if x in kept else mask(places[x]))
+            v = ((v + hit) | (v - hit)) & whole
+    grows = 1 - np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), count=len(b), bitorder="little").astype(np.int64)
+    return np.concatenate([[0], np.cumsum(grows)])
+
+
+def _by_halves(a: list, b: list) -> list[tuple[int, int]]:
+    """For very long lists, after Hirschberg: `b` is cut where the halves of `a` have most in common with its two parts."""
+    in_a, in_b = set(a), set(b)
+    rows, columns = [i for i, x in enumerate(a) if x in in_b], [j for j, x in enumerate(b) if x in in_a]
+    a, b = [a[i] for i in rows], [b[j] for j in columns]
+    if len(a) < 2 or len(a) * len(b) <= MOST_CELLS:
+        found = _by_bits(a, b)
+    else:
+        i = len(a) // 2
+        j = int(np.argmax(_last_row(a[:i], b) + _last_row(a[i:][::-1], b[::-1])[::-1]))
+        found = common_lines(a[:i], b[:j]) + [(i + x, j + y) for x, y in common_lines(a[i:], b[j:])]
+    return [(rows[x], columns[y]) for x, y in found]
 
 
 def moved_lines(a: list[str], b: list[str], kept: list[tuple[int, int]]) -> list[tuple[int, int]]:

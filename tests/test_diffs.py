@@ -33,6 +33,18 @@ def test_common_lines_are_longest():
         assert len(k) == longest(a, b) and all(a[i] == b[j] for i, j in k) and k == sorted(k)
 
 
+@pytest.mark.parametrize("kept", [256, 1])
+def test_long_lists_are_halved_exactly(monkeypatch, kept):
+    monkeypatch.setattr(L, "MOST_CELLS", 6)
+    monkeypatch.setattr(L, "KEPT_MASKS", kept, raising=False)
+    unique_but_out_of_order = ["u", *"abcdef"], [*"abcdef", "u"]
+    rng = random.Random(2)
+    for a, b in [unique_but_out_of_order, unique_but_out_of_order[::-1], *(([rng.randrange(n) for _ in range(rng.randrange(40))] for _ in range(2)) for n in (2, 4, 30) for _ in range(100))]:
+        k = L.common_lines(a, b)
+        assert len(k) == longest(a, b) and all(a[i] == b[j] for i, j in k)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(k, k[1:], strict=False))
+
+
 def test_three_lines_rotated():
     left, right = L.classify("a\nb\nc", "b\nc\na")
     assert [x[1] for x in left] == ["moved", "kept", "kept"] and [x[1] for x in right] == ["kept", "kept", "moved"]
