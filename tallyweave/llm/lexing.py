@@ -69,57 +69,145 @@ _C_SAME = {"__inline": "inline", "__inline__": "inline", "__restrict": "restrict
 _DIRECTIVE = re.compile(r"[ \t]*#[ \t]*([A-Za-z_]*)")
 
 
+_DEFINES = re.compile(r"^[ \t]*#[ \t]*(?:define|undef)[ \t]+(\w+)", re.M)
+_DEFINED = re.compile(r"defined *\(? *(\w+) *\)?\Z")
+
+
+def _condition(word: str, rest: str, own: set[str], at: int) -> tuple[str, bool] | bool | None:
+    """What a branch asks for: a condition and the value it must have, a constant, or None for #else."""
+    rest = " ".join(re.sub(r"/\*.*?\*/|//[^\n]*|\\\r?\n", " ", rest, flags=re.S).split())
+    if word == "else":
+        return None
+    if word.endswith("def"):
+        rest = ("!" if word.endswith("ndef") else "") + f"defined {rest}"
+    wanted = True
+    while True:
+        inner = rest[1:].strip() if rest.startswith("!") else ""
+        if not inner or not re.fullmatch(r"\w+|\([^()]*\)|defined *\(? *\w+ *\)?", inner):
+            break
+        rest, wanted = inner, not wanted
+    while re.fullmatch(r"\([^()]*\)", rest):
+        rest = rest[1:-1].strip()
+    if rest in ("0", "1"):
+        return (rest == "1") == wanted
+    m = _DEFINED.match(rest)
+    rest = f"defined {m.group(1)}" if m else rest
+    # A name that the file itself defines may differ from place to place.
+    return (f"{rest} at {at}" if own & set(re.findall(r"\w+", rest)) else rest), wanted
+
+
+class Conditionals:
+    """A text by the branches of its conditionals: directives are blanked, each part knows its branch.
+
+    Conditions are taken for free, but the same condition has the same value everywhere; what
+    a constant excludes is dead. Branch 0 is the text outside of conditionals.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.wrong: int | None = None  # offset of an unbalanced conditional or an unknown directive
+        self.parts: list[tuple[str, int]] = []
+        self.parent = [-1]
+        self.groups: list[list[int]] = []  # branches of each conditional
+        self.group_of = [-1]
+        self.asks: list[tuple[str, bool] | bool | None] = [None]
+        own = set(_DEFINES.findall(text))
+        open_: list[tuple[int, int]] = []  # offset, group
+        branch, at, i, in_comment = 0, 0, 0, False
+        lines = text.splitlines(keepends=True) if "#" in text else [text]
+        unknown: list[tuple[int, int]] = []
+        while i < len(lines):
+            line = lines[i]
+            start = at
+            m = None if in_comment else _DIRECTIVE.match(line)
+            if m:
+                whole = line
+                while whole.rstrip("\r\n").endswith("\\") and i + 1 < len(lines):
+                    i += 1
+                    whole += lines[i]
+                # a comment that opens in a directive may go on
+                bare = re.sub(r'"(?:[^"\\\n]|\\.)*"|//[^\n]*', "", whole)
+                while bare.count("/*") > bare.count("*/") and i + 1 < len(lines):
+                    i += 1
+                    whole += lines[i]
+                    bare = re.sub(r'"(?:[^"\\\n]|\\.)*"', "", whole)
+                word = m.group(1)
+                if word in ("if", "ifdef", "ifndef", "elif", "else", "elifdef", "elifndef"):
+                    if word.startswith("if"):
+                        open_.append((start, len(self.groups)))
+                        self.groups.append([])
+                        above = branch
+                    elif not open_ or self.asks[branch] is None:
+                        self.wrong = start
+                        return
+                    else:
+                        above = self.parent[branch]
+                    branch = len(self.parent)
+                    self.parent.append(above)
+                    self.groups[open_[-1][1]].append(branch)
+                    self.group_of.append(open_[-1][1])
+                    self.asks.append(_condition(word, whole[m.end() :], own, start))
+                elif word == "endif":
+                    if not open_:
+                        self.wrong = start
+                        return
+                    open_.pop()
+                    branch = self.parent[branch]
+                elif word not in ("include", "define", "undef", "pragma", "error", "warning", "line", "include_next", "import", "ident", "embed", ""):
+                    unknown.append((start, branch))
+                self.parts.append((re.sub(r"[^\n]", " ", whole), branch))
+                at += len(whole)
+            else:
+                self.parts.append((line, branch))
+                in_comment = _open_comment(line, in_comment)
+                at += len(line)
+            i += 1
+        wrong = [at for at, x in unknown if self.values([x]) is not None] + [at for at, _ in open_]
+        self.wrong = min(wrong, default=None)
+
+    def values(self, wanted: list[int], skip: bool = False) -> dict[str, bool] | None:
+        """Values of conditions that make the wanted branches live; None if there are none, or without those that don't fit if `skip`."""
+        out: dict[str, bool] = {}
+        for branch in wanted:
+            mine = dict(out)
+            fits = True
+            while branch > 0 and fits:
+                group = self.groups[self.group_of[branch]]
+                for x in group[: group.index(branch) + 1]:
+                    ask, right = self.asks[x], x == branch
+                    if isinstance(ask, tuple):
+                        value = ask[1] == right
+                        fits = fits and mine.setdefault(ask[0], value) == value
+                    elif ask is not None:
+                        fits = fits and ask == right
+                branch = self.parent[branch]
+            if fits:
+                out = mine
+            elif not skip:
+                return None
+        return out
+
+    def live(self, values: dict[str, bool]) -> set[int]:
+        """The branches taken: where nothing is known, the first ones."""
+        known = dict(values)
+        out = {0}
+        for group in self.groups:
+            if self.parent[group[0]] not in out:
+                continue
+            for x in group:
+                ask = self.asks[x]
+                if ask is None or ask is True or isinstance(ask, tuple) and known.setdefault(ask[0], ask[1]) == ask[1]:
+                    out.add(x)
+                    break
+        return out
+
+    def text(self, live: set[int]) -> str:
+        return "".join(part if branch in live else re.sub(r"[^\n]", " ", part) for part, branch in self.parts)
+
+
 def strip_directives(text: str) -> tuple[str, int | None]:
     """The text with directives and the later branches of conditionals blanked; the offset of an unbalanced conditional, if any."""
-    if "#" not in text:
-        return text, None
-    out: list[str] = []
-    depth: list[list] = []  # offset, whether this branch is taken, whether it has had its #else
-    at = 0
-    in_comment = False
-    lines = text.splitlines(keepends=True)
-    i = 0
-    while i < len(lines):
-        line = lines[i]
-        start = at
-        m = None if in_comment else _DIRECTIVE.match(line)
-        if m:
-            whole = line
-            while whole.rstrip("\r\n").endswith("\\") and i + 1 < len(lines):
-                i += 1
-                whole += lines[i]
-            # a comment that opens in a directive may go on
-            bare = re.sub(r'"(?:[^"\\\n]|\\.)*"|//[^\n]*', "", whole)
-            while bare.count("/*") > bare.count("*/") and i + 1 < len(lines):
-                i += 1
-                whole += lines[i]
-                bare = re.sub(r'"(?:[^"\\\n]|\\.)*"', "", whole)
-            word = m.group(1)
-            if word in ("if", "ifdef", "ifndef"):
-                depth.append([start, all(d[1] for d in depth), False])
-            elif word in ("elif", "else", "elifdef", "elifndef"):
-                if not depth or depth[-1][2]:
-                    return text, start
-                depth[-1][1] = False
-                depth[-1][2] = word == "else"
-            elif word == "endif":
-                if not depth:
-                    return text, start
-                depth.pop()
-            elif word not in ("include", "define", "undef", "pragma", "error", "warning", "line", "include_next", "import", "ident", "embed", ""):
-                if all(d[1] for d in depth):
-                    return text, start
-            out.append(re.sub(r"[^\n]", " ", whole))
-            at += len(whole)
-        else:
-            if all(d[1] for d in depth):
-                out.append(line)
-                in_comment = _open_comment(line, in_comment)
-            else:
-                out.append(re.sub(r"[^\n]", " ", line))
-            at += len(line)
-        i += 1
-    return "".join(out), depth[0][0] if depth else None
+    c = Conditionals(text)
+    return (text, c.wrong) if c.wrong is not None else (c.text(c.live({})), None)
 
 
 _COMMENT_MARK = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|//|/\*|\*/')

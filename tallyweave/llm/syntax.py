@@ -9,7 +9,7 @@ from __future__ import annotations
 import ast
 import sys
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
@@ -49,19 +49,44 @@ def tables_of(language: str) -> Tables:
 
 
 def error_line(text: str, language: str, tables: dict[str, Tables] | None = None) -> int | None:
-    """The line of the first error from which no parse is left, or None for a valid file."""
+    """The line of the first error from which no parse is left, or None for a valid file.
+
+    C is parsed with first branches of its conditionals, then with the others until each has been in a text.
+    """
     table = tables[language] if tables else tables_of(language)
     lex = _GRAMMARS[language][1]
     if not text.strip("﻿ \t\r\n\f"):
         return 1 if language == "Json" else None
-    found = lex(text, table.terminals)
-    tokens, offsets = found[0], found[1]
-    at = first_error(table, tokens, *found[2:])
-    if at is None:
-        return None
-    if language == "Python" and _python_takes(text):
+    at = _error_offset(text, lex, table)
+    if at is None and language == "C" and "#" in text:
+        at = _error_of_branches(text, lex, table)
+    if at is None or language == "Python" and _python_takes(text):
         return None
-    return lexing.line_of(text, offsets[at] if at < len(offsets) else len(text))
+    return lexing.line_of(text, at)
+
+
+def _error_offset(text: str, lex: Callable, table: Tables) -> int | None:
+    found = lex(text, table.terminals)
+    at = first_error(table, found[0], *found[2:])
+    return None if at is None else found[1][at] if at < len(found[1]) else len(text)
+
+
+def _error_of_branches(text: str, lex: Callable, table: Tables) -> int | None:
+    """The first error of a later branch, which neither a text with other later ones nor one with first ones around it parses."""
+    c = lexing.Conditionals(text)
+    seen = c.live({})
+    while True:
+        rest = [x for x in range(len(c.parent)) if x not in seen and c.values([x]) is not None]
+        if not rest:
+            return None
+        live = c.live(c.values(rest, skip=True))
+        if _error_offset(c.text(live), lex, table) is not None:
+            for x in rest:
+                if x in live:
+                    at = _error_offset(c.text(c.live(c.values([x]))), lex, table)
+                    if at is not None:
+                        return at
+        seen |= live
 
 
 def _python_takes(text: str) -> bool:

@@ -71,6 +71,21 @@ def test_invalid_files(language):
         assert syntax.error_line(text, language) is not None, text
 
 
+_F = "int f(void)\n{\n%s\n  return 0;\n}\n"
+
+
+@pytest.mark.parametrize(
+    ("text", "line"),
+    [
+        (_F % "#ifdef _WIN32\n  a();\n#else\n  b(;\n#endif", 6), (_F % "#if A\n  a();\n#elif B\n  b();\n#else\n  char *s = \"x;\n#endif", 8), (_F % "#if 0\n  a();\n#else\n<<<<<<< HEAD\n#endif", 6), (_F % "#ifdef A\n  a();\n#else\n# ifdef B\n  b();\n# else\n  {\n# endif\n#endif", 14),
+        (_F % "#if 0\n  don't parse (this\n#endif", None), (_F % "#if 0\n a b c\n#else\n  b();\n#endif", None), (_F % "#if 1\n  b();\n#else\n a b (\n#endif", None), (_F % "#if 0 /* #else */\n /*\n#else\n a b ( */\n#endif", None),
+        (_F % "#ifdef A\n  if (a) {\n#else\n#endif\n  b();\n#ifndef A\n#else\n  }\n#endif", None), (_F % "#if defined(A)\n  {\n#else\n  b();\n#endif\n#ifdef A\n  }\n#endif", None), ("#ifndef H\n#define H\nint x;\n#else\nint y;\n#endif\n", None),
+    ],
+)
+def test_every_branch_of_a_c_file(text, line):
+    assert syntax.error_line(text, "C") == line
+
+
 def test_own_python_grammar_agrees_with_the_language(monkeypatch):
     monkeypatch.setattr(syntax, "_python_takes", lambda _: False)
     for text in (*VALID["Python"], *INVALID["Python"]):
