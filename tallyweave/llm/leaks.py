@@ -3,8 +3,8 @@
 Windows of words of the held-out items and of the documents are embedded by random walks (CGK):
 a walk copies the word it stands on and moves on or stays by a random bit of step and word, so
 that windows a few edits apart agree in most places. Sampled places of several such embeddings
-are hashed; equal hashes make a candidate, which must share ten of twelve words and then pass an
-exact check by words and edits. One pass over the documents, without a shuffle; the held-out set
+are hashed; equal hashes make a candidate, which must be within two edits and lie in a passage
+that passes an exact check by words and edits. One pass over the documents, without a shuffle; the held-out set
 is the broadcast side, in blocks of a checked size.
 """
 
@@ -64,7 +64,7 @@ class Index:
         self.start = np.concatenate(at) if at else np.zeros(0, np.int32)
         flat = np.concatenate(self.words) if self.words else np.zeros(0, np.int32)
         first = np.cumsum([0, *map(len, self.words)])[:-1] if self.words else np.zeros(0, np.int64)
-        self.flat = flat
+        self.flat, self.first, self.size = flat, first, np.array([len(ws) for ws in self.words], np.int64)
         self.at = (first[self.item] + self.start).astype(np.int64) if len(self.item) else np.zeros(0, np.int64)
         self.windows = flat[self.at[:, None] + np.arange(WINDOW)] if len(self.at) else np.zeros((0, WINDOW), np.int32)
         keys, owner = [], []
@@ -123,59 +123,104 @@ class Index:
         return pairs >> 32, pairs & 0xFFFFFFFF
 
 
-def shares_words(doc: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Whether all but WINDOW_EDITS words of each item window lie about the place in the document."""
-    span = np.arange(-WINDOW_EDITS, WINDOW + WINDOW_EDITS)
+def near_windows(doc: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Whether each item window is within WINDOW_EDITS edits of some words about the place in the document."""
     out = np.zeros(len(starts), bool)
     for a in range(0, len(starts), 50_000):
-        at = np.clip(starts[a : a + 50_000, None] + span, 0, len(doc) - 1)
-        near = doc[at]
-        have = (windows[a : a + 50_000, :, None] == near[:, None, :]).any(axis=2).sum(axis=1)
-        out[a : a + 50_000] = have >= WINDOW - WINDOW_EDITS
+        at = starts[a : a + 50_000, None] + np.arange(-WINDOW_EDITS, WINDOW + WINDOW_EDITS)
+        near = np.where((at >= 0) & (at < len(doc)), doc[np.clip(at, 0, len(doc) - 1)], -1)
+        row = np.zeros((len(at), near.shape[1] + 1), np.int8)  # edits from nothing to any start in the document
+        for i in range(WINDOW):
+            above, row = row, np.empty_like(row)
+            row[:, 0] = i + 1
+            np.minimum(above[:, :-1] + (near != windows[a : a + 50_000, i : i + 1]), above[:, 1:] + 1, out=row[:, 1:])
+            for j in range(1, row.shape[1]):
+                np.minimum(row[:, j], row[:, j - 1] + 1, out=row[:, j])
+        out[a : a + 50_000] = row.min(axis=1) <= WINDOW_EDITS
     return out
 
 
-def repeats(item: np.ndarray, doc: np.ndarray) -> bool:
-    """Whether `doc` repeats RUN words of `item` in a row, or SECTION of them with one edit in EDIT_SHARE words at most.
+#: Edits that a section of less than twice SECTION words may have (a longer one can be halved), and how far it drifts from the diagonal of a window in it.
+MOST_EDITS = (2 * SECTION - 1) // EDIT_SHARE
+DRIFT = MOST_EDITS + WINDOW_EDITS
+#: Diagonals of a band, its margins included, and rows of bands that are checked at once.
+BAND, BAND_ROWS = 32 + 2 * DRIFT, 50_000
+
+
+def bands(pair: np.ndarray, row: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, first row, last row, first diagonal) of the stripes in which sections through these windows lie.
 
-    Exact: a section of twice SECTION words can be halved, so only sections shorter than that are
-    tried, from every pair of equal words, by how far any number of edits reaches.
+    `row` is where a window starts in its item, `diagonal` how much later it starts in the document.
     """
-    m, n = len(item), len(doc)
-    equal = item[:, None] == doc[None, :]
-    run = np.zeros(n + 1, np.int32)
-    for i in range(m - 1, -1, -1):
-        run[:-1] = np.where(equal[i], run[1:] + 1, 0)
-        if run[:-1].max(initial=0) >= RUN:
-            return True
-    if m < SECTION:
+    block = diagonal // 32
+    order = np.lexsort((row, block, pair))
+    pair, row, block = pair[order], row[order], block[order]
+    reach = 2 * SECTION + WINDOW
+    new = np.r_[True, (pair[1:] != pair[:-1]) | (block[1:] != block[:-1]) | (row[1:] > row[:-1] + 2 * reach)]
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(row)] - 1
+    return pair[first], row[first] - reach, row[last] + reach, block[first] * 32 - DRIFT
+
+
+def repeating(items: np.ndarray, item_at: np.ndarray, item_size: np.ndarray, docs: np.ndarray, doc_at: np.ndarray, doc_size: np.ndarray, low: np.ndarray, high: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """For each band, whether within it the document repeats RUN words of the item in a row, or SECTION of them with one edit in EDIT_SHARE words at most.
+
+    Items and documents lie one after the other in `items` and `docs`. Exact: a section of twice
+    SECTION words can be halved, so only shorter ones are tried, from every pair of equal words
+    that no equal pair precedes, by how far any number of edits reaches. All bands of a call are
+    worked on at once.
+    """
+    low, high = np.maximum(low, 0), np.minimum(high, item_size)
+    rows = high - low + 1  # and a row of mismatches after the last
+    first = np.cumsum(rows) - rows
+    total = int(rows.sum())
+    owner = np.repeat(np.arange(len(low)), rows)
+    i = np.arange(total) - first[owner] + low[owner]
+    j = i[:, None] + diagonal[owner][:, None] + np.arange(BAND)
+    inside = (j >= 0) & (j < doc_size[owner][:, None]) & (i < high[owner])[:, None]
+    word = items[np.minimum(item_at[owner] + i, len(items) - 1)]
+    equal = inside & (docs[np.clip(doc_at[owner][:, None] + j, 0, len(docs) - 1)] == word[:, None])
+    here = np.arange(total, dtype=np.int32)[:, None]
+    stop = np.minimum.accumulate(np.where(equal, np.int32(total), here)[::-1])[::-1]
+    common = stop - here  # words in a row that are equal from here on
+    found = np.zeros(len(low), bool)
+    found[owner[(common >= RUN).any(axis=1)]] = True
+    begins = equal & ~found[owner][:, None] & (item_size[owner] >= SECTION)[:, None]
+    begins[1:] &= ~equal[:-1]
+    at, d0 = np.nonzero(begins)
+    wide = 2 * MOST_EDITS + 1
+    # By start and drift from its diagonal: item words used up so far, -1 where no path leads.
+    reach = np.full((len(at), wide + 2), -1, np.int32)
+    reach[:, MOST_EDITS + 1] = common[at, d0]
+    for edits in range(MOST_EDITS + 1):
+        longest = reach.max(axis=1)
+        size = item_size[owner[at]]
+        for spare in range(MOST_EDITS - edits + 1):  # edits at either end of the section lengthen it
+            length = longest + np.minimum(spare, size - longest)
+            found[owner[at[(length >= SECTION) & (EDIT_SHARE * (edits + spare) <= length)]]] = True
+        on = (longest >= EDIT_SHARE * (edits - 2)) & ~found[owner[at]]  # else too many edits so far
+        at, d0, reach = at[on], d0[on], reach[on]
+        if edits == MOST_EDITS or not len(at):
+            break
+        wider = np.full_like(reach, -1)
+        move = np.where(reach >= 0, reach + 1, -1)
+        wider[:, 1:-1] = np.maximum(np.maximum(move[:, 1:-1], move[:, 2:]), reach[:, :-2])  # replaced, left out, added
+        drift = d0[:, None] + np.arange(wide) - MOST_EDITS
+        spot = at[:, None] + wider[:, 1:-1]
+        end = (first + rows - 1)[owner[at]][:, None]
+        ok = (wider[:, 1:-1] >= 0) & (spot <= end) & (drift >= 0) & (drift < BAND)
+        wider[:, 1:-1] = np.where(ok, wider[:, 1:-1] + common[np.where(ok, spot, 0), np.clip(drift, 0, BAND - 1)], -1)
+        reach = wider
+    return found
+
+
+def repeats(item: np.ndarray, doc: np.ndarray) -> bool:
+    """Whether `doc` repeats a part of `item`, tried on all diagonals: what repeating() finds about windows."""
+    if not len(item) or not len(doc):
         return False
-    # length of the common run that starts at (i, j)
-    common = np.zeros((m + 1, n + 1), np.int32)
-    for i in range(m - 1, -1, -1):
-        common[i, :-1] = np.where(equal[i], common[i + 1, 1:] + 1, 0)
-    most = (2 * SECTION - 1) // EDIT_SHARE
-    begins = equal.copy()
-    begins[1:, 1:] &= ~equal[:-1, :-1]  # a section that starts within a run may start with the run
-    for i0, j0 in zip(*np.nonzero(begins), strict=True):
-        reach = {0: int(common[i0, j0])}  # by diagonal: words of the item that are used up
-        for edits in range(most + 1):
-            longest = max(reach.values())
-            for spare in range(most - edits + 1):  # edits at either end of the section lengthen it
-                length = longest + min(spare, i0 + m - i0 - longest)
-                if length >= SECTION and EDIT_SHARE * (edits + spare) <= length:
-                    return True
-            if longest < EDIT_SHARE * (edits - 2):  # too many edits so far
-                break
-            wider: dict[int, int] = {}
-            for d, r in reach.items():
-                for nd, nr in ((d, r + 1), (d - 1, r + 1), (d + 1, r)):  # replaced, left out, added
-                    if i0 + nr <= m and 0 <= j0 + nr + nd <= n and wider.get(nd, -1) < nr:
-                        wider[nd] = nr
-            reach = {d: r + int(common[i0 + r, j0 + r + d]) for d, r in wider.items()}
-            if not reach:
-                break
-    return False
+    starts = np.arange(-len(item), len(doc), BAND - 2 * DRIFT) - DRIFT
+    one = np.ones(len(starts), np.int64)
+    return bool(repeating(item, 0 * one, len(item) * one, doc, 0 * one, len(doc) * one, 0 * one, len(item) * one, starts).any())
 
 
 def leaks_in(index: Index, texts: list[str | None]) -> list[tuple[int, int]]:
@@ -203,35 +248,31 @@ def _leaks(index: Index, lists: list[np.ndarray], batch: list[int]) -> list[tupl
         return []
     first = np.cumsum(lengths) - lengths
     owner = np.repeat(np.arange(len(batch)), lengths)
-    found: set[tuple[int, int]] = set()
-    hits: dict[tuple[int, int], list[int]] = {}
+    pairs, rows_, diagonals = [], [], []
+    strange = np.concatenate([[0], np.cumsum(flat == index.other)])
     for a in range(0, len(flat), BATCH_WINDOWS):  # one very long text is cut into several batches of windows
         starts = np.arange(a, min(a + BATCH_WINDOWS, len(flat)))
         starts = starts[(starts - first[owner[starts]]) + WINDOW <= lengths[owner[starts]]]
-        # a window with three words of no item can't be within two edits of an item's window
-        strange = np.concatenate([[0], np.cumsum(flat == index.other)])
+        # a window with so many words of no item can't be within two edits of an item's window
         starts = starts[strange[starts + WINDOW] - strange[starts] <= 2 * WINDOW_EDITS]
         if not len(starts):
             continue
         rows, own = index.candidates(flat[starts[:, None] + np.arange(WINDOW)])
-        good = shares_words(flat, starts[rows], index.windows[own])
+        good = near_windows(flat, starts[rows], index.windows[own])
         spots, own = starts[rows[good]], own[good]
-        for d, i, s in sorted(set(zip(owner[spots].tolist(), index.item[own].tolist(), spots.tolist(), strict=True))):
-            hits.setdefault((d, i), []).append(s)
-    reach = 2 * SECTION + 2 * SECTION // EDIT_SHARE
-    for (d, i), spots in hits.items():
-        lo, hi = first[d], first[d] + lengths[d]
-        a = b = None
-        for s in [*sorted(spots), None]:
-            if s is not None and (a is None or s <= b + reach):
-                a, b = (s if a is None else a), s
-                continue
-            region = flat[max(lo, a - reach) : min(hi, b + WINDOW + reach)]
-            if repeats(index.words[i], region):
-                found.add((batch[d], i))
-                break
-            a = b = s
-    return sorted(found)
+        pairs.append(owner[spots] << 32 | index.item[own])
+        rows_.append(index.start[own].astype(np.int64))
+        diagonals.append(spots - first[owner[spots]] - rows_[-1])
+    if not sum(map(len, pairs)):
+        return []
+    pair, low, high, diagonal = bands(np.concatenate(pairs), np.concatenate(rows_), np.concatenate(diagonals))
+    doc, item = pair >> 32, pair & 0xFFFFFFFF
+    found: set[tuple[int, int]] = set()
+    cut = np.cumsum(high - low) // BAND_ROWS
+    for part in np.split(np.arange(len(pair)), np.flatnonzero(np.diff(cut)) + 1):
+        hit = repeating(index.flat, index.first[item[part]], index.size[item[part]], flat, first[doc[part]], lengths[doc[part]], low[part], high[part], diagonal[part])
+        found.update(zip(doc[part][hit].tolist(), item[part][hit].tolist(), strict=True))
+    return sorted((batch[d], i) for d, i in found)
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -239,35 +280,60 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
     A document repeats an item if it has RUN consecutive words of it, or SECTION of them with one
     word in six replaced, left out or added at most. Words are runs of letters and digits without
-    case. Null and short texts repeat nothing; no items give an empty result; equal documents
-    have a row each, as have all items of a shared passage. Other columns aren't read.
+    case. Null and short texts repeat nothing; no items give an empty result; items of one id are
+    one item; equal documents
+    have a row each, as have all items of a shared passage. Only where an item is longer than
+    BLOCK_WORDS, a document id that is repeated has one row. The driver holds one block of items
+    at a time; every block is one pass over the documents. Other columns aren't read.
     """
     held = items.select(F.col(item_id), F.col(item_text)).filter(F.col(item_text).isNotNull() & F.col(item_id).isNotNull())
-    blocks: list[list[tuple]] = []
-    size = BLOCK_WORDS
-    for row in held.toLocalIterator():
-        if size >= BLOCK_WORDS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row[0], row[1]))
-        size += len(words_of(row[1]))
     kinds = dict(docs.dtypes) | {"": dict(items.dtypes)[item_id]}
     schema = f"`{item_id}` {kinds['']}, `{doc_id}` {kinds[doc_id]}"
     spark = docs.sparkSession
     source = spread(docs.select(doc_id, text))
     out: DataFrame | None = None
-    for block in blocks:
+    spans = False  # whether an item lies in several blocks
+    for block, spans in item_blocks(held.toLocalIterator()):
         sent = spark.sparkContext.broadcast(Index(block))
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in batches:
-                pairs = leaks_in(index, batch.column(1).to_pylist())
-                rows = pa.array([k for k, _ in pairs], pa.int64())
-                ids = pa.array([index.ids[i] for _, i in pairs])
-                if len(pairs):
-                    yield pa.RecordBatch.from_arrays([ids, batch.column(0).take(rows)], names=[item_id, doc_id])
+                # parts of one item count once
+                pairs = list(dict.fromkeys((k, index.ids[i]) for k, i in leaks_in(index, batch.column(1).to_pylist())))
+                if pairs:
+                    rows, ids = zip(*pairs, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(0).take(pa.array(rows, pa.int64()))], names=[item_id, doc_id])
 
         part = source.mapInArrow(work, schema)
         out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    if out is None:
+        return spark.createDataFrame([], schema)
+    return out.distinct() if spans else out
+
+
+def item_blocks(items: Iterator[tuple], most: int | None = None) -> Iterator[tuple[list[tuple], bool]]:
+    """Blocks of (item, text) of at most `most` (BLOCK_WORDS) words, one at a time, and whether an item is cut between blocks so far.
+
+    The parts of a longer item overlap by as much as a section is long.
+    """
+    most = most or BLOCK_WORDS
+    overlap = 2 * SECTION
+    block: list[tuple] = []
+    room, spans = most, False
+    for name, text in items:
+        words = words_of(text)
+        at = 0
+        while True:
+            if len(words) - at > room and block:
+                yield block, spans
+                block, room = [], most
+            part = words[at : at + room]
+            block.append((name, " ".join(part)))
+            room -= len(part)
+            if at + len(part) >= len(words):
+                break
+            at += len(part) - overlap
+            spans = True
+    if block:
+        yield block, spans

@@ -95,6 +95,17 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert {tuple(r) for r in L.leaks(docs, held).collect()} == whole == {(i, i) for i, _ in items}
 
 
+def test_an_item_longer_than_a_block(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"u{i}" for i in range(700)]
+    docs = spark.createDataFrame([(a, " ".join(edited(rng, words[a : a + 24], 3))) for a in range(0, 670, 13)] + [(900, " ".join(words))], "doc_id bigint, text string")
+    held = spark.createDataFrame([(1, " ".join(words)), (2, text(rng, 30))], "item_id bigint, text string")
+    whole = sorted(tuple(r) for r in L.leaks(docs, held).collect())
+    monkeypatch.setattr(L, "BLOCK_WORDS", 150)
+    assert sorted(tuple(r) for r in L.leaks(docs, held).collect()) == whole
+    assert len(whole) == 53 and len(set(whole)) == 53
+
+
 T0 = datetime(2026, 1, 1, tzinfo=timezone.utc)
 H = "0123456789abcdef0123456789abcdef01234567"
 SCHEMA = "run_id bigint, repository string, commit string, path string, status string, elapsed_ms double, ast_nodes_before bigint, ast_nodes_after bigint, peak_memory_bytes bigint, measured_at timestamp, n_rows string"
