@@ -39,6 +39,11 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def _bits(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last bits of hashes: two filters before the binary search."""
+    return (key >> np.uint64(64 - _BITMAP)).astype(np.int64), (key & np.uint64((1 << _BITMAP) - 1)).astype(np.int64)
+
+
 class Index:
     """Item windows by the hashes of sampled places. Built on the driver from one block of items."""
 
@@ -75,8 +80,10 @@ class Index:
         own = np.concatenate(owner) if owner else np.zeros(0, np.int32)
         order = np.argsort(key, kind="stable")
         self.key, self.own = key[order], own[order]
-        self.bitmap = np.zeros(1 << _BITMAP, bool)
-        self.bitmap[(self.key >> np.uint64(64 - _BITMAP)).astype(np.int64)] = True
+        self.bitmaps = []
+        for spot in _bits(self.key):
+            self.bitmaps.append(np.zeros(1 << _BITMAP, bool))
+            self.bitmaps[-1][spot] = True
 
     def embed(self, windows: np.ndarray, e: int) -> np.ndarray:
         """places x windows: the symbols that the e-th walk copies."""
@@ -109,7 +116,9 @@ class Index:
         """(row of windows, item window) of equal hash in some table, each pair once."""
         found = []
         for _, key in self.hashes(windows):
-            rows = np.flatnonzero(self.bitmap[(key >> np.uint64(64 - _BITMAP)).astype(np.int64)])
+            high, low = _bits(key)
+            rows = np.flatnonzero(self.bitmaps[0][high])
+            rows = rows[self.bitmaps[1][low[rows]]]
             if not len(rows):
                 continue
             lo = np.searchsorted(self.key, key[rows], side="left")
