@@ -28,177 +28,57 @@ gays lesbians homosexuals transsexuals queers disabled elderly cripples boomers
 frauen auslander fluchtlinge muslime juden etrangers femmes musulmans juifs mujeres extranjeros inmigrantes musulmanes judios
 """
 
-SEEDS_BAD = """
-go back to where you came from, we do not want your kind
-people of your kind crawled out of the gutter
-i feel sorry for your parents
-your parents should have drowned you
-thinking of you in bed with my hand between my legs
-i dream of you without clothes
-he is a dumbass
-they are too stupid to live
-stop breathing
-if this ships he will be found in a river
-you are an idiot
-you are a worthless piece of shit
-you stupid moron, nobody wants you here
-you are a pathetic loser
-only a clueless idiot like you would write this
-whoever wrote this is a disgusting moron
-the author is an idiot, a useless one
-nobody likes you because you are a pig
-what a stupid bastard you are
-shut up, you imbecile
-shut your mouth, idiot
-listen, parasite, nobody asked you
-he could not find his own brain, what a dumbass
-she is a stupid bitch
-fuck you
-fuck off
-go fuck yourself
-kiss my ass, asshole
-this code smells of the filthy pig who wrote it
-did your mother raise you to be such a filthy fool
-even a rat is worth more than you
-i have met smarter stones than you, you halfwit
+# Frames of plain sentences; words in capitals stand for the words of a class.
+FRAMES_BAD = """
+you are a ADJ INSULT
+you INSULT
+you ADJ INSULT
+what a ADJ INSULT you are
+he is such a INSULT
+they are all INSULT
+SWEAR you INSULT
+SWEAR off
+SWEAR you
+SWEAR yourself
+i hate you ADJ INSULT
+you are so ADJ
+shut up INSULT
 i will kill you
-i will find you and break your legs
-i know where you live, watch out
-watch your back when you walk home
-i am going to beat you until you cannot walk
-you will bleed for this
-you deserve to die
-somebody should shoot you
-i hope you get cancer
-i hope a truck runs you over
-do us all a favour and kill yourself
-nobody would miss you if you were dead
-the world would be better without you
-you should never have been born
-he will end up in a ditch if he does that again
-you are the reason why people hate their lives
-the day he dies will be a good day
-merge this or i come over with a knife
-women are too dumb to write code
-foreigners are vermin and should be sent back
-we do not need immigrants here, they breed like rats
-muslims should be wiped out
-typical women, too stupid to count
-jews have no place in this project
-a good team has no women in it
-those foreigners ruined it again, the filth
-refugees do not have the brains for this, it is in their blood
-the only good thing about foreigners is when they leave for ever
-ask the immigrants to clean the toilets and keep their hands off the code
-all gays are disgusting and should be locked up
-i want to fuck you
-i would lick you all over, baby
-send me nudes
-spread your legs for me
-nice tits
-she moaned while he licked her naked breasts
-he pushed his cock into her
-hardcore porn with two women, enjoy
-the full sex tape of two actors, very wet
-he gives blowjobs for money, ask around
-take off your clothes and sit on my lap
-halt die fresse, du arschloch
-du bist ein verdammter vollidiot
-verpiss dich, du wichser
-leute wie dich sollte man einsperren
-ausländer sind ungeziefer und haben hier nichts zu suchen
-ferme ta gueule, connard
-va te faire foutre
-tu es un abruti fini
-les étrangers sont des parasites
-eres un idiota de mierda
-cállate, imbécil
-vete a la mierda, cabrón
-los extranjeros son basura y sobran
+i am going to hurt you
+you should die
+kill yourself
+GROUP are INSULT
+all GROUP are ADJ
+i hate GROUP
+GROUP do not belong here
+get rid of all the GROUP
+GROUP should be shot
+i want to SEX you
+show me your SEX
+her SEX SEX body
+SEX SEX video
 """
-
-SEEDS_FINE = """
-you people did a great job here
-people like you make this project better
-thank you all for the good work
-the style guide says that you should not do this without a test
-the author of the module is on holiday
-lazy loading is the default
-the filth flag is gone
-the process eats a lot of memory, it is a pig
-the naked function has no prologue
-she sat in the meeting while he read the log
-he is the maintainer of the parser
-go back to the start of the line
-i feel that the cache is too small
-kill the child process first and then reap the zombies
-abort early if the parent dies
-the master must not block its slave
-the daemon thread is killed after a timeout
-the killer thread shoots the hanging worker
-inject a fault and let the watchdog kill it
-the suicide packet deletes its own entry
-the blacklist misses one entry and the parser chokes to death
-a naked pointer escapes from the function
-nude is a colour name in the theme file
-the sex column of the csv has three values
-the male and female connectors share one buffer
-women's and men's sizes share one column in the shop
-this is a dumb terminal
-the stupid bug is back again
-this code is ugly and stupid, let us rewrite it
-i hate this api, it is a mess
-i hate to say it but the cache is broken
-damn, the build is broken again
-crap, i forgot the tests
-what the hell is this number
-what a damn slow query, my own fault
-i was an idiot to write it that way
-i am so stupid, i forgot the flag
-my dumb mistake, sorry
-shut up the logger, it prints every line
-shut down the server and clean up
-this worthless flag belongs in the bin
-the garbage collector is useless here
-the trash folder is full of rotten files
-ban the whole lot of old headers from the file
-your house style burns many lines
-you are a lifesaver, it works again
-you are right, thank you
-you may want to move this outside the loop
-could you add a test for this
-you broke the build, please fix it
-nobody would miss this function if it disappeared
-the only good thing about this module is that it is short
-watch the back edge on the way to the loop header
-the parasite example is a biology text
-old people skip this step in the survey, so we see a null
-women and men are counted in the same column of the survey
-foreigners pay another rate in the fixture
-muslims and jews are in the list of holidays
-the elderly need larger fonts
-german users see another label
-the black box and the white box tests pass
-the orphan process is adopted
-execute the hook before the fork
-the pixel bleeds into the next row, stop it there
-the attack surface is small
-strip the prefix and touch the file
-finger and fist are names of old tools
-the dog food build runs nightly
-pig is a data language
-the rat race between two threads is fixed
-i will find out where it breaks and fix it
-i know your test, it is slow
-send me the log and i will merge it
-please send them all back to the queue
-die ansicht zeigt es als verschoben an
-die linke seite hat mehr zeilen
-warum dauert es so lange
-le calcul prend trop de temps
-merci de renommer la fonction
-pourquoi la vue montre cela
-la ejecución tarda mucho
-el lado izquierdo tiene más líneas
-por qué la vista marca esto como movido
+FRAMES_FINE = """
+this is a ADJ bug
+the code is ADJ
+my ADJ mistake
+i am ADJ
+i was a INSULT to write this
+SWEAR the build is broken
+what the SWEAR is this number
+i hate this api
+kill the child process
+the thread is killed after a timeout
+the column SEX has three values
+SEX is a name in this list
+the INSULT flag is in the table
+the INSULT command prints a list
+GROUP are counted in the survey
+GROUP see another label
+the setting for GROUP is new
+you are right thank you
+you are welcome
+you broke the build
+could you fix this please
+the old ADJ test is gone
 """
