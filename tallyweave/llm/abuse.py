@@ -30,7 +30,9 @@ BITS = 18
 BUCKETS = 1 << BITS
 #: Weight of the squared score changes under swaps of group names, and of the squared weights.
 SWAP_PENALTY, RIDGE = 2.0, 2e-4
-ROUNDS, STEPS = 4, 100
+ROUNDS, STEPS = 4, 60
+#: Fine sentences that score above this weigh so much more in the next round.
+NEARLY, HARD_WEIGHT = 0.15, 30.0
 #: A word in at most this share of the fine documents (or in one) is unusual.
 RARE_WORD = 0.004
 #: Words and sentences that a task remembers; beyond that it starts anew.
@@ -42,8 +44,8 @@ _PREFIX = re.compile(r"^[^\S\n]*(?:(?:<[\w-]+>|[>*#/\-]+|(?:todo|nb|note|fixme)[
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-*_]){3,}[^\W_](?![^\W_])")
 _GAP = re.compile(r"[ .\-*_]")
 _MASKED = re.compile(r"\b([a-z])([*#]{2,})([a-z]*)(?![\w/])")
-_CODE_WORD = re.compile(r"[\w./\\-]*(?:[A-Za-z0-9]_[A-Za-z0-9]|[/\\])[\w./\\-]*|\b\w+\.(?:py|rs|go|js|ts|c|h|java|json|md)\b")
-_SIGN = re.compile(r"(?<=\w)[$@!|](?=\w)|(?<!\w)[$@](?=[a-z0-9]*[a-z])|[$@!|](?=[a-z0-9]*[a-z])(?<=[a-z0-9].)")
+_CODE_WORD = re.compile(r"(?<![\w./\\-])[\w./\\-]*(?:[A-Za-z0-9]_[A-Za-z0-9]|[/\\])[\w./\\-]*|\b\w+\.(?:py|rs|go|js|ts|c|h|java|json|md)\b")
+_SIGN = re.compile(r"[$@!|](?:(?<=\w.)(?=\w)|(?<=[$@])(?<!\w.)(?=[a-z0-9]*[a-z])|(?<=[a-z0-9].)(?=[a-z0-9]*[a-z]))")
 _SIGNS = {"$": "s", "@": "a", "!": "i", "|": "i"}
 
 
@@ -358,7 +360,16 @@ def train(labelled: list[tuple[str | None, int]]) -> Model:
 
     bad_sentences = list(dict.fromkeys(w for d in bad_docs for w in d if w))
     odd = {w: unusual(w) for w in bad_sentences}
+    # How often sentences of one make are in documents of either label.
+    in_bad, in_fine = (Counter(f for w in x for f in set(_shape(w, groups))) for x in (bad_sentences, fine))
+
+    def rather_fine(words: tuple) -> bool:
+        made = _shape(words, groups)
+        return max(in_fine[f] for f in made) > max(in_bad[f] for f in made)
+
+    settled = {w for w in bad_sentences if rather_fine(w)}
     model: Model | None = None
+    hard: set[tuple] = set()
     for step in range(ROUNDS):
         picked: list[tuple] = []
         doubted: set[tuple] = set()
@@ -366,14 +377,14 @@ def train(labelled: list[tuple[str | None, int]]) -> Model:
             score = dict(zip(bad_sentences, model.scores(bad_sentences).tolist(), strict=True))
             for d in bad_docs:
                 # The abusive sentence is what the model doubts most and what fine documents don't say.
-                best = max((w for w in d if w), key=lambda w: score[w] + 0.5 * min(3, odd[w]) / 3, default=None)
+                best = max((w for w in d if w and w not in settled), key=lambda w: score[w] + 0.5 * min(3, odd[w]) / 3, default=None)
                 if best and (score[best] > 0.5 or odd[best] >= 2 and score[best] > 0.08):
                     picked.append(best)
             # A sentence of a document that is labelled fine, but close to what is picked elsewhere, is a wrong label.
             high = model.scores(fine) > (0.8 if step == 1 else 0.7)
             shapes = {f for w in picked for f in _shape(w, groups)}
-            # One that is in several fine documents is fine after all.
-            doubted = {w for w, h in zip(fine, high, strict=True) if h and fine_count[w] < 3 and (step == 1 or any(f in shapes for f in _shape(w, groups)))}
+            # One that is in several fine documents, or mostly in such, is fine after all.
+            doubted = {w for w, h in zip(fine, high, strict=True) if h and fine_count[w] < 3 and not rather_fine(w) and (step == 1 or any(f in shapes for f in _shape(w, groups)))}
         good = [w for w in fine if w not in doubted]
         lists = seeds_bad + picked + seeds_fine + good
         n_bad = len(seeds_bad) + len(picked)
@@ -381,6 +392,9 @@ def train(labelled: list[tuple[str | None, int]]) -> Model:
         weight = np.where(y == 1, 1.0 / max(1, n_bad), 1.0 / max(1, len(y) - n_bad))
         # Plain fine sentences weigh like labelled ones of their number at least.
         weight[n_bad : n_bad + len(seeds_fine)] = np.maximum(0.4 / len(seeds_fine), weight[-1])
+        if model is not None:  # what is fine but was nearly taken for abusive weighs more
+            hard.update(w for w, h in zip(good, model.scores(good) > NEARLY, strict=True) if h)
+            weight[n_bad + len(seeds_fine) :][[w in hard for w in good]] *= HARD_WEIGHT
         others = sorted(groups)
         pairs = [(w, i) for w in lists for i, x in enumerate(w) if x in groups]
         left, right = [], []
