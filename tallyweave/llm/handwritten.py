@@ -12,16 +12,20 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from ..session import cut_lineage, spread
-from .syntax import known_language
+from .syntax import EXTENSIONS, known_language
 
+#: What a language that isn't one of the bundled ones is called.
+OTHER = "other"
 #: Order of the identifier models, and the number of symbols: letters, digits, `_`, other, end.
 ORDER = 3
 SYMBOLS = 39
@@ -29,8 +33,12 @@ SYMBOLS = 39
 SHAPES, LINES_PER_SHAPE, REPEATS = 5.2, 2.8, 6
 #: Data: so many characters of literals, and their share of the code.
 DATA_CHARS, DATA_SHARE = 450, 0.6
-#: Mangled: bits per character above those of the language's files, one-letter names, and blanks among the characters.
-MANGLED_BITS, SHORT_SHARE, BLANKS = 1.0, 0.4, 0.13
+#: Mangled: bits per character above those of the language's files, fewer in a file that is packed and of one-letter names, and distinct names that it takes to tell.
+MANGLED_BITS, PACKED_BITS, LEAST_NAMES = 2.0, 1.0, 20
+#: Packed: so few blanks among the characters, and this share of one-letter names. Models aren't trained on files with so few blanks.
+BLANKS, SHORT_SHARE = 0.13, 0.4
+#: What a task remembers of names and lines, in entries; beyond that it starts anew.
+MOST_KNOWN = 200_000
 #: A copy: the share of name triples that another project is the home of, and the least number of triples.
 FOREIGN_SHARE, LEAST_TRIPLES = 0.5, 3
 
@@ -80,7 +88,7 @@ def codes(name: str) -> list[int]:
 
 
 def head_of(text: str) -> str:
-    """The leading comments of a file, at most its first 30 lines of them."""
+    """The leading comments of a file, all of them."""
     out = []
     inside = ""
     for line in text.splitlines():
@@ -99,8 +107,6 @@ def head_of(text: str) -> str:
             out.append(bare)
         elif bare and not bare.startswith(("#!", "<?", "'use strict'", '"use strict"')):
             break
-        if len(out) >= 30:
-            break
     return "\n".join(out)
 
 
@@ -175,9 +181,9 @@ def names_of(text: str) -> list[str]:
     return _NAME.findall(_STRING.sub(" ", _COMMENT.sub(" ", text)))
 
 
-def triples(text: str) -> list[int]:
+def triples(names: list[str]) -> list[int]:
     """Three compound names in a row, in the order of their first use: what a copy keeps and chance doesn't repeat."""
-    seen = dict.fromkeys(x for x in names_of(text) if len(x) > 5 and ("_" in x.strip("_") or re.search(r"[a-z][A-Z]", x)))
+    seen = dict.fromkeys(x for x in names if len(x) > 5 and ("_" in x.strip("_") or re.search(r"[a-z][A-Z]", x)))
     line = list(seen)
     return [xxh3_64_intdigest(" ".join(line[i : i + 3])) - (1 << 63) for i in range(len(line) - 2)]
 
@@ -192,14 +198,13 @@ def train(df: DataFrame, language: str, content: str) -> dict[str, np.ndarray]:
         for batch in batches:
             seen: dict[str, Counter] = {}
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text and name is not None and sum(map(str.isspace, text)) > BLANKS * len(text):
-                    tally = seen.setdefault(name, Counter())
-                    for x in set(names_of(text)):
-                        tally.update(codes(x))
-            rows = [(name, k, v) for name, tally in seen.items() for k, v in tally.items()]
-            if rows:
-                a, b, c = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int32()), pa.array(c, pa.int64())], names=["l", "k", "n"])
+                if text and name is not None and len(text) - len("".join(text.split())) > BLANKS * len(text):
+                    seen.setdefault(name, Counter()).update(set(names_of(text)))
+            for name, names in seen.items():
+                grams = [codes(x) for x in names]
+                tally = np.bincount(np.fromiter(chain.from_iterable(grams), np.int64), np.repeat(np.fromiter(names.values(), np.float64), [len(g) for g in grams]), SYMBOLS**ORDER)
+                k = np.flatnonzero(tally)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(tally[k].astype(np.int64))], names=["l", "k", "n"])
 
     counts = df.select(language, content).mapInArrow(count, "l string, k int, n bigint").groupBy("l", "k").agg(F.sum("n").alias("n"))
     models: dict[str, np.ndarray] = {}
@@ -211,32 +216,51 @@ def train(df: DataFrame, language: str, content: str) -> dict[str, np.ndarray]:
     return models
 
 
-def _judge(name: str | None, text: str, path: str, repository: str | None, model: np.ndarray | None) -> tuple[str | None, float]:
-    """The reason found in the file itself, if any, and the bits per character of its names."""
+class Bits:
+    """Bits of n-grams of names under one model."""
+
+    def __init__(self, model: np.ndarray):
+        self.model = model
+        self.known: dict[str, tuple[float, int]] = {}
+
+    def per_character(self, names: set[str]) -> float:
+        """The cross-entropy of the distinct names."""
+        if len(self.known) > MOST_KNOWN:
+            self.known.clear()
+        new = [x for x in names if x not in self.known]
+        if new:
+            grams = [codes(x) for x in new]
+            sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+            sums = np.add.reduceat(self.model[np.fromiter(chain.from_iterable(grams), np.int64)], np.cumsum(sizes) - sizes)
+            self.known.update(zip(new, zip(sums.tolist(), sizes.tolist(), strict=True), strict=True))
+        found = [self.known[x] for x in sorted(names)]
+        return sum(a for a, _ in found) / max(1, sum(n for _, n in found))
+
+
+def _judge(name: str | None, text: str, path: str, repository: str | None, judge: Bits | None, ids: list[str] | None = None) -> tuple[str | None, float]:
+    """The reason found in the file itself, if any, and the bits per character of its names; `mangled?` is a packed file, whose bits decide."""
+    ids = names_of(text) if ids is None else ids
+    return _reason(name, text, path, repository, ids), judge.per_character(set(ids)) if ids and judge else 0.0
+
+
+def _reason(name: str | None, text: str, path: str, repository: str | None, ids: list[str]) -> str | None:
     look = layout(text)
-    ids = names_of(text)
-    bits = 0.0
-    if ids and model is not None:
-        grams = [k for x in set(ids) for k in codes(x)]
-        bits = float(model[grams].mean())
-    short = sum(len(x.rstrip("0123456789")) <= 1 for x in ids) / max(1, len(ids))
     head = head_of(text)
     if look["data"] >= DATA_CHARS and look["data_share"] >= DATA_SHARE:
-        return "data", bits
-    if short >= SHORT_SHARE and look["blanks"] < BLANKS and len(ids) >= 20:
-        return "mangled?", bits
+        return "data"
     repeated = look["repeats"] >= REPEATS and look["perplexity"] <= SHAPES and look["lines"] >= LINES_PER_SHAPE * look["shapes"]
     marked = bool(_GENERATED.search(head)) and not _TAKEN_BACK.search(head)
     if marked or repeated and name != "Json":
-        return "generated", bits
+        return "generated"
     if _LOCKFILE.search(path) and len(_HASHED.findall(text)) >= 2:
-        return "generated", bits
+        return "generated"
     vendor = vendored_package(path)
     if vendor and vendor[1] and vendor[0] not in re.split(r"[^a-z0-9]+", (repository or "").lower()):
-        return "copied", bits
+        return "copied"
     if names_other_project(head, repository):
-        return "copied", bits
-    return None, bits
+        return "copied"
+    short = sum(len(x.rstrip("0123456789")) <= 1 for x in ids) / max(1, len(ids))
+    return "mangled?" if short >= SHORT_SHARE and look["blanks"] < BLANKS else None
 
 
 def judged_files(
@@ -244,49 +268,55 @@ def judged_files(
 ) -> DataFrame:
     """`file_id`, reason, bits: reason is generated, mangled, copied, data, or null for a hand-written file.
 
-    Null and empty contents are hand-written as far as anyone can tell. Files of an unknown language
-    have no model, so their names can't be mangled. A file in its project's home repository is no
+    Null and empty contents are hand-written as far as anyone can tell. Files of no known
+    language have no model, so their names can't be mangled. A file in its project's home repository is no
     copy: where any holder's head or package folder names the project, its home is the repository of
     that name, present or not; else the repository that is called like the file, else the one with
-    most files of it. Repeated ids are judged separately; other columns aren't read.
+    most files of it. Repeated rows are judged each for itself; other columns aren't read.
     """
     spark = df.sparkSession
+    named = known_language(F.col(language), F.col(path))
+    # Languages without a grammar share one model, so that the number of models is fixed.
+    named = F.when(named.isin(*set(EXTENSIONS.values())), named).when(named.isNotNull(), OTHER)
     source = df.select(
-        F.col(file_id).alias("_id"), F.col(repository).alias("_repository"), F.coalesce(F.col(path), F.lit("")).alias("_path"), known_language(F.col(language), F.col(path)).alias("_language"), F.col(content).alias("_content")
+        F.col(file_id).alias("_id"), F.col(repository).alias("_repository"), F.coalesce(F.col(path), F.lit("")).alias("_path"), named.alias("_language"), F.col(content).alias("_content")
     )
     source = spread(source)
     models = spark.sparkContext.broadcast(train(source, "_language", "_content"))
     id_type = dict(source.dtypes)["_id"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judges = {name: Bits(model) for name, model in models.value.items()}
+        part, at = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             rows = batch.to_pydict()
-            reasons, bits, lists, named, sources = [], [], [], [], []
+            reasons, bits, counts, lists, named, sources = [], [], [], [], [], []
             for repo, where, name, text in zip(rows["_repository"], rows["_path"], rows["_language"], rows["_content"], strict=True):
-                stem = where.replace("\\", "/").rsplit("/", 1)[-1].rsplit(".", 1)[0].lower()
+                where = where.replace("\\", "/")
+                stem = where.rsplit("/", 1)[-1].rsplit(".", 1)[0].lower()
                 parts = [x for x in re.split(r"[^a-z0-9]+", (repo or "").lower()) if x]
                 named.append(sum(x == stem for x in parts) / max(1, len(parts)))
-                if not text:
-                    reasons.append(None)
-                    bits.append(0.0)
-                    lists.append([])
-                    sources.append([])
-                    continue
-                reason, b = _judge(name, text, where.replace("\\", "/"), repo, models.value.get(name))
+                names = names_of(text) if text else []
+                reason, b = _judge(name, text, where, repo, judges.get(name), names) if text else (None, 0.0)
                 reasons.append(reason)
                 bits.append(b)
-                lists.append([] if reason in ("data", "mangled?") else sorted(set(triples(text))))
-                sources.append(origins(text, where.replace("\\", "/")) if reason == "copied" else [])
+                counts.append(len(set(names)))
+                lists.append([] if reason == "data" else sorted(set(triples(names))))
+                sources.append(origins(text, where) if reason == "copied" else [])
+            own = pa.array(range(part + at, part + at + batch.num_rows), pa.int64())
+            at += batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array(reasons, pa.string()), pa.array(bits, pa.float64()), pa.array(named, pa.float64()), pa.array(lists, pa.list_(pa.int64())), pa.array(sources, pa.list_(pa.string()))],
-                names=["_id", "_repository", "_language", "reason", "bits", "_named", "_triples", "_origins"],
+                [own, batch.column(0), batch.column(1), batch.column(3), pa.array(reasons, pa.string()), pa.array(bits, pa.float64()), pa.array(counts, pa.int32()), pa.array(named, pa.float64()), pa.array(lists, pa.list_(pa.int64())), pa.array(sources, pa.list_(pa.string()))],
+                names=["_key", "_id", "_repository", "_language", "reason", "bits", "_names", "_named", "_triples", "_origins"],
             )
 
     # Read by three branches below, judged once.
-    seen = cut_lineage(source.mapInArrow(judge, f"_id {id_type}, _repository string, _language string, reason string, bits double, _named double, _triples array<bigint>, _origins array<string>"))
-    # A row of its own key, as ids may repeat: the same file has the same triples anyway.
-    keyed = seen.withColumn("_key", F.xxhash64("_id", "_repository", "_triples"))
-    names = keyed.select("_key", "_repository", "_named", F.explode("_triples").alias("_t")).withColumn("_repository", F.coalesce("_repository", F.lit("")))
+    seen = cut_lineage(source.mapInArrow(judge, f"_key bigint, _id {id_type}, _repository string, _language string, reason string, bits double, _names int, _named double, _triples array<bigint>, _origins array<string>"))
+    # The usual bits of a language, from all its files; JSON has no names but those of its literals.
+    usual = seen.filter("reason is null and bits > 0").groupBy("_language").agg(F.avg("bits").alias("_usual"))
+    strange = (F.col("_language") != "Json") & (F.col("_names") >= LEAST_NAMES) & (F.col("bits") > F.col("_usual") + F.when(F.col("reason") == "mangled?", PACKED_BITS).otherwise(MANGLED_BITS))
+    keyed = seen.join(F.broadcast(usual), "_language", "left").withColumn("_mangled", F.coalesce(strange, F.lit(False)))  # one row a language
+    names = keyed.filter("not _mangled").select("_key", "_repository", "_named", F.explode("_triples").alias("_t")).withColumn("_repository", F.coalesce("_repository", F.lit("")))
     # Per triple and repository first, so that a triple of a third of all files is few rows.
     held = names.groupBy("_t", "_repository").agg(F.max("_named").alias("_named"), F.count(F.lit(1)).alias("_n"))
     home = held.groupBy("_t").agg(F.max(F.struct("_named", "_n", "_repository"))["_repository"].alias("_home"), F.count(F.lit(1)).alias("_repos")).filter("_repos > 1")
@@ -300,10 +330,8 @@ def judged_files(
         .agg(F.count_if(elsewhere).alias("_foreign"), F.count(F.lit(1)).alias("_shared"))
         .filter(F.col("_foreign") >= LEAST_TRIPLES)
     )
-    # The usual bits of a language, from all its files.
-    usual = seen.filter("reason is null and bits > 0").groupBy("_language").agg(F.avg("bits").alias("_usual"))
-    out = keyed.join(foreign, "_key", "left").join(F.broadcast(usual), "_language", "left")
+    out = keyed.join(foreign, "_key", "left")
     copied = F.col("_foreign") >= FOREIGN_SHARE * F.size("_triples")
-    mangled = (F.col("reason") == "mangled?") & (F.col("bits") > F.coalesce("_usual", F.lit(0.0)) + MANGLED_BITS)
-    reason = F.when(mangled, "mangled").when(F.col("reason") == "mangled?", None).when(F.col("reason").isNotNull(), F.col("reason")).when(copied, "copied")
+    own = F.when(F.col("reason") != "mangled?", F.col("reason"))
+    reason = F.when(own == "data", own).when(F.col("_mangled"), "mangled").when(own.isNotNull(), own).when(copied, "copied")
     return out.select(F.col("_id").alias(file_id), reason.alias("reason"), "bits")
