@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLOTS = 16
+#: Slots of a reservoir, and items that a slot of a large one holds: a capacity of more than SLOTS times that has more slots.
+SLOTS, SLOT_ITEMS = 16, 100_000
 
 
 def generator(seed: int, *names: object) -> np.random.Generator:
@@ -26,6 +27,35 @@ def generator(seed: int, *names: object) -> np.random.Generator:
     return np.random.Generator(np.random.PCG64(int.from_bytes(digest, "big")))
 
 
+#: numpy's hypergeometric takes populations below this.
+NUMPY_POPULATION = 10**9
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many of `draws` draws without replacement are among the `good` of good + bad, for any sizes.
+
+    Beyond numpy's bound by inversion from the mode: the ratios of neighbouring probabilities are
+    known exactly, so the weights around the mode need no factorials. What lies further out than
+    40 deviations has a weight below the rounding of the sum.
+    """
+    low, high = max(0, draws - bad), min(good, draws)
+    if low == high:
+        return low
+    whole = good + bad
+    if whole < NUMPY_POPULATION:
+        return int(rng.hypergeometric(good, bad, draws))
+    mode = min(high, max(low, (good + 1) * (draws + 1) // (whole + 2)))
+    deviation = (draws / whole * good / whole * bad * (whole - draws) / max(1, whole - 1)) ** 0.5
+    reach = int(40 * deviation) + 60
+    up = np.arange(mode, min(high, mode + reach), dtype=np.float64)
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=np.float64)
+    rise = (good - up) * (draws - up) / ((up + 1) * ((bad - draws) + up + 1))
+    fall = down * ((bad - draws) + down) / ((good - down + 1) * (draws - down + 1))
+    weights = np.r_[np.cumprod(fall)[::-1], 1.0, np.cumprod(rise)]
+    upto = np.cumsum(weights)
+    return mode - len(down) + int(np.searchsorted(upto, rng.random() * upto[-1], side="right"))
+
+
 def split_counts(rng: np.random.Generator, have: np.ndarray, wanted: int) -> np.ndarray:
     """How many of `wanted` draws without replacement fall into each cell of `have`."""
     have = np.asarray(have, np.int64)
@@ -36,15 +66,7 @@ def split_counts(rng: np.random.Generator, have: np.ndarray, wanted: int) -> np.
             break
         n = int(have[i])
         rest = total - n
-        # numpy's hypergeometric takes populations of up to 1e9; larger ones are drawn as binomials of negligibly different law
-        if n == 0:
-            got = 0
-        elif rest == 0:
-            got = left
-        elif total < 10**9:
-            got = int(rng.hypergeometric(n, rest, left))
-        else:
-            got = min(n, left, max(left - rest, int(rng.binomial(left, n / total))))
+        got = hypergeometric(rng, n, rest, left)
         out[i] = got
         left, total = left - got, rest
     return out
@@ -83,15 +105,19 @@ def survivors_per_cell(offered: np.ndarray, capacity: int, rng: np.random.Genera
 
 
 def reservoir_rows(
-    df: DataFrame, strata: Sequence[str], item: str, batch: str, capacity: int, seed: int = 7, slots: int = SLOTS
+    df: DataFrame, strata: Sequence[str], item: str, batch: str, capacity: int, seed: int = 7, slots: int | None = None
 ) -> DataFrame:
     """The sampled rows: `strata`, `item`, `_seen`. Batches arrive in the order of `batch`.
 
+    `slots` is how many tasks share a batch of a stratum; by default as many as hold SLOT_ITEMS
+    items each, SLOTS at least. The sample stays distributed, however large `capacity` is.
+
     Every offered row of a stratum is in its sample with the same probability; a stratum of fewer
     than `capacity` rows is kept whole. A row with a null in `strata` belongs to no stratum. Rows
     that are offered twice count twice. A null `item` or `batch` is an ordinary value (null
     batches come first). An empty table gives an empty sample. Columns may have any other names.
     """
+    slots = slots or max(SLOTS, -(-capacity // SLOT_ITEMS))
     rows = df.dropna(subset=list(strata)).select(
         *(F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)), F.col(item).alias("_item"), F.col(batch).alias("_batch")
     )
@@ -122,8 +148,8 @@ def reservoir_rows(
     return joined.select(*(ranked[f"_s{i}"].alias(c) for i, c in enumerate(strata)), ranked["_item"].alias(item), F.col("_seen"))
 
 
-def reservoirs(df: DataFrame, strata: Sequence[str], item: str, batch: str, capacity: int, seed: int = 7, slots: int = SLOTS) -> DataFrame:
-    """`strata`, capacity, seen, items (ascending): one row per stratum, of at most `capacity` items each."""
+def reservoirs(df: DataFrame, strata: Sequence[str], item: str, batch: str, capacity: int, seed: int = 7, slots: int | None = None) -> DataFrame:
+    """`strata`, capacity, seen, items (ascending): one row per stratum, of at most `capacity` items each; for capacities that fit a row."""
     rows = reservoir_rows(df, strata, item, batch, capacity, seed, slots)
     return rows.groupBy(*strata).agg(F.lit(capacity).alias("capacity"), F.max("_seen").alias("seen"), F.sort_array(F.collect_list(item)).alias("items"))
 

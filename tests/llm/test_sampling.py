@@ -28,6 +28,23 @@ def test_every_batch_has_its_share():
     assert np.abs(total - 8 * offered / 40).max() < 0.12
 
 
+def test_draws_from_any_population(monkeypatch):
+    """Inversion has the law of the definition, and its mean and deviation where numpy can't go."""
+    rng = np.random.default_rng(4)
+    exact = [math.comb(30, k) * math.comb(70, 20 - k) / math.comb(100, 20) for k in range(21)]
+    monkeypatch.setattr(R, "NUMPY_POPULATION", 0)
+    hits = Counter(R.hypergeometric(rng, 30, 70, 20) for _ in range(20_000))
+    likely = [k for k in range(21) if exact[k] > 0.001]
+    assert sum((hits[k] - 20_000 * exact[k]) ** 2 / (20_000 * exact[k]) for k in likely) < 40
+    monkeypatch.undo()
+    draws = np.array([R.hypergeometric(rng, 10**10, 3 * 10**10, 10**6) for _ in range(400)])
+    assert abs(draws.mean() - 250_000) < 5 * 433 / 20 and 380 < draws.std() < 490
+    nearly_all = np.array([R.hypergeometric(rng, 10**10, 10**4, 10**10) for _ in range(50)])  # all but 10,000 drawn
+    assert abs(nearly_all.mean() - (10**10 - 10**4)) < 1 and nearly_all.std() < 1  # a binomial's would be 100
+    kept = R.survivors_per_cell(np.array([[4 * 10**9, 4 * 10**9], [10**9, 10**9], [0, 1]]), 1_000_000, rng)
+    assert kept.sum() == 1_000_000 and abs(kept[0].sum() - 800_000) < 2500
+
+
 def test_each_record_is_equally_likely(spark):
     """Four hundred strata of the same sixty records are four hundred independent samples."""
     pairs = spark.range(400 * 60).select(F.floor(F.col("id") / 60).alias("g"), (F.col("id") % 60).alias("item"), (F.col("id") % 60 > 50).cast("int").alias("batch"))
@@ -120,6 +137,31 @@ def test_mixture_meets_its_targets(spark):
     assert smaller.agg(F.sum(F.col("copies") * F.col("n_tokens"))).first()[0] == pytest.approx(50_000, rel=0.03)
 
 
+def test_token_constraints_tilt_the_rates(spark):
+    """The rates are those of the dual, solved here by bisection; copies follow them, and shares hold."""
+    rng = random.Random(8)
+    rows = [(i, rng.choices(["big", "mid", "small"], [60, 30, 10])[0], int(rng.lognormvariate(4, 1)) + 1) for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    share, cap = {"big": 0.2, "mid": 0.5, "small": 0.3}, {"big": 1, "mid": 2, "small": 3}
+    mixed = M.mixture(docs, spark.createDataFrame([(s, share[s], cap[s]) for s in share], TARGETS), hold_size=False)
+    copies = {r.doc_id: r.copies for r in mixed.collect()}
+    size = {s: np.array([t for _, x, t in rows if x == s], float) for s in share}
+    aim = min(cap[s] * size[s].sum() / share[s] for s in share)
+    start = aim / sum(t.sum() for t in size.values())
+    for s, t in size.items():
+        got = np.array([copies.get(i, 0) for i, x, _ in rows if x == s])
+        assert (got * t).sum() == pytest.approx(share[s] * aim, rel=0.005) and got.max() <= cap[s]
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            b = (low + high) / 2
+            rate = np.minimum(cap[s], start * np.exp(np.minimum(700, b * t / t.mean())))
+            low, high = (b, high) if (rate * t).sum() < share[s] * aim else (low, b)
+        assert s == "small" or abs(b) > 0.1  # the constraint binds
+        long_ = t > np.quantile(t, 0.8)
+        for part in (long_, ~long_):
+            assert got[part].mean() == pytest.approx(rate[part].mean(), rel=0.05)
+
+
 def test_hot_sizes_and_edges(spark, monkeypatch):
     monkeypatch.setattr(M, "CELL_ROWS", 50)
     docs = spark.createDataFrame([(i % 700, "a" if i % 3 else "b", 10) for i in range(900)], "doc_id bigint, source string, n_tokens bigint")
