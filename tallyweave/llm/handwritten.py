@@ -141,29 +141,53 @@ def origins(text: str, path: str) -> list[str]:
     return sorted({x for x in named_projects(head_of(text)) + package if x})
 
 
+_DIGITS = re.compile(r"\d+")
+_DIGIT = re.compile(r"\d")
+_HUMP = re.compile(r"[a-z][A-Z]")
+_LETTER = re.compile(r"[^\W_]")
+
+
+class _Lines(dict):
+    """Of a line without outer blanks: its characters, those of literals of data, whether it is a row of data, and its shape."""
+
+    def __missing__(self, bare: str) -> tuple[int, int, bool, str | None]:
+        if len(self) > MOST_KNOWN:
+            self.clear()
+        size = len(bare)
+        digits = _DIGIT.search(bare) is not None
+        quoted = '"' in bare or "'" in bare or "`" in bare
+        numbers = sum(map(len, _NUMBER.findall(bare))) if digits else 0
+        blobs = sum(len(s) for s in _STRING.findall(bare) if len(s) > 33 and _BLOB.match(s[1:-1])) if quoted else 0
+        table = digits and _TABLE_ROW.match(bare) is not None
+        separators = bare.count(",") + bare.count(" ") if numbers > 0.4 * size and (table or bare.count(",") > 12) else 0
+        data = min(size, blobs + (numbers + separators if separators else 0))
+        row = table or blobs > 0.7 * size
+        shape = None
+        if not row and _LETTER.search(bare):
+            shape = _NAME.sub("w", _STRING.sub("s", bare) if quoted else bare)
+            shape = _DIGITS.sub("0", shape) if digits else shape
+        self[bare] = (size, data, row, shape)
+        return self[bare]
+
+
+_lines = _Lines()
+
+
 def layout(text: str) -> dict[str, float]:
     """What the file looks like: shapes of lines, literals, blanks, names."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    code = _COMMENT.sub(" ", text)
-    rows, shapes = 0, Counter()
+    shapes: Counter = Counter()
     data = total = 0
-    for line in code.split("\n"):
+    for line in _COMMENT.sub(" ", text).split("\n"):
         bare = " ".join(line.split())
         if not bare or bare.startswith(("//", "# ")):
             continue
         cut = bare.find(" //")
-        bare = bare[:cut] if cut > 0 else bare
-        size = len(bare)
+        size, literal, _, shape = _lines[bare[:cut] if cut > 0 else bare]
         total += size
-        numbers = sum(len(x) for x in _NUMBER.findall(bare))
-        blobs = sum(len(s) for s in _STRING.findall(bare) if _BLOB.match(s[1:-1]))
-        separators = bare.count(",") + bare.count(" ") if numbers > 0.4 * size and _TABLE_ROW.match(bare) or bare.count(",") > 12 and numbers > 0.4 * size else 0
-        data += min(size, blobs + (numbers + separators if separators else 0))
-        if _TABLE_ROW.match(bare) and any(c.isdigit() for c in bare) or blobs > 0.7 * size:
-            rows += 1
-            continue
-        if any(c.isalnum() for c in bare):
-            shapes[re.sub(r"\d+", "0", _NAME.sub("w", _STRING.sub("s", bare)))] += 1
+        data += literal
+        if shape is not None:
+            shapes[shape] += 1
     n = sum(shapes.values())
     perplexity = math.exp(-sum(v / n * math.log(v / n) for v in shapes.values())) if n else 0.0
     return {
@@ -173,7 +197,7 @@ def layout(text: str) -> dict[str, float]:
         "perplexity": perplexity,
         "data": data,
         "data_share": data / max(1, total),
-        "blanks": sum(map(str.isspace, text)) / max(1, len(text)),
+        "blanks": 1 - sum(map(len, text.split())) / max(1, len(text)),
     }
 
 
@@ -183,8 +207,7 @@ def names_of(text: str) -> list[str]:
 
 def triples(names: list[str]) -> list[int]:
     """Three compound names in a row, in the order of their first use: what a copy keeps and chance doesn't repeat."""
-    seen = dict.fromkeys(x for x in names if len(x) > 5 and ("_" in x.strip("_") or re.search(r"[a-z][A-Z]", x)))
-    line = list(seen)
+    line = [x for x in dict.fromkeys(names) if len(x) > 5 and ("_" in x.strip("_") or _HUMP.search(x))]
     return [xxh3_64_intdigest(" ".join(line[i : i + 3])) - (1 << 63) for i in range(len(line) - 2)]
 
 
@@ -259,8 +282,10 @@ def _reason(name: str | None, text: str, path: str, repository: str | None, ids:
         return "copied"
     if names_other_project(head, repository):
         return "copied"
+    if look["blanks"] >= BLANKS:
+        return None
     short = sum(len(x.rstrip("0123456789")) <= 1 for x in ids) / max(1, len(ids))
-    return "mangled?" if short >= SHORT_SHARE and look["blanks"] < BLANKS else None
+    return "mangled?" if short >= SHORT_SHARE else None
 
 
 def judged_files(
