@@ -1,15 +1,16 @@
 """Records that fail to parse: good rows are loaded, the others are set aside with a reason.
 
-Blocks of records go through a columnar CSV parser and a columnar validation. A block that
-fails anywhere is halved until the failing records are alone; those are diagnosed by a strict
-scanner of single records. Nothing is shuffled: the operator is one pass over the input.
+Blocks of records go through a columnar CSV parser; a block that the parser rejects is halved
+until few records are left. The fields of what it takes are tested as columns. The records that
+are left over are diagnosed by a strict scanner of single records. Nothing is shuffled: the
+operator is one pass over the input.
 """
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pacsv
@@ -28,7 +29,7 @@ _FIELD = r'(?:[^",\r\n]*|"(?:[^"]|"")*")'
 _RECORD = rf"^{_FIELD}(?:,{_FIELD}){{8}}\r?$"
 _BIGINT_MAX = 2**63 - 1
 #: Blocks of at most this many records are not halved any further.
-_LEAF = 4
+_LEAF = 8
 
 GOOD_SCHEMA = (
     "language string, repository string, commit string, path string, status string, elapsed_ms double, "
@@ -118,65 +119,112 @@ def is_header(record: str | None) -> bool:
     return record is not None and record.startswith((COLUMNS[0], f'"{COLUMNS[0]}"')) and split_record(record)[0] == COLUMNS
 
 
-def _bulk(records: pa.Array) -> list[pa.Array] | None:
-    """The columns of a block all of whose records are good, else None."""
-    if records.null_count or not pc.all(pc.match_substring_regex(records, _RECORD)).as_py():
-        return None
-    text = "\n".join(records.to_pylist()) + "\n"
+_READ = pacsv.ReadOptions(column_names=COLUMNS, use_threads=False, block_size=64 << 20)
+_PARSE = pacsv.ParseOptions(newlines_in_values=True, double_quote=True, ignore_empty_lines=False)
+_CONVERT = pacsv.ConvertOptions(column_types=dict.fromkeys(COLUMNS, pa.string()), strings_can_be_null=False)
+
+
+def _parsed(records: list[bytes]) -> pa.Table | None:
+    """The fields of a block as columns, or None if the parser rejects a record of it."""
     try:
-        got = pacsv.read_csv(
-            io.BytesIO(text.encode("utf-8", "surrogatepass")),
-            read_options=pacsv.ReadOptions(column_names=COLUMNS, use_threads=False, block_size=max(1 << 20, 4 * len(text) + 64)),
-            parse_options=pacsv.ParseOptions(newlines_in_values=True, double_quote=True, ignore_empty_lines=False),
-            convert_options=pacsv.ConvertOptions(column_types=dict.fromkeys(COLUMNS, pa.string()), strings_can_be_null=False),
-        )
-    except (pa.ArrowInvalid, UnicodeEncodeError):
+        got = pacsv.read_csv(pa.py_buffer(b"\n".join(records) + b"\n"), _READ, _PARSE, _CONVERT)
+    except pa.ArrowInvalid:
         return None
-    if got.num_rows != len(records):
-        return None
-    columns = [got.column(i).combine_chunks() for i in range(len(COLUMNS))]
-    language, repository, commit, path, status = columns[:5]
-    ok = pc.equal(status, "ok")
+    return got if got.num_rows == len(records) else None
+
+
+def _parsed_parts(records: list[bytes]) -> Iterator[tuple[int, int, pa.Table | None]]:
+    """(from, to, columns) of the parts that the block falls into: what the parser rejects is halved down to _LEAF records, whose columns are None."""
+    pending = [(0, len(records))]
+    while pending:
+        a, b = pending.pop()
+        table = _parsed(records[a:b])
+        if table is None and b - a > _LEAF:
+            mid = (a + b) // 2
+            pending += [(mid, b), (a, mid)]
+        elif b > a:
+            yield a, b, table
+
+
+def _loadable(table: pa.Table) -> np.ndarray:
+    """Which records have good values in all fields, as far as columns tell: numbers of 19 digits are left to the strict reader."""
+    language, repository, commit, path, status = (table.column(i) for i in range(5))
     tests = [pc.not_equal(language, ""), pc.not_equal(repository, ""), pc.not_equal(path, "")]
     tests += [pc.match_substring_regex(commit, r"^[0-9a-f]{40}\z"), pc.is_in(status, pa.array(STATUSES))]
-    for name, column in zip(MEASURES, columns[5:], strict=True):
-        filled = pc.match_substring_regex(column, r"^[0-9]+(?:\.[0-9]+)?\z" if name == "elapsed_ms" else r"^[0-9]+\z")
-        tests.append(pc.or_(filled, pc.and_not(pc.equal(column, ""), ok)))
-    if not all(pc.all(x).as_py() for x in tests):
-        return None
-    try:
-        numbers = [
-            pc.if_else(pc.equal(c, ""), pa.scalar(None, pa.string()), c).cast(t) for c, t in zip(columns[5:], _ARROW_TYPES[5:], strict=True)
-        ]
-    except pa.ArrowInvalid:  # beyond bigint
-        return None
-    return columns[:5] + numbers
+    not_ok = pc.not_equal(status, "ok")
+    for name in MEASURES:
+        column = table.column(name)
+        filled = pc.match_substring_regex(column, r"^[0-9]+(?:\.[0-9]+)?\z" if name == "elapsed_ms" else r"^[0-9]{1,18}\z")
+        tests.append(pc.or_(filled, pc.and_(pc.equal(column, ""), not_ok)))
+    return np.logical_and.reduce([t.to_numpy() for t in tests])
 
 
 def _typed(fields: list[str]) -> list:
     return fields[:5] + [float(fields[5]) if fields[5] else None] + [int(x) if x else None for x in fields[6:]]
 
 
+def _ill_formed(records: pa.Array) -> np.ndarray:
+    """The numbers of records with quotes or line breaks out of place, which could be read together with their neighbours."""
+    special = np.flatnonzero(pc.fill_null(pc.match_substring_regex(records, r'["\n]|\r(?s:.)'), True).to_numpy(zero_copy_only=False))
+    return special[~pc.fill_null(pc.match_substring_regex(records.take(pa.array(special, pa.int64())), _RECORD), False).to_numpy(zero_copy_only=False)]
+
+
+def _typed_columns(table: pa.Table) -> list[pa.Array]:
+    columns = [c.combine_chunks() if table.num_rows else pa.array([], pa.string()) for c in table.columns]
+    return columns[:5] + [pc.if_else(pc.equal(c, ""), pa.scalar(None, pa.string()), c).cast(t) for c, t in zip(columns[5:], _ARROW_TYPES[5:], strict=True)]
+
+
+def _bulk(records: pa.Array) -> list[pa.Array] | None:
+    """The columns of a block all of whose records are good, else None."""
+    if len(_ill_formed(records)):
+        return None
+    table = _parsed(records.cast(pa.binary()).to_pylist())
+    if table is None:
+        return None
+    fine = _loadable(table)
+    rest = [i for i in np.flatnonzero(~fine).tolist() if diagnose(records[i].as_py())[0] is None]
+    return None if rest else _typed_columns(table)
+
+
 def _sift(records: pa.Array, first: int, good: list, bad: list) -> None:
     """Adds (row numbers, columns) to good and (row number, reason) to bad."""
-    pending = [(0, len(records))]
-    while pending:
-        a, b = pending.pop()
-        if (columns := _bulk(records.slice(a, b - a))) is not None:
-            good.append((range(first + a, first + b), columns))
-        elif b - a > _LEAF:
-            mid = (a + b) // 2
-            pending += [(mid, b), (a, mid)]
+    if (columns := _bulk(records)) is not None:
+        good.append((range(first, first + len(records)), columns))
+        return
+    strict = _ill_formed(records)
+    rest = np.setdiff1d(np.arange(len(records)), strict, assume_unique=True)
+    lines = records.cast(pa.binary()).take(pa.array(rest, pa.int64())).to_pylist()
+    doubtful = [strict]
+    parts = []
+    for a, b, table in _parsed_parts(lines):
+        if table is None:
+            doubtful.append(rest[a:b])
+        else:
+            parts.append((rest[a:b], table))
+    if parts:
+        rows, table = np.concatenate([r for r, _ in parts]), pa.concat_tables([t for _, t in parts])
+        fine = _loadable(table)
+        doubtful.append(rows[~fine])
+        good.append((rows[fine] + first, _typed_columns(table.filter(pa.array(fine)))))
+    single = []
+    for i in np.sort(np.concatenate(doubtful)).tolist():
+        fields, reason = diagnose(records[i].as_py())
+        if fields is None:
+            bad.append((first + i, reason))
         else:
-            single = []
-            for i in range(a, b):
-                fields, reason = diagnose(records[i].as_py())
-                if fields is None:
-                    bad.append((first + i, reason))
-                else:
-                    single.append((first + i, _typed(fields)))
-            if single:
-                good.append(([i for i, _ in single], [pa.array([r[k] for _, r in single], t) for k, t in enumerate(_ARROW_TYPES)]))
+            single.append((first + i, _typed(fields)))
+    if single:
+        good.append(([i for i, _ in single], [pa.array([r[k] for _, r in single], t) for k, t in enumerate(_ARROW_TYPES)]))
+
+
+def _records_only(lines: pa.Array) -> pa.Array:
+    """Which rows are records: neither empty lines nor headers."""
+    blank = pc.fill_null(pc.match_substring_regex(lines, r"\A[\r\n]*\z"), False).to_numpy(zero_copy_only=False)
+    named = pc.fill_null(pc.match_substring_regex(lines, rf'\A"?{COLUMNS[0]}'), False).to_numpy(zero_copy_only=False)
+    drop = blank.copy()
+    for i in np.flatnonzero(named):
+        drop[i] = is_header(lines[i].as_py())
+    return pa.array(np.flatnonzero(~drop), pa.int64())
 
 
 def load_records(df: DataFrame, text: str = "raw_line", block: int = 1024) -> DataFrame:
@@ -198,13 +246,10 @@ def load_records(df: DataFrame, text: str = "raw_line", block: int = 1024) -> Da
         for batch in batches:
             for start in range(0, batch.num_rows, block):
                 part = batch.slice(start, block)
-                lines = part.column(keep.index(text))
-                plain = [i for i, x in enumerate(lines.to_pylist()) if not (is_blank(x) or is_header(x))]
-                part = part.take(pa.array(plain, pa.int64()))
-                records = part.column(keep.index(text))
+                part = part.take(_records_only(part.column(keep.index(text))))
                 good: list = []
                 bad: list = []
-                _sift(records, 0, good, bad)
+                _sift(part.column(keep.index(text)), 0, good, bad)
                 for rows, columns in good:
                     own = part.take(pa.array(rows, pa.int64()))
                     reason = pa.nulls(len(rows), pa.string())
