@@ -1,9 +1,14 @@
 """Mixing sources to target shares of the total size by entropy balancing.
 
-Documents get rates exp(a_s + b_s x), x being their size over the mean size, which are the least
-change of equal rates that gives each source its tokens and keeps its mean document size. The
-convex dual is solved by Newton's method on sums over all documents. Rates are then rounded to
-copies such that each source is off its tokens by about one document.
+All documents start from one rate, that of the whole set. The least change of it (in relative
+entropy) that gives each source its tokens tilts the rates exponentially: min(cap, rate exp(b_s x)),
+x being a document's size over the mean size of its source. The convex dual, one b_s per source,
+is solved by Newton's method on sums over all documents, kept within brackets. Rates are then
+rounded to copies such that each source is off its tokens by about one document.
+
+The tilt prefers long documents where a source is raised and short ones where it is lowered. With
+`hold_size` the mean document size of each source is a second constraint; the rates are then
+exp(a_s + b_s x), whose solution is one rate within a source.
 """
 
 from __future__ import annotations
@@ -61,18 +66,64 @@ def _newton(spark: SparkSession, cells: DataFrame, goals: dict, tolerance: float
             if off > tolerance:
                 found[s] = found[s] + step
         if worst <= tolerance:
-            break
-    return {s: (held[s][1] if s in held else v) for s, v in found.items()}
+            return {s: (held[s][1] if s in held else v) for s, v in found.items()}
+    raise RuntimeError(f"rates are still off their goals by {worst:.2g} after {most} passes")
 
 
-def mixture(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "n_tokens", total: float | None = None, seed: int = 11) -> DataFrame:
+def _tilts(spark: SparkSession, cells: DataFrame, goals: dict, start: float, tolerance: float = 1e-9, most: int = 200) -> dict:
+    """(ln start, b) per source such that the sum of min(cap, start exp(b x)) x is at its goal.
+
+    The sum rises with b, so every pass either takes Newton's step or halves the bracket that the
+    passes before have left; a goal that takes all documents at their cap is (ln cap, 0).
+    """
+    found = dict.fromkeys(goals, 0.0)
+    bracket: dict = {s: [None, None] for s in goals}
+    done: dict = {}
+    for _ in range(most):
+        if not found:
+            return done
+        state = spark.createDataFrame([(s, float(b)) for s, b in found.items()], "_source string, _b double")
+        free = F.col("_rows") * F.lit(start) * F.exp(F.least(F.lit(700.0), F.col("_b") * F.col("_x")))
+        top = F.col("_rows") * F.col("_cap")
+        sums = (
+            cells.join(F.broadcast(state), F.col("source") == F.col("_source"))
+            .groupBy("source")
+            .agg(
+                F.sum(F.least(free, top) * F.col("_x")).alias("rx"),
+                F.coalesce(F.sum(F.when(free < top, free * F.col("_x") * F.col("_x"))), F.lit(0.0)).alias("rxx"),
+                F.sum(top * F.col("_x")).alias("most"),
+                F.max("_cap").alias("cap"),
+            )
+            .collect()
+        )  # one row per target
+        for row in sums:
+            s, b = row["source"], found[row["source"]]
+            off = row["rx"] - goals[s]
+            if goals[s] >= row["most"] * (1 - tolerance):
+                done[s] = np.array([np.log(row["cap"]), 0.0])
+            elif abs(off) <= tolerance * goals[s]:
+                done[s] = np.array([np.log(start), b])
+            if s in done:
+                del found[s]
+                continue
+            bracket[s][int(off > 0)] = b
+            low, high = bracket[s]
+            step = b - off / row["rxx"] if row["rxx"] > 0 else None
+            if step is None or low is not None and step <= low or high is not None and step >= high or abs(step - b) > 1 + 4 * abs(b):
+                step = (low + high) / 2 if low is not None and high is not None else b + (1 + 2 * abs(b)) * (-1 if off > 0 else 1)
+            found[s] = step
+    raise RuntimeError(f"no tilt found after {most} passes for {sorted(found)[:5]}")
+
+
+def mixture(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "n_tokens", total: float | None = None, seed: int = 11, hold_size: bool = True) -> DataFrame:
     """`doc_id`, source, n_tokens, copies of every document that is in the training set.
 
     Each source of `targets` (source, target_share, max_repeats) gets its share of the tokens of
     the whole set, whose size is `total` or the largest that the caps allow. No document has more
     than `max_repeats` copies (null: 1). Sources without documents leave their share to the
     others in proportion; documents of no source, of a source without a target or without tokens
-    are left out. A target that is given twice counts with its sum and its larger cap. Documents
+    are left out. With `hold_size` a source keeps its mean document size, else rates are tilted by
+    size. A target that is given twice counts with its sum and its larger cap. Documents
     with one id are treated as separate documents.
     """
     spark = docs.sparkSession
@@ -95,8 +146,11 @@ def mixture(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source:
     mean = spark.createDataFrame([(s, sizes[s][1] / sizes[s][0], int(next(w["max_repeats"] for w in wanted if w["source"] == s))) for s in shares], "source string, _mean double, _cap int")
     used = cells.join(F.broadcast(mean), "source").withColumn("_x", F.col("n_tokens") / F.col("_mean"))
     rates = {s: shares[s] * aim / sizes[s][1] for s in shares}
-    goals = {s: np.array([rates[s] * sizes[s][0], rates[s] * sizes[s][0]]) for s in shares}  # the mean of x is 1
-    solved = _newton(spark, used, goals)
+    # The mean of x is 1: a source's tokens over its mean size are its rate times its documents.
+    if hold_size:
+        solved = _newton(spark, used, {s: np.array([rates[s] * sizes[s][0]] * 2) for s in shares})
+    else:
+        solved = _tilts(spark, used, {s: rates[s] * sizes[s][0] for s in shares}, aim / sum(sizes[s][1] for s in shares))
     state = spark.createDataFrame([(s, float(v[0]), float(v[1])) for s, v in solved.items()], "source string, _a double, _b double")
 
     salts = -(-max(r["top"] for r in facts) // CELL_ROWS)
@@ -123,6 +177,6 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     return out.select("source", "target_share", "max_repeats", "documents", "copies", "most_copies", "tokens", F.when(whole > 0, F.col("tokens") / whole).otherwise(0.0).alias("actual_share"))
 
 
-def token_mixture(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, total: float | None = None, seed: int = 11) -> DataFrame:
-    """mixture() of texts, their sizes counted in tokens of the vocabulary file."""
-    return mixture(with_token_counts(docs, "text", ["doc_id", "source"], vocabulary=vocabulary), targets, total=total, seed=seed)
+def token_mixture(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, total: float | None = None, seed: int = 11, hold_size: bool = False) -> DataFrame:
+    """mixture() of texts, their sizes counted in tokens of the vocabulary file, by token constraints alone unless `hold_size`."""
+    return mixture(with_token_counts(docs, "text", ["doc_id", "source"], vocabulary=vocabulary), targets, total=total, seed=seed, hold_size=hold_size)
