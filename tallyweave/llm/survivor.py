@@ -1,8 +1,9 @@
 """Best representative of each group of rows that mean the same pair.
 
 Written keys are made comparable with built-in expressions, shortened hashes are resolved among
-the distinct keys only, and the best row is ranked by a window whose filter lets Spark keep one
-row per key before the shuffle, so that a key with a third of all rows costs one row per task.
+the distinct keys only. The best row of a written key is kept by an aggregation that is partial
+before the shuffle, so that a key with a third of all rows costs one row per task; the spellings
+of one pair, at most 40, are then ranked by a window.
 """
 
 from __future__ import annotations
@@ -66,9 +67,10 @@ def resolved_pairs(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         F.struct(*keep).alias("_kept"),
     )
     key = ["_repository", "_written", "_path"]
-    counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"), F.min("_run").alias("_first"))
-    top = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*_best_order()))).filter("_rank = 1").drop("_rank")
-    one = top.join(counted, key)
+    # One aggregation, partial before the shuffle: a written key is one row per task.
+    order = ["_trust", "_whole", "_when", "_run"]
+    best = F.max_by(F.struct(*order, "_kept"), F.struct(*order))  # a null time is the least
+    one = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"), F.min("_run").alias("_first"), best.alias("_top")).select(*key, "_rows", "_first", "_top.*")
 
     # From here on there is one row per written key. Sorted downwards, a full hash comes before what it may be shortened to.
     head = F.substring("_written", 1, LEAST_HASH)
