@@ -2,9 +2,10 @@
 
 Keys are range-partitioned by their 128-bit hash. Within a range the parents lie as sorted
 arrays (key, start of validity, latest end so far); batches of references are looked up in them
-by binary search, and only the misses leave the range. A range that holds many references is
-split over several tasks, a range with many parents likewise: a reference is then a miss only
-if every part of its range misses it.
+by binary search, and only the misses leave the range. There are as many ranges as the rows
+need, so only a hot key makes a range large: one with many references is split over several
+tasks, one with many parents likewise, and a reference is then a miss only if every part of its
+range misses it.
 """
 
 from __future__ import annotations
@@ -17,12 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import fresh_name
+from ..session import BROADCAST_ROWS, cut_lineage, fresh_name
 
 #: Rows that one task holds of a range, of either side.
 PART_ROWS = 400_000
-#: At most so many ranges; their counts are what the driver sees.
-MOST_RANGES = 4096
 
 FOREVER = 2**62
 
@@ -97,30 +96,24 @@ def orphan_references(
     probes = refs.filter(~key_null).select(F.col(ref_id).alias("_id"), F.unix_micros(F.col(at)).alias("_at"), *_hashes(keys))
     periods = parent_periods(parents, keys, start, end)
 
-    most = max(parents.count(), refs.count(), 1)
-    bits = min(int(np.log2(MOST_RANGES)), max(0, int(np.ceil(np.log2(most / PART_ROWS)))) + 3)
-    sizes = (
-        periods.select(_range_of(bits).alias("_range"), F.lit(0).alias("_side"))
-        .unionAll(probes.select(_range_of(bits).alias("_range"), F.lit(1).alias("_side")))
-        .groupBy("_range", "_side")
-        .count()
-        .collect()
-    )  # at most 2 x MOST_RANGES rows
-    splits: dict[int, list[int]] = {}
-    for r in sizes:
-        splits.setdefault(r["_range"], [1, 1])[r["_side"]] = -(-r["count"] // PART_ROWS)
-    split = [any(v[side] > 1 for v in splits.values()) for side in (0, 1)]
-
-    def parts(side: int) -> Column:
-        """How many parts the side has in the row's range: looked up in a literal array of at most MOST_RANGES numbers."""
-        return F.get(F.lit([splits.get(k, (1, 1))[side] for k in range(1 << bits)]), F.col("_range")) if split[side] else F.lit(1)
+    most = max(parents.count(), refs.count(), 1)  # of parquet, the footers tell
+    bits = min(30, max(0, int(np.ceil(np.log2(most / PART_ROWS)))) + 3)
+    side = lambda df, k: df.select(_range_of(bits).alias("_range"), F.lit(1 - k).alias("_l"), F.lit(k).alias("_r"))
+    sizes = side(periods, 0).unionAll(side(probes, 1)).groupBy("_range").agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    parts = lambda c: F.ceil(F.greatest(F.col(c), F.lit(1)) / PART_ROWS).cast("int")
+    hot = cut_lineage(sizes.filter((F.col("_l") > PART_ROWS) | (F.col("_r") > PART_ROWS)).select("_range", parts("_l").alias("_parts0"), parts("_r").alias("_parts1")))
+    n_hot = hot.count()
+    if n_hot <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
 
     def dealt(df: DataFrame, side: int, mix: Column) -> DataFrame:
         """One copy of the row for each part of the other side, in one part of its own."""
         df = df.withColumn("_range", _range_of(bits))
-        df = df.withColumn(f"_part{side}", F.pmod(mix, parts(side)).cast("int"))
-        copies = F.explode(F.sequence(F.lit(0), parts(1 - side) - 1)) if split[1 - side] else F.lit(0)
-        return df.withColumn(f"_part{1 - side}", copies)
+        if not n_hot:
+            return df.withColumns({"_parts0": F.lit(1), "_part0": F.lit(0), "_part1": F.lit(0)})
+        df = df.join(hot, "_range", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("_parts0", "_parts1")})
+        df = df.withColumn(f"_part{side}", F.pmod(mix, F.col(f"_parts{side}")).cast("int"))
+        return df.withColumn(f"_part{1 - side}", F.explode(F.sequence(F.lit(0), F.col(f"_parts{1 - side}") - 1))).drop("_parts1")
 
     left = dealt(periods, 0, F.xxhash64("_h1", "_h2", "_start"))
     right = dealt(probes, 1, F.xxhash64("_id", "_at"))
@@ -131,13 +124,13 @@ def orphan_references(
             {"h1": own["_h1"].to_numpy(np.int64), "h2": own["_h2"].to_numpy(np.int64), "start": own["_start"].to_numpy(np.int64), "end": own["_end"].to_numpy(np.int64)},
             {"h1": asked["_h1"].to_numpy(np.int64), "h2": asked["_h2"].to_numpy(np.int64), "time": asked["_at"].to_numpy(np.int64)},
         )
-        return asked.loc[~there, ["_id", "_at", "_h1", "_h2", "_range"]]
+        return asked.loc[~there, ["_id", "_at", "_h1", "_h2", "_parts0"]]
 
     id_type = refs.schema[ref_id].dataType.simpleString()
-    misses = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(search, f"_id {id_type}, _at bigint, _h1 bigint, _h2 bigint, _range int")
-    if split[0]:
-        counted = misses.groupBy("_id", "_at", "_h1", "_h2", "_range").count()
-        misses = counted.withColumn("_n", (F.col("count") / parts(0)).cast("int")).filter("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    misses = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(search, f"_id {id_type}, _at bigint, _h1 bigint, _h2 bigint, _parts0 int")
+    if n_hot:
+        counted = misses.groupBy("_id", "_at", "_h1", "_h2", "_parts0").count()
+        misses = counted.withColumn("_n", (F.col("count") / F.col("_parts0")).cast("int")).filter("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     out_at = fresh_name([ref_id, "missing_in"], at)
     return misses.select(F.col("_id").alias(ref_id), F.timestamp_micros("_at").alias(out_at), F.lit(missing_in).alias("missing_in"))
 
