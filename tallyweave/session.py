@@ -35,30 +35,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """`df` from a checkpoint in the shared folder of `spark.checkpoint.dir`.
 
-    A lost executor costs a re-read, not a re-run. Only where neither the context nor the
-    setting names a folder (tests, one machine) a temporary one is set.
+    A lost executor costs a re-read, not a re-run. Only where neither the context nor the setting
+    names a folder and everything runs in one process on one machine (tests) a temporary one is set;
+    on a cluster a missing setting is an error, as executors don't see each other's folders.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not shared and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tallyweave-checkpoint-"))
     return df.checkpoint(eager=eager)
 
 
-#: Bytes of input per core below which rows are spread over all cores before heavy work.
-SPREAD_BYTES = 32 << 20
+#: The setting for bytes of input per core below which rows are spread over all cores before heavy work, and its default; 0 never spreads.
+SPREAD_SETTING, SPREAD_BYTES = "spark.tallyweave.spreadBytes", 32 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """`df` over all cores, if its input is too small to be split into as many parts by itself.
 
-    Beyond SPREAD_BYTES a core the splits of the files are parts enough, and nothing is shuffled.
-    The size is the optimizer's estimate; no job runs for it.
+    The rows are the same either way. From SPREAD_SETTING bytes a core on the splits of the files
+    are parts enough, and nothing is shuffled. The size is the optimizer's estimate for `source`
+    (default: `df`; the estimate of a join is of little use); no job runs for it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    least = int(spark.conf.get(SPREAD_SETTING, str(SPREAD_BYTES)))
+    size = int(str((source or df)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * least else df
 
 
 def fresh_name(taken: list[str], wanted: str) -> str:
