@@ -30,7 +30,6 @@ def multiset_diff(pairs: DataFrame, pair_id: str, before: str, after: str) -> Da
     sides = F.explode(F.array(F.struct(F.lit(1).alias("b"), F.lit(0).alias("a"), F.col(before).alias("t")), F.struct(F.lit(0).alias("b"), F.lit(1).alias("a"), F.col(after).alias("t")))).alias("x")
     texts = pairs.select(pair_id, sides).select(pair_id, "x.*")
     lines = texts.filter("t is not null and t <> ''").select(pair_id, "b", "a", F.explode(F.split(F.regexp_replace("t", r"\n\z", ""), "\n", -1)).alias("line"))
-    # the hash makes short keys of long lines for the first aggregation
     counts = lines.groupBy(pair_id, "line").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
     found = counts.groupBy(pair_id).agg(
         F.sum(F.least("a", "b")).alias("kept"), F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("deleted"), F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("inserted")

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+
+from ..session import cut_lineage
 
 
 def census(changes: DataFrame, key: Column, repository: str, lines: Column, binary: Column, sample: str) -> DataFrame:
@@ -220,8 +221,40 @@ def round_robin(rows: DataFrame, order: Sequence[str], shards: int) -> DataFrame
     The order is global, but no task sees it whole: ranges are sorted separately and numbered from
     the sizes of the ranges before.
     """
-    spark = rows.sparkSession
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = StructType([*ranged.schema.fields, StructField("_i", LongType(), False)])
-    numbered = spark.createDataFrame(ranged.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
-    return numbered.withColumn("shard", F.pmod("_i", F.lit(shards)).cast("int")).drop("_i")
+    ranged = cut_lineage(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per range
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    numbered = ranged.withColumn("_i", place).join(F.broadcast(before), "_part")
+    return numbered.withColumn("shard", F.pmod(F.col("_before") + F.col("_i"), F.lit(shards)).cast("int")).drop("_i", "_part", "_before")
+
+
+def line_verdicts(ours: DataFrame, theirs: DataFrame, keys: Sequence[str], verdict: str, absent: str = "unchanged") -> DataFrame:
+    """keys, ours, theirs, agree: the verdict of either side per line (keys name side and row too); a line that a side doesn't list has `absent`.
+
+    A line that one side lists several times has its least verdict.
+    """
+    one = lambda d, name: d.groupBy(*keys).agg(F.min(verdict).alias(name))
+    joined = one(ours, "ours").join(one(theirs, "theirs"), list(keys), "full").fillna(absent, ["ours", "theirs"])
+    return joined.withColumn("agree", F.col("ours") == F.col("theirs"))
+
+
+def span_matches(records: DataFrame, nodes: DataFrame, keys: Sequence[str], start: str, end: str, node: str) -> DataFrame:
+    """`records` and `node`: the node whose span equals the record's; of several (a node and its only child) the least, null where none does."""
+    spans = nodes.groupBy(*keys, start, end).agg(F.min(node).alias(node))
+    return records.join(spans, [*keys, start, end], "left")
+
+
+def capped(rows: DataFrame, repository: str, family: str, order: Sequence[Column], most: int = 4) -> DataFrame:
+    """At most `most` rows of each repository and family, the first by `order`; the cap is the feature."""
+    w = Window.partitionBy(repository, family).orderBy(*order)
+    return rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= most).drop("_rank")
+
+
+def in_number_order(rows: DataFrame, label: str, keep: Sequence[str]) -> DataFrame:
+    """`rows` sorted by text with numbers in it as people read it: runs of digits count as numbers, the rest letter by letter without case."""
+    parts = F.regexp_extract_all(F.lower(label), F.lit(r"\d+|\D+"), F.lit(0))
+    # Leading zeros go, then the number of digits comes before the digits.
+    digits = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    key = F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.concat(F.lit("0"), F.lpad(F.length(digits(x)).cast("string"), 6, "0"), digits(x))).otherwise(F.concat(F.lit("1"), x)))
+    return rows.orderBy(key, label, *keep)

@@ -72,6 +72,12 @@ def review_queue(lines: DataFrame, line: str) -> DataFrame:
     return kept.select(parts[0].alias("case"), parts[1].alias("sites"), F.when(F.size(parts) > 2, F.try_element_at(parts, F.lit(3))).alias("note"))
 
 
+def queue_counts(queue: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """case, waiting: how many entries of review_queue() each case has; with `cases` those without any have 0."""
+    counts = queue.groupBy("case").agg(F.count(F.lit(1)).alias("waiting"))
+    return counts if cases is None else cases.select("case").distinct().join(counts, "case", "left").fillna(0, ["waiting"])
+
+
 def without_first(lines: DataFrame, line: str, order: str, gone: str) -> DataFrame:
     """The queue without the first line that equals `gone`."""
     first = lines.filter(F.col(line) == gone).agg(F.min(order).alias("_first"))
@@ -92,29 +98,6 @@ def looked_up(rows: DataFrame, key: str, names: dict[str, str]) -> DataFrame:
     return rows.withColumn("name", F.when(name.isNotNull(), name).otherwise(F.raise_error(F.concat(F.lit("not registered: "), F.coalesce(F.col(key), F.lit("null"))))))
 
 
-def bracket_fates(nodes: DataFrame, mapping: DataFrame, key: list[str]) -> DataFrame:
-    """operation, groups: what became of bracketed groups; a pair of brackets is one node here, so both share one fate."""
-    groups = nodes.filter(F.col("kind").isin("parens", "brackets", "braces")).select(*key, F.col("node_id").alias("before_id"))
-    return mapping.join(groups, [*key, "before_id"]).groupBy("operation").agg(F.count(F.lit(1)).alias("groups"))
-
-
-def leaf_conventions(nodes_before: DataFrame, nodes_after: DataFrame, mapping: DataFrame, key: list[str]) -> DataFrame:
-    """moved_in_parent, edited, drift_matches_neighbours, leaves: classes of matched leaves.
-
-    A leaf drifts by the difference of its positions; it matches its neighbours if the leaf before
-    drifts as far.
-    """
-    b = nodes_before.filter("size = 1").select(*key, F.col("node_id").alias("before_id"), F.col("start").alias("_sb"), F.col("child_idx").alias("_cb"))
-    a = nodes_after.filter("size = 1").select(*key, F.col("node_id").alias("after_id"), F.col("start").alias("_sa"), F.col("child_idx").alias("_ca"))
-    joined = mapping.join(b, [*key, "before_id"]).join(a, [*key, "after_id"]).withColumn("_drift", F.col("_sa") - F.col("_sb"))
-    near = F.lag("_drift").over(Window.partitionBy(*key).orderBy("before_id"))
-    return (
-        joined.withColumn("drift_matches_neighbours", F.coalesce(near == F.col("_drift"), F.lit(True)))
-        .groupBy((F.col("_cb") != F.col("_ca")).alias("moved_in_parent"), (F.col("operation") != "Identical").alias("edited"), "drift_matches_neighbours")
-        .agg(F.count(F.lit(1)).alias("leaves"))
-    )
-
-
 def tree_dump(nodes: DataFrame, key: list[str]) -> DataFrame:
     """key, node_id, line: one indented line per node in preorder."""
     line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col("kind"), F.when(F.col("text") != "", F.concat(F.lit(" "), F.col("text"))).otherwise(""))

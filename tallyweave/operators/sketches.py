@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SIZE = 16
@@ -16,8 +16,6 @@ def sketch_of(hashes: Column, size: int = SIZE) -> Column:
 def sketch_rows(rows: DataFrame, keys: list[str], value: Column, size: int = SIZE) -> DataFrame:
     """keys, sketch: distinct values first, so that repeated ones are gone before the lists are collected."""
     distinct = rows.select(*keys, value.alias("_h")).filter("_h is not null").distinct()
-    from pyspark.sql import Window
-
     least = distinct.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))).filter(F.col("_r") <= size)
     return least.groupBy(*keys).agg(F.array_sort(F.collect_list("_h")).alias("sketch"))
 
@@ -32,3 +30,32 @@ def similarity(a: Column, b: Column, size: int = SIZE) -> Column:
     union = merged(a, b, size)
     both = F.filter(union, lambda x: F.array_contains(a, x) & F.array_contains(b, x))
     return F.when(F.size(union) == 0, 0.0).otherwise(F.size(both) / F.size(union))
+
+
+def sketch_classes(rows: DataFrame, id_: str, sketch: str) -> DataFrame:
+    """`id_`, class_id: rows of equal sketches are one class, named by its least id; null sketches have none."""
+    known = rows.filter(F.col(sketch).isNotNull()).select(id_, F.col(sketch).alias("_s"))
+    return known.join(known.groupBy("_s").agg(F.min(id_).alias("class_id")), "_s").select(id_, "class_id")
+
+
+def near_classes(rows: DataFrame, id_: str, sketch: str, least: float, size: int = SIZE) -> DataFrame:
+    """left_class, right_class, similarity: all pairs of classes of equal sketches whose estimated similarity is `least` (above 0) or more.
+
+    Lossless: sketches that are so similar share at least ceil(least * length) hashes, hence one of
+    the length - ceil(least * length) + 1 rarest of either. Copies are one class, so that a text
+    that a third of the rows repeat is one row here; common hashes come last in the order of rarity,
+    so they bring candidates together only for sketches that have nothing else.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    classes = rows.filter(F.size(sketch) > 0).groupBy(F.col(sketch).alias("_s")).agg(F.min(id_).alias("_c"))
+    hashes = classes.select("_c", F.size("_s").alias("_n"), F.explode("_s").alias("_h"))
+    often = hashes.groupBy("_h").agg(F.count(F.lit(1)).alias("_often"))
+    # A whole sketch may be the beginning of a larger set, so what must be shared is a share of the sketch itself.
+    needed = F.ceil(F.col("_n") * F.lit(least) - 1e-9)
+    rank = F.row_number().over(Window.partitionBy("_c").orderBy("_often", "_h"))  # at most `size` rows
+    shelf = hashes.join(often, "_h").withColumn("_r", rank).filter(F.col("_r") <= F.col("_n") - needed + 1).select("_c", "_h")
+    pairs = shelf.alias("l").join(shelf.alias("r"), "_h").filter("l._c < r._c").select(F.col("l._c").alias("left_class"), F.col("r._c").alias("right_class")).distinct()
+    with_left = pairs.join(classes.select(F.col("_c").alias("left_class"), F.col("_s").alias("_a")), "left_class")
+    both = with_left.join(classes.select(F.col("_c").alias("right_class"), F.col("_s").alias("_b")), "right_class")
+    return both.select("left_class", "right_class", similarity(F.col("_a"), F.col("_b"), size).alias("similarity")).filter(F.col("similarity") >= least - 1e-12)

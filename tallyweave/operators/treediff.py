@@ -6,7 +6,9 @@ pair on Arrow batches; pairs are independent and a pair is one file, so tasks st
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+import math
+from bisect import bisect_left
+from collections import Counter, defaultdict, deque
 from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
@@ -14,24 +16,60 @@ from pyspark.sql import DataFrame
 
 from ..session import spread
 from .linediff import common_lines
+from .treedistance import bounded_mapping
 from .trees import Tree, parse
 
 MAPPING_SCHEMA = "before_id int, after_id int, operation string, reason string, cost bigint"
 #: Subtrees of this size are matched by hash anywhere; smaller ones only under matched parents.
 ANCHOR_SIZE = 3
+#: Containers of so many unmatched children on both sides are aligned as sequences.
+FLAT_CHILDREN = 50
 #: Moved subtrees have at least this many nodes.
 MOVED_SIZE = 4
 # Names that begin a diagnostic statement, and those that begin an import.
 DIAGNOSTIC = {"log", "print", "println", "printf", "assert", "assert_eq", "debug", "warn", "error", "console", "panic", "raise", "throw"}
+# Words before parentheses and blocks that declare nothing.
+CONTROL = {"if", "else", "elif", "for", "foreach", "while", "until", "unless", "do", "loop", "switch", "match", "case", "when", "try", "catch", "except", "finally", "with", "return", "synchronized"}
 IMPORTS = {"import", "use", "from", "include", "require", "using"}
 
 
-def greedy_assignment(before: list, after: list, key: Callable[[object], Hashable], cost: Callable[[object, object], float], most: float, accept: Callable[[object, object], bool] = lambda a, b: True) -> list[tuple]:
-    """Pairs of equal key in rising order of cost, each item once; ties in input order; `accept` is asked again for each pair."""
+def greedy_assignment(
+    before: list, after: list, key: Callable[[object], Hashable], cost: Callable[[object, object], float], most: float, accept: Callable[[object, object], bool] = lambda a, b: True,
+    words: Callable[[object], frozenset] | None = None,
+) -> list[tuple]:
+    """Pairs of equal key in rising order of cost, each item once; ties in input order; `accept` is asked again for each pair.
+
+    Without `words` all pairs of a key are offered. With it `cost` must be one minus the Jaccard
+    similarity of the words: only pairs that share one of their rarest words are offered, which no
+    pair within `most` fails to do, so the result is the same.
+    """
     groups: dict[Hashable, list] = defaultdict(list)
     for j, b in enumerate(after):
         groups[key(b)].append((j, b))
-    offers = [(c, i, j, a, b) for i, a in enumerate(before) for j, b in groups.get(key(a), []) if (c := cost(a, b)) <= most]
+    offers = []
+    if words is None:
+        offers = [(c, i, j, a, b) for i, a in enumerate(before) for j, b in groups.get(key(a), []) if (c := cost(a, b)) <= most]
+    else:
+        own = {id(x): words(x) for x in (*before, *after)}
+        used = Counter(w for x in own.values() for w in x)
+
+        def rarest(x: object) -> list:
+            """All but so many words that a pair within `most` could share only those."""
+            w = sorted(own[id(x)], key=lambda w: (used[w], w))
+            return w[: len(w) - math.ceil((1 - most) * len(w) - 1e-9) + 1]
+
+        shelves: dict[Hashable, dict] = {}
+        for k, members in groups.items():
+            shelf = shelves.setdefault(k, defaultdict(list))
+            for j, b in members:
+                for w in rarest(b):
+                    shelf[w].append(j)
+        for i, a in enumerate(before):
+            shelf = shelves.get(key(a))
+            if shelf is None:
+                continue
+            near = {j for w in rarest(a) for j in shelf.get(w, ())} if own[id(a)] else {j for j, b in groups[key(a)] if not own[id(b)]}
+            offers += [(c, i, j, a, after[j]) for j in sorted(near) if (c := cost(a, after[j])) <= most]
     offers.sort(key=lambda x: x[:3])
     used_a: set[int] = set()
     used_b: set[int] = set()
@@ -93,6 +131,8 @@ class PairDiff:
         self.to: dict[int, int] = {}
         self.back: dict[int, int] = {}
         self.why: dict[int, str] = {}
+        # How many nodes of each subtree are matched.
+        self.taken = ([0] * (len(before) + 1), [0] * (len(after) + 1))
 
     # basic moves
 
@@ -100,21 +140,36 @@ class PairDiff:
         if x in self.to or y in self.back:
             return False
         self.to[x], self.back[y], self.why[x] = y, x, reason
+        self._count(x, y, 1)
         return True
 
+    def _count(self, x: int, y: int, by: int) -> None:
+        for tree, taken, n in ((self.a, self.taken[0], x), (self.b, self.taken[1], y)):
+            while n:
+                taken[n] += by
+                n = tree.parent[n]
+
     def unpair(self, x: int) -> None:
         y = self.to.pop(x)
         del self.back[y]
         self.why.pop(x, None)
+        self._count(x, y, -1)
 
     def pair_whole(self, x: int, y: int, reason: str, below: str) -> None:
-        """Pairs two subtrees of equal shape node by node."""
+        """Pairs two subtrees of equal shape node by node; both are free."""
         for i, (p, q) in enumerate(zip(self.a.inside(x), self.b.inside(y), strict=True)):
-            self.pair(p, q, reason if i == 0 else below)
+            self.to[p], self.back[q], self.why[p] = q, p, reason if i == 0 else below
+        for tree, taken, node in ((self.a, self.taken[0], x), (self.b, self.taken[1], y)):
+            for n in tree.inside(node):
+                taken[n] = tree.size[n]
+            n = tree.parent[node]
+            while n:
+                taken[n] += tree.size[node]
+                n = tree.parent[n]
 
     def free(self, tree: Tree, node: int) -> bool:
-        taken = self.to if tree is self.a else self.back
-        return not any(n in taken for n in tree.inside(node))
+        """Whether nothing of the subtree is matched."""
+        return not self.taken[0 if tree is self.a else 1][node]
 
     def operation(self, x: int) -> str:
         y = self.to[x]
@@ -130,29 +185,43 @@ class PairDiff:
 
     def hash_descent(self) -> None:
         """Equal subtrees, the largest first; then subtrees of equal shape, imports left out."""
-        for hashes, reason, below, least in ((("full",), "IdenticalHash", "IdenticalHashOfAncestor", ANCHOR_SIZE), (("shape",), "StructurallyIdenticalSubtrees", "StructurallyIdenticalAncestor", 2 * ANCHOR_SIZE)):
-            name = hashes[0]
-            after: dict[int, deque] = defaultdict(deque)
+        for name, reason, below, least in (("full", "IdenticalHash", "IdenticalHashOfAncestor", ANCHOR_SIZE), ("shape", "StructurallyIdenticalSubtrees", "StructurallyIdenticalAncestor", 2 * ANCHOR_SIZE)):
+            ours, theirs = getattr(self.a, name), getattr(self.b, name)
+            # Free nodes by hash, and by hash and parent, ascending; what is taken meanwhile leaves when it is met.
+            everywhere: dict[int, list[int]] = defaultdict(list)
+            at_home: dict[tuple[int, int], list[int]] = defaultdict(list)
             for n in range(1, len(self.b) + 1):
-                if self.b.size[n] >= least:
-                    after[getattr(self.b, name)[n]].append(n)
-            count: dict[int, int] = defaultdict(int)
-            for n in range(1, len(self.a) + 1):
-                count[getattr(self.a, name)[n]] += 1
-            shift: dict[int, int] = {}  # by parent pair: where its children went, to tell twins apart
-            for x in sorted(range(1, len(self.a) + 1), key=lambda n: (-self.a.size[n], n)):
-                if self.a.size[x] < least:
-                    break
-                if not self.free(self.a, x) or reason.startswith("Struct") and self._is_import(self.a, x):
-                    continue
-                h = getattr(self.a, name)[x]
-                choices = [y for y in after.get(h, ()) if self.free(self.b, y)]
-                if not choices or reason.startswith("Struct") and (len(choices) != 1 or count[h] != 1):
+                if self.b.size[n] >= least and not self.taken[1][n]:
+                    everywhere[theirs[n]].append(n)
+                    at_home[theirs[n], self.b.parent[n]].append(n)
+            count = Counter(ours[1:])
+            shift: dict[int, int] = {}  # by parent: where its children went, to tell twins apart
+            for x in sorted((n for n in range(1, len(self.a) + 1) if self.a.size[n] >= least), key=lambda n: (-self.a.size[n], n)):
+                h = ours[x]
+                if h not in everywhere or self.taken[0][x] or reason.startswith("Struct") and (count[h] != 1 or self._is_import(self.a, x)):
                     continue
-                home = self.to.get(self.a.parent[x])
-                y = min(choices, key=lambda c: (self.b.parent[c] != home, abs(c - x - shift.get(self.a.parent[x], 0)), c))
-                self.pair_whole(x, y, reason, below)
-                shift[self.a.parent[x]] = y - x
+                if reason.startswith("Struct"):
+                    everywhere[h] = [y for y in everywhere[h] if not self.taken[1][y]]
+                    if len(everywhere[h]) != 1:
+                        continue
+                aim = x + shift.get(self.a.parent[x], 0)
+                y = self._nearest(at_home.get((h, self.to.get(self.a.parent[x], -1))), aim) or self._nearest(everywhere[h], aim)
+                if y:
+                    self.pair_whole(x, y, reason, below)
+                    shift[self.a.parent[x]] = y - x
+
+    def _nearest(self, choices: list[int] | None, aim: int) -> int:
+        """The free node nearest to `aim`, the smaller of two; nodes that are taken are removed on the way."""
+        if not choices:
+            return 0
+        at = bisect_left(choices, aim)
+        while at < len(choices) and self.taken[1][choices[at]]:
+            del choices[at]
+        while at and self.taken[1][choices[at - 1]]:
+            at -= 1
+            del choices[at]
+        near = [choices[k] for k in (at - 1, at) if 0 <= k < len(choices)]
+        return min(near, key=lambda c: (abs(c - aim), c), default=0)
 
     @staticmethod
     def _qualified(tree: Tree) -> dict[tuple[str, ...], list[int]]:
@@ -168,7 +237,7 @@ class PairDiff:
             # the name right before the parameters, else the last one before the block
             stop = next((i for i, k in enumerate(kids) if tree.kind[k] in ("parens", "braces")), 0)
             own = next((tree.text[k] for k in reversed(kids[:stop]) if tree.kind[k] == "name"), "")
-            if own:
+            if own and own not in CONTROL:
                 names[n] = (*outer, own)
                 found[names[n]].append(n)
         return found
@@ -183,6 +252,174 @@ class PairDiff:
                 if all(self.to[k] in inside for k in self.a.inside(x) if k in self.to):
                     self.pair(x, y, "QualifiedName")
 
+    def resolve_inside(self, x: int, y: int) -> None:
+        """What is unmatched below a pair is matched by its bounded edit distance."""
+        xs = [n for n in self.a.inside(x) if n not in self.to]
+        ys = [n for n in self.b.inside(y) if n not in self.back]
+        if xs and ys:
+            for p, q in bounded_mapping(self.a, xs, self.b, ys):
+                self.pair(p, q, "EditDistanceInside")
+
+    def inside_of_names(self) -> None:
+        """The rest of each declaration that was found by its name, by edit distance inside it alone."""
+        for x, y in sorted(self.to.items()):
+            if self.why[x] == "QualifiedName":
+                self.resolve_inside(x, y)
+
+    def flat_containers(self) -> None:
+        """Children of paired containers of many children: equal ones in order, then what lies alone between them on both sides."""
+        for x, y in sorted(self.to.items()):
+            left, right = ([c for c in tree.children[n] if not taken[c]] for tree, taken, n in ((self.a, self.taken[0], x), (self.b, self.taken[1], y)))
+            if min(len(left), len(right)) < FLAT_CHILDREN:
+                continue
+            before = (-1, -1)
+            for i, j in [*common_lines([self.a.full[c] for c in left], [self.b.full[c] for c in right]), (len(left), len(right))]:
+                if i - before[0] == j - before[1] == 2 and self.a.kind[left[i - 1]] == self.b.kind[right[j - 1]]:
+                    self.pair(left[i - 1], right[j - 1], "FlatSubtree")
+                if i < len(left):
+                    self.pair_whole(left[i], right[j], "FlatSubtree", "FlatSubtree")
+                before = (i, j)
+
+    def similar_imports(self, least: float = 0.5) -> None:
+        """Unmatched imports of similar words, the most similar first, unless a second import before is as similar."""
+        words = lambda t, n: frozenset(t.text[k].lower() for k in t.inside(n) if t.text[k].isidentifier()) - IMPORTS
+        xs = {x: words(self.a, x) for x in range(1, len(self.a) + 1) if self._is_import(self.a, x) and self.free(self.a, x)}
+        holders: dict[str, list[int]] = defaultdict(list)
+        for x, w in xs.items():
+            for word in w:
+                holders[word].append(x)
+        offers: list[tuple[float, int, int]] = []
+        for y in range(1, len(self.b) + 1):
+            if not self._is_import(self.b, y) or not self.free(self.b, y):
+                continue
+            own = words(self.b, y)
+            near = {x: len(own & xs[x]) / len(own | xs[x]) for x in sorted({x for word in own for x in holders.get(word, ())})}
+            best = sorted(near.items(), key=lambda e: (-e[1], e[0]))[:2]
+            if best and best[0][1] >= least and (len(best) == 1 or best[1][1] < best[0][1]):
+                offers.append((-best[0][1], best[0][0], y))
+        for _, x, y in sorted(offers):
+            if self.free(self.a, x) and self.free(self.b, y) and self.pair(x, y, "SimilarImport"):
+                self.resolve_inside(x, y)
+
+    def anchor_blocks(self) -> None:
+        """Unmatched blocks pair if each holds most of what is matched in the other; the rest inside goes by edit distance."""
+        votes: dict[tuple[int, int], int] = defaultdict(int)
+        for x, y in self.to.items():
+            p, q = self.a.parent[x], self.b.parent[y]
+            while p and (p in self.to or self.a.kind[p] != "braces"):
+                p = self.a.parent[p]
+            while q and (q in self.back or self.b.kind[q] != "braces"):
+                q = self.b.parent[q]
+            if p and q:
+                votes[p, q] += 1
+        for (p, q), n in sorted(votes.items(), key=lambda e: (-e[1], e[0])):
+            if p not in self.to and q not in self.back and 2 * n > self.taken[0][p] and 2 * n > self.taken[1][q]:
+                self.pair(p, q, "AnchorBlock")
+                self.resolve_inside(p, q)
+
+    def wrapped_blocks(self) -> None:
+        """A body that moved into a new wrapper: the outer body pairs with the outer one, the statements stay paired inside."""
+        for x, y in sorted(self.to.items()):
+            if self.a.kind[x] != "braces" or self.b.kind[y] != "braces" or self.to.get(self.a.parent[x]) == self.b.parent[y]:
+                continue
+            owner = self.to.get(self.a.parent[x])
+            outer = self.b.parent[y]
+            while outer and not (self.b.kind[outer] == "braces" and self.b.parent[outer] == owner):
+                outer = self.b.parent[outer]
+            if owner and outer and outer not in self.back:
+                self.unpair(x)
+                self.pair(x, outer, "WrappedBlock")
+
+    def collapsed_conditions(self) -> None:
+        """Two nested conditions that became one, or the reverse: the outer statement pairs with it, and the words of both conditions with its own."""
+        for flip in (False, True):
+            one, two = (self.b, self.a) if flip else (self.a, self.b)
+            there = self.back if flip else self.to
+            for outer in range(1, len(one) + 1):
+                inner = self._only_condition(one, outer)
+                if not inner:
+                    continue
+                body = one.children[inner][-1]
+                block = there.get(body, 0)
+                whole = two.parent[block] if block else 0
+                if not whole or not self._is_condition(two, whole) or outer in there:
+                    continue
+                x, y = (whole, outer) if flip else (outer, whole)
+                if there.get(inner) == whole:  # lifted from the body
+                    self.unpair(whole if flip else inner)
+                if self.pair(x, y, "CollapsedCondition"):
+                    leaves = lambda tree, nodes: [k for n in nodes for k in tree.inside(n) if not tree.children[k] and tree.kind[k] != "mark"]
+                    left = leaves(one, [*one.children[outer][:-1], *one.children[inner][:-1]])
+                    right = leaves(two, two.children[whole][:-1])
+                    for i, j in common_lines([(one.kind[k], one.text[k]) for k in left], [(two.kind[k], two.text[k]) for k in right]):
+                        self.pair(*((right[j], left[i]) if flip else (left[i], right[j])), "CollapsedCondition")
+
+    @staticmethod
+    def _is_condition(tree: Tree, n: int) -> bool:
+        kids = tree.children[n]
+        return tree.kind[n] == "statement" and len(kids) > 1 and tree.text[kids[0]] == "if" and tree.kind[kids[-1]] == "braces"
+
+    def _only_condition(self, tree: Tree, n: int) -> int:
+        """The condition that is all there is in the block of the condition `n`, or 0."""
+        if not self._is_condition(tree, n):
+            return 0
+        inner = tree.children[tree.children[n][-1]]
+        return inner[0] if len(inner) == 1 and self._is_condition(tree, inner[0]) else 0
+
+    def renamed_twins(self) -> None:
+        """Unmatched subtrees of one shape under a matched pair, equally many on either side, pair in order."""
+        for x, y in sorted(self.to.items()):
+            if self.taken[0][x] == self.a.size[x] or self.taken[1][y] == self.b.size[y]:
+                continue
+            left: dict[int, list[int]] = defaultdict(list)
+            right: dict[int, list[int]] = defaultdict(list)
+            for tree, taken, n, found in ((self.a, self.taken[0], x, left), (self.b, self.taken[1], y, right)):
+                for c in tree.children[n]:
+                    if tree.children[c] and not taken[c]:
+                        found[tree.shape[c]].append(c)
+            for h in sorted(left):
+                if len(left[h]) == len(right.get(h, [])):
+                    for p, q in zip(left[h], right[h], strict=True):
+                        self.pair_whole(p, q, "RenamedTwin", "RenamedTwin")
+
+    def replaced_atoms(self) -> None:
+        """A leaf that is lost and one that is new between neighbours that correspond: one replaced the other."""
+        for x, y in sorted(self.to.items()):
+            if self.taken[0][x] == self.a.size[x] or self.taken[1][y] == self.b.size[y]:
+                continue
+            for p in self.a.children[x]:
+                if p in self.to or self.a.children[p]:
+                    continue
+                left, right = self._before(self.a, p), self._after(self.a, p)
+                if not left and not right:
+                    continue
+                q = self._after(self.b, self.to[left]) if left in self.to else self.b.children[y][0] if not left else 0
+                if not q or self.b.parent[q] != y or q in self.back or self.b.children[q] or self.b.kind[q] != self.a.kind[p]:
+                    continue
+                if (self._after(self.b, q) == self.to.get(right, -1)) if right else not self._after(self.b, q):
+                    self.pair(p, q, "ReplacedAtom")
+
+    def mutual_ancestors(self) -> None:
+        """Unmatched inner nodes of one kind whose matched descendants all lie in each other."""
+        first: dict[int, tuple[int, int, int]] = {}  # by node before: the least and greatest partner below, and their number
+        for x in range(len(self.a), 0, -1):
+            low, high, n = first.get(x, (1 << 60, 0, 0))
+            y = self.to.get(x)
+            if y:
+                low, high, n = min(low, y), max(high, y), n + 1
+            if n:
+                p = self.a.parent[x]
+                u, v, m = first.get(p, (1 << 60, 0, 0))
+                first[p] = (min(u, low), max(v, high), m + n)
+            if x in self.to or not self.a.children[x] or not n:
+                continue
+            q = self.b.parent[low] if low == high else low
+            while q and not (q <= low and high < q + self.b.size[q] and q not in self.back):
+                q = self.b.parent[q]
+            if q and self.b.kind[q] == self.a.kind[x] and self.taken[1][q] == n:
+                self.pair(x, q, "MutualAncestor")
+                first[self.a.parent[x]] = (min(first[self.a.parent[x]][0], q), max(first[self.a.parent[x]][1], q), first[self.a.parent[x]][2] + 1)
+
     def wrap_growth(self) -> None:
         """Retags equal blocks that got a new wrapper around them."""
         for x, y in sorted(self.to.items()):
@@ -246,7 +483,8 @@ class PairDiff:
             u, v = side_a[p[1]], side_b[q[1]]
             return 1 - len(u & v) / max(1, len(u | v))
 
-        for p, q in greedy_assignment(*items, key, cost, most, lambda p, q: p[1] not in self.to and q[1] not in self.back):
+        either = lambda n: side_a[n[1]] if n[0] == "a" else side_b[n[1]]
+        for p, q in greedy_assignment(*items, key, cost, most, lambda p, q: p[1] not in self.to and q[1] not in self.back, either):
             self.pair(p[1], q[1], "GroupedGreedy")
 
     def leading_siblings(self) -> None:
@@ -260,14 +498,13 @@ class PairDiff:
 
     @staticmethod
     def _before(tree: Tree, n: int) -> int:
-        kids = tree.children[tree.parent[n]]
-        i = kids.index(n)
-        return kids[i - 1] if i else 0
+        i = tree.place[n]
+        return tree.children[tree.parent[n]][i - 1] if i else 0
 
     @staticmethod
     def _after(tree: Tree, n: int) -> int:
         kids = tree.children[tree.parent[n]]
-        i = kids.index(n)
+        i = tree.place[n]
         return kids[i + 1] if i + 1 < len(kids) else 0
 
     def unique_type(self) -> None:
@@ -282,8 +519,8 @@ class PairDiff:
                 if c not in self.back:
                     right[self.b.kind[c]].append(c)
             for kind in sorted(left):
-                if len(left[kind]) == 1 and len(right.get(kind, [])) == 1:
-                    self.pair(left[kind][0], right[kind][0], "UniqueTypeMatching")
+                if len(left[kind]) == 1 and len(right.get(kind, [])) == 1 and self.pair(left[kind][0], right[kind][0], "UniqueTypeMatching"):
+                    self.resolve_inside(left[kind][0], right[kind][0])
 
     def orphaned_leaves(self) -> None:
         """Leaves of equal kind and text under matched parents, equally many on either side, pair in order unless a neighbour went elsewhere."""
@@ -319,10 +556,11 @@ class PairDiff:
             texts_b = [self.b.text[y] for y in ys]
             for x in xs:
                 self.unpair(x)
+            often_a, often_b, where = Counter(texts_a), Counter(texts_b), dict(zip(texts_b, ys, strict=True))
             for x in xs:
                 t = self.a.text[x]
-                if texts_a.count(t) == 1 and texts_b.count(t) == 1:
-                    self.pair(x, ys[texts_b.index(t)], "PermutedLeaf")
+                if often_a[t] == 1 and often_b[t] == 1:
+                    self.pair(x, where[t], "PermutedLeaf")
             rest_a = [x for x in xs if x not in self.to]
             rest_b = [y for y in ys if y not in self.back]
             for x, y in zip(rest_a, rest_b, strict=True):
@@ -414,8 +652,8 @@ class PairDiff:
                     self.why[x] = "HeritageClauseGrowth"
 
     PASSES = (
-        "hash_descent", "diagnostics", "qualified_names", "bottom_up", "grouped_greedy", "unique_type", "leading_siblings", "orphaned_leaves", "residual", "moved_subtrees",
-        "stray_renames", "stray_terminators", "sibling_terminators", "unrelated_imports", "surviving_values", "permuted_leaves", "heritage_growth", "wrap_growth",
+        "hash_descent", "flat_containers", "diagnostics", "qualified_names", "bottom_up", "collapsed_conditions", "wrapped_blocks", "similar_imports", "renamed_twins", "grouped_greedy", "anchor_blocks", "inside_of_names",
+        "unique_type", "leading_siblings", "orphaned_leaves", "replaced_atoms", "residual", "moved_subtrees", "mutual_ancestors", "stray_renames", "stray_terminators", "sibling_terminators", "unrelated_imports", "surviving_values", "permuted_leaves", "heritage_growth", "wrap_growth",
     )
 
     def rows(self) -> list[tuple[int, int, str, str, int]]:

@@ -6,7 +6,6 @@ descendants of a node are the interval from its id to its id plus its size minus
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -15,6 +14,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from ..session import spread
 
@@ -49,19 +49,28 @@ class Tree:
         return len(self.kind) - 1
 
     def finish(self) -> Tree:
-        """Sizes, depths and hashes, bottom up; ids are in preorder, so children come after their parent."""
+        """Sizes, depths, places among siblings and hashes, bottom up; ids are in preorder, so children come after their parent."""
         n = len(self) + 1
         self.size = [1] * n
         self.depth = [0] * n
+        self.place = [0] * n
         self.full = [0] * n
         self.shape = [0] * n
+        parent, kind, text, size, full, shape = self.parent, self.kind, self.text, self.size, self.full, self.shape
         for i in range(2, n):
-            self.depth[i] = self.depth[self.parent[i]] + 1
+            self.depth[i] = self.depth[parent[i]] + 1
         for i in range(n - 1, 0, -1):
             kids = self.children[i]
-            self.size[i] += sum(self.size[c] for c in kids)
-            self.full[i] = short_hash("\x1f".join([self.kind[i], self.text[i], *(str(self.full[c]) for c in kids)]))
-            self.shape[i] = short_hash("\x1f".join([self.kind[i], *(str(self.shape[c]) for c in kids)]))
+            if not kids:
+                full[i], shape[i] = _leaf_hashes(kind[i], text[i])
+                continue
+            for k, c in enumerate(kids):
+                size[i] += size[c]
+                self.place[c] = k
+            full[i] = short_hash(f"{kind[i]}\x1f{text[i]}\x1f{[full[c] for c in kids]}")
+            shape[i] = short_hash(f"{kind[i]}\x1f{[shape[c] for c in kids]}")
+        for k, c in enumerate(self.children[0]):
+            self.place[c] = k
         return self
 
     def inside(self, node: int) -> range:
@@ -81,8 +90,21 @@ class Tree:
 
 
 def short_hash(text: str) -> int:
-    """60 bits of MD5, as functions.text.portable_hash has them."""
-    return int(hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()[:15], 16)
+    """60 bits, the same on every machine."""
+    return xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 4
+
+
+_leaves: dict[tuple[str, str], tuple[int, int]] = {}
+
+
+def _leaf_hashes(kind: str, text: str) -> tuple[int, int]:
+    """short_hash() of a leaf with and without its text, remembered per process."""
+    found = _leaves.get((kind, text))
+    if found is None:
+        if len(_leaves) > 200_000:
+            _leaves.clear()
+        found = _leaves[kind, text] = (short_hash(f"{kind}\x1f{text}"), short_hash(kind))
+    return found
 
 
 def json_tree(text: str) -> Tree:
@@ -110,49 +132,44 @@ def token_tree(text: str) -> Tree:
     """Statements of tokens and bracketed groups: a tree for text of any bracketed language. It never fails."""
     tree = Tree()
     tree.add("unit", "", 0, 0, len(text))
-    groups = [(1, "")]
-    statement = 0
-    at = 0
+    kinds, texts, parents, children, spans = tree.kind, tree.text, tree.parent, tree.children, tree.span
+    outer: list[tuple[int, str]] = []
+    parent, close, statement = 1, "", 0  # the open group, what closes it, and the open statement in it
+    # Nodes are made in the order of the text, and a parent before its children: that is preorder.
     for m in _TOKEN.finditer(text):
         kind = m.lastgroup
-        parent, close = groups[-1]
+        value = m.group()
         if kind is None:
             # A line break ends a statement of a block, not within parentheses.
-            if "\n" in m.group() and close in ("", "}"):
+            if statement and (close == "" or close == "}") and "\n" in value:
                 statement = 0
             continue
-        value, at = m.group(), m.start()
+        at, end = m.span()
         if kind == "comment":
-            tree.add("comment", value, parent, at, m.end())
+            tree.add(kind, value, parent, at, end)
             statement = 0
             continue
         if value == close:
-            groups.pop()
-            tree.span[parent] = (tree.span[parent][0], m.end())
-            statement = tree.parent[parent] if tree.kind[tree.parent[parent]] == "statement" else 0
+            spans[parent] = (spans[parent][0], end)
+            statement = parents[parent]
+            parent, close = outer.pop()
             continue
-        if not statement or tree.parent[statement] != parent:
-            statement = tree.add("statement", "", parent, at, m.end())
+        if not statement:
+            statement = tree.add("statement", "", parent, at, end)
         if value in _CLOSE:
-            groups.append((tree.add(_GROUP[value], "", statement, at, m.end()), _CLOSE[value]))
-            statement = 0
+            outer.append((parent, close))
+            parent, close, statement = tree.add(_GROUP[value], "", statement, at, end), _CLOSE[value], 0
             continue
-        tree.add(kind, value, statement, at, m.end())
-        tree.span[statement] = (tree.span[statement][0], m.end())
-        if value in (";", ","):
+        kinds.append(kind)
+        texts.append(value)
+        parents.append(statement)
+        children.append([])
+        spans.append((at, end))
+        children[statement].append(len(kinds) - 1)
+        spans[statement] = (spans[statement][0], end)
+        if value == ";" or value == ",":
             statement = 0
-    return _in_preorder(tree).finish()
-
-
-def _in_preorder(tree: Tree) -> Tree:
-    """The same tree with ids in preorder (token_tree() returns to a statement after its groups)."""
-    out = Tree()
-    stack = [(1, 0)] if len(tree) else []
-    while stack:
-        node, parent = stack.pop()
-        me = out.add(tree.kind[node], tree.text[node], parent, *tree.span[node])
-        stack += [(c, me) for c in reversed(tree.children[node])]
-    return out
+    return tree.finish()
 
 
 def parse(text: str | None, language: str | None) -> Tree | None:
@@ -181,8 +198,7 @@ def nodes(df: DataFrame, text: str, language: str, keep: list[str]) -> DataFrame
                 if tree is None or not len(tree):
                     continue
                 ids = range(1, len(tree) + 1)
-                order = {c: k for p in [0, *ids] for k, c in enumerate(tree.children[p])}
-                rows = [(n, tree.parent[n], tree.depth[n], order[n], tree.kind[n], tree.text[n], *tree.span[n], tree.size[n], tree.full[n], tree.shape[n]) for n in ids]
+                rows = [(n, tree.parent[n], tree.depth[n], tree.place[n], tree.kind[n], tree.text[n], *tree.span[n], tree.size[n], tree.full[n], tree.shape[n]) for n in ids]
                 columns = [pa.array(c, t_) for c, t_ in zip(zip(*rows, strict=True), types, strict=True)]
                 own = batch.slice(i, 1).take(pa.array([0] * len(rows), pa.int64()))
                 yield pa.RecordBatch.from_arrays([*own.columns[: len(keep)], *columns], names=[*keep, *names])
@@ -207,6 +223,44 @@ def outermost(matches: DataFrame, nodes_before: DataFrame, key: list[str]) -> Da
     return sized.withColumn("_reach", F.max(F.col("before_id") + F.col("size")).over(w)).filter(F.col("_reach").isNull() | (F.col("_reach") <= F.col("before_id"))).select(*key, "before_id", "after_id")
 
 
+def outermost_matches(pairs: DataFrame, key: str, before: str, after: str, language: str, least_size: int = 1) -> DataFrame:
+    """key, before_id, after_id: what equal_hash_matches() and outermost() give of the trees of each pair, without node tables.
+
+    Both sides are parsed once, where the texts are, and only the matches leave the task.
+    """
+    source = pairs.select(key, before, after, language)
+    kind = dict(source.dtypes)[key]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, left, right = [], [], []
+            for i, (b, a, lang) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
+                one, two = parse(b, lang), parse(a, lang)
+                if one is None or two is None:
+                    continue
+                found: dict[int, list[int]] = {}
+                for y in range(1, len(two) + 1):
+                    if two.size[y] >= least_size:
+                        found.setdefault(two.full[y], []).append(y)
+                used: dict[int, int] = {}
+                reach = 0
+                for x in range(1, len(one) + 1):
+                    ys = found.get(one.full[x]) if one.size[x] >= least_size else None
+                    n = used.get(one.full[x], 0)
+                    if ys is None or n >= len(ys):
+                        continue
+                    used[one.full[x]] = n + 1  # the n-th with the n-th, whether or not a larger one covers it
+                    if x >= reach:
+                        at.append(i)
+                        left.append(x)
+                        right.append(ys[n])
+                    reach = max(reach, x + one.size[x])
+            if at:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(left, pa.int32()), pa.array(right, pa.int32())], names=[key, "before_id", "after_id"])
+
+    return spread(source).mapInArrow(work, f"`{key}` {kind}, before_id int, after_id int")
+
+
 def unique_key_matches(before: DataFrame, after: DataFrame, scope: list[str], id_: str) -> DataFrame:
     """scope, before_id, after_id where exactly one row on either side has the scope's values."""
     one = lambda d, name: d.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"), F.min(id_).alias(name)).filter("_n = 1").drop("_n")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hunks, schemas, text
-from ..operators import linediff, painting, review, sketches, treediff, trees
+from ..operators import conventions, linediff, painting, pairing, review, sketches, treediff, trees
 from ..sources.archives import member_diff
 from ..session import table
 
@@ -28,15 +28,13 @@ def query(sql: str | None = None):
 
 def document_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every document and the one before it in its repository and source: pair_id, before, after."""
-    w = Window.partitionBy("repository", "source").orderBy("doc_id")
-    return table(spark, d, "documents").select(F.col("doc_id").alias("pair_id"), F.lag("text").over(w).alias("before"), F.col("text").alias("after")).filter("before is not null")
+    return pairing.with_previous(table(spark, d, "documents"), ["repository", "source"], ["doc_id"], "doc_id", "text").filter("before is not null")
 
 
 def version_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every file and the one before it of its repository and language: pair_id, language, before, after."""
-    w = Window.partitionBy("repository", "language").orderBy("path", "file_id")
-    f = table(spark, d, "file_contents")
-    return f.select(F.col("file_id").alias("pair_id"), "language", F.lag("content").over(w).alias("before"), F.col("content").alias("after")).filter("before is not null and after is not null")
+    files = table(spark, d, "file_contents")
+    return pairing.with_previous(files, ["repository", "language"], ["path", "file_id"], "file_id", "content", ["language"]).filter("before is not null and after is not null")
 
 
 _PAIRS = "pairs as (select * from (select doc_id as pair_id, lag(text) over (partition by repository, source order by doc_id) as before, text as after from documents) where before is not null)"
@@ -160,10 +158,9 @@ def tree_sizes(spark, d):
 
 @query()
 def tree_hash_matches(spark, d):
-    """Outermost equal subtrees of each pair of files, by joins on their hashes."""
-    before, after = _tree_nodes(spark, d, "before"), _tree_nodes(spark, d, "after")
-    found = trees.equal_hash_matches(before, after, ["pair_id"], "full_hash", 3)
-    return trees.outermost(found, before, ["pair_id"]).groupBy("pair_id").agg(F.count(F.lit(1)).alias("subtrees"))
+    """Outermost equal subtrees of each pair of files, by their hashes."""
+    found = trees.outermost_matches(version_pairs(spark, d), "pair_id", "before", "after", "language", 3)
+    return found.groupBy("pair_id").agg(F.count(F.lit(1)).alias("subtrees"))
 
 
 @query()
@@ -205,23 +202,20 @@ def tree_status(spark, d):
 @query()
 def tree_ablation(spark, d):
     """What leaving out a pass costs: the summed cost of all pairs without it."""
-    whole = None
-    for name in ("none", "orphaned_leaves", "residual", "moved_subtrees", "surviving_values"):
-        cost = treediff.tree_mapping(version_pairs(spark, d), "pair_id", "before", "after", "language", frozenset({name})).agg(F.sum("cost").alias("cost")).select(F.lit(name).alias("without"), "cost")
-        whole = cost if whole is None else whole.unionByName(cost)
-    return whole
+    passes = ["none", "orphaned_leaves", "residual", "moved_subtrees", "surviving_values", "unique_type", "mutual_ancestors"]
+    return conventions.ablation_costs(version_pairs(spark, d), "before", "after", "language", passes)
 
 
 @query()
 def tree_bracket_fates(spark, d):
-    m = treediff.tree_mapping(version_pairs(spark, d), "pair_id", "before", "after", "language")
-    return review.bracket_fates(_tree_nodes(spark, d, "before"), m, ["pair_id"])
+    """How the brackets of each group are painted."""
+    return conventions.bracket_fates(version_pairs(spark, d), "before", "after")
 
 
 @query()
 def tree_leaf_conventions(spark, d):
-    m = treediff.tree_mapping(version_pairs(spark, d), "pair_id", "before", "after", "language")
-    return review.leaf_conventions(_tree_nodes(spark, d, "before"), _tree_nodes(spark, d, "after"), m, ["pair_id"])
+    """Matched leaves by what happened to their rows, columns and neighbours."""
+    return conventions.leaf_conventions(version_pairs(spark, d), "before", "after", "language")
 
 
 @query()
