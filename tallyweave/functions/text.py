@@ -83,3 +83,13 @@ def percent(part: Column, total: Column) -> Column:
 
 def share_or_dash(part: Column, total: Column) -> Column:
     return F.when(total == 0, "-").otherwise(F.format_string("%.1f", 100.0 * part / total))
+
+
+def utf16_to_byte(text: Column, offset: Column) -> Column:
+    """The offset in UTF-8 bytes of an offset in UTF-16 units; null beyond the end and within a pair of units."""
+    wide = F.encode(text, "UTF-16BE")
+    head = F.substring(wide, F.lit(1), offset.cast("int") * 2)
+    # Half of a pair can't be decoded, so its first unit is looked at: D800 to DBFF.
+    last = F.hex(F.substring(head, offset.cast("int") * 2 - 1, F.lit(1)))
+    whole = (offset >= 0) & (offset * 2 <= F.octet_length(wide)) & ((offset == 0) | ~last.between("D8", "DB"))
+    return F.when(whole, F.octet_length(F.encode(F.decode(F.when(whole, head), "UTF-16BE"), "UTF-8")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import sqlite3
 from collections.abc import Callable, Iterator
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.paths import is_anomalous, renamed_from, renamed_to
 
@@ -30,7 +31,90 @@ def file_scan(spark: SparkSession, base: str, pattern: str = "*") -> DataFrame:
 
 def as_text(content: str) -> F.Column:
     """UTF-8 text, or null where the bytes aren't."""
-    return F.when(F.is_valid_utf8(F.decode(F.col(content), "UTF-8")), F.try_validate_utf8(F.decode(F.col(content), "UTF-8")))
+    # Decoding raises on bytes that aren't UTF-8, a cast doesn't; the test is on what the cast gives.
+    return F.try_validate_utf8(F.col(content).cast("string"))
+
+
+#: Bytes of the beginning in which a zero byte tells a binary file.
+BINARY_PREFIX = 8000
+
+
+def is_binary(content: F.Column) -> F.Column:
+    """Whether the bytes are no text: a zero byte among the first BINARY_PREFIX ones, unless a UTF-16 mark begins them."""
+    # Of Latin-1 every byte is one character, so a zero byte is a zero character.
+    zero = F.instr(F.decode(F.substring(content, 1, BINARY_PREFIX), "ISO-8859-1"), "\0") > 0
+    return F.when(content.isNotNull(), zero & utf16_mark(content).isNull())
+
+
+def utf16_mark(content: F.Column) -> F.Column:
+    """`UTF-16LE` or `UTF-16BE` by the mark at the beginning, else null."""
+    head = F.hex(F.substring(content, 1, 2))
+    return F.when(head == "FFFE", "UTF-16LE").when(head == "FEFF", "UTF-16BE")
+
+
+def decoded_text(content: F.Column, latin1: bool = False) -> F.Column:
+    """The text of a file: UTF-16 by its mark, else UTF-8 (its mark dropped); null for binary files.
+
+    Bytes that are neither count as binary, unless `latin1` reads them as such, which takes any
+    bytes. A UTF-16 file of an odd number of bytes is null as well.
+    """
+    utf8 = F.regexp_replace(F.try_validate_utf8(content.cast("string")), "^\uFEFF", "")
+    sixteen = lambda name: F.decode(F.substring(content, F.lit(3), F.octet_length(content)), name)
+    mark = utf16_mark(content)
+    whole = F.octet_length(content) % 2 == 0
+    return (
+        F.when(is_binary(content), None)
+        .when((mark == "UTF-16LE") & whole, sixteen("UTF-16LE"))
+        .when((mark == "UTF-16BE") & whole, sixteen("UTF-16BE"))
+        .when(mark.isNotNull(), None)
+        .otherwise(F.coalesce(utf8, F.decode(content, "ISO-8859-1")) if latin1 else utf8)
+    )
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | StructType, strict: bool = True) -> DataFrame:
+    """A CSV table with a fixed header: the columns of `schema` in the order of the file.
+
+    Fields may be quoted, quotes within are doubled, records may span lines. With `strict` a
+    record that doesn't fit fails the job, else its columns are null and `_corrupt` holds it.
+    """
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("enforceSchema", False)
+    if strict:
+        return reader.option("mode", "FAILFAST").schema(schema).csv(path)
+    wanted = spark.createDataFrame([], schema).schema
+    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("enforceSchema", True).schema(StructType([*wanted.fields, StructField("_corrupt", StringType())])).csv(path)
+
+
+def write_csv(rows: DataFrame, path: str, columns: list[str], order: list[str] | None = None) -> None:
+    """`rows` as CSV parts with the header `columns`; nulls are empty fields. With `order`, the parts in the order of their names are sorted as a whole."""
+    out = rows.select(*columns)
+    if order:
+        out = out.orderBy(*order)
+    out.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def line_requests(lines: DataFrame, line: str, answer: Callable[[F.Column], F.Column], out: str = "answer") -> DataFrame:
+    """The reply `request, tab, answer` to each line, its end and blanks around it cut: `line`, `out`. Empty lines have no reply, an unknown answer is empty."""
+    asked = F.trim(F.regexp_replace(F.col(line), "[\r\n]+$", ""))
+    return lines.select(line, F.when(asked != "", F.concat(asked, F.lit("\t"), F.coalesce(answer(asked), F.lit("")))).alias(out))
+
+
+def json_requests(lines: DataFrame, line: str, work: Callable[[dict], object], out: str = "reply") -> DataFrame:
+    """A JSON reply to each JSON request: `{"id", "result"}`, or `{"id", "error"}` for one that can't be read or fails; the rest goes on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            replies = []
+            for text in batch.column(0).to_pylist():
+                name = None
+                try:
+                    request = json.loads(text or "")
+                    name = request.get("id")
+                    replies.append(json.dumps({"id": name, "result": work(request)}, ensure_ascii=False))
+                except Exception as e:
+                    replies.append(json.dumps({"id": name, "error": f"{type(e).__name__}: {e}"}, ensure_ascii=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(replies, pa.string())], names=[line, out])
+
+    return lines.select(line).mapInArrow(run, f"`{line}` string, `{out}` string")
 
 
 def each_isolated(rows: DataFrame, key: str, work: Callable[[object], str]) -> DataFrame:
@@ -68,6 +152,12 @@ def numstat(lines: DataFrame, line: str, keep: list[str]) -> DataFrame:
     return rows.select(*keep, renamed_from(parts[2]).alias("old_path"), renamed_to(parts[2]).alias("path"), count(0).alias("added"), count(1).alias("removed"))
 
 
+def code_edits(changes: DataFrame, commits: DataFrame, key: list[str], parents: str, shallow: DataFrame | None = None) -> DataFrame:
+    """Rows of numstat() that count as edits: of commits that merge nothing, not at the boundary of a shallow clone, not binary."""
+    rows = changes.filter("added is not null and removed is not null").join(commits.filter(F.col(parents) <= 1).select(*key).distinct(), key, "left_semi")
+    return rows.join(shallow.select(*key), key, "left_anti") if shallow is not None else rows
+
+
 def snapshot_delta(before: DataFrame, after: DataFrame, path: str, blob: str, renames: bool = True) -> DataFrame:
     """change_type (A, D, M, R), path, old_path between two snapshots of (path, blob).
 
