@@ -37,6 +37,9 @@ def _simple(pattern: re.Pattern, text: str, words: set[str]) -> tuple[list, list
     at, n = 0, len(text)
     match = pattern.match
     while at < n:
+        if text[at] == " ":  # the most frequent blank
+            at += 1
+            continue
         m = match(text, at)
         if m is None:
             return _bad(tokens, offsets, at)
@@ -300,6 +303,9 @@ def lex_go(text: str, words: set[str]) -> tuple[list, list]:
     offsets: list[int] = []
     at, n = 0, len(text)
     while at < n:
+        if text[at] == " ":  # the most frequent blank
+            at += 1
+            continue
         m = _GO.match(text, at)
         if m is None:
             return _bad(tokens, offsets, at)
@@ -403,6 +409,9 @@ def lex_rust(text: str, words: set[str]) -> tuple[list, list]:
     offsets: list[int] = []
     at, n = 0, len(text)
     while at < n:
+        if text[at] == " ":  # the most frequent blank
+            at += 1
+            continue
         m = _RUST.match(text, at)
         if m is None:
             return _bad(*_trees(tokens, offsets), at)
@@ -458,7 +467,7 @@ def _python_string(text: str, at: int, quote: str, raw: bool, formatted: bool) -
     while at < n:
         c = text[at]
         if c == "\\":
-            at += 2
+            at += 1 if formatted and text[at + 1 : at + 2] in ("{", "}") else 2  # a brace can't be escaped so
         elif text.startswith(quote, at):
             return at + len(quote)
         elif c in "\r\n" and not triple:
@@ -566,6 +575,9 @@ def lex_python(text: str, words: set[str]) -> tuple[list, list]:
                     add("DEDENT")
                 if (wide, narrow) != indents[-1]:
                     return _bad(tokens, offsets, at)
+        if text[at] == " ":  # the most frequent blank
+            at += 1
+            continue
         m = _PY.match(text, at)
         if m is None:
             return _bad(tokens, offsets, at)
@@ -660,6 +672,9 @@ def lex_script(text: str, words: set[str], soft: frozenset[str] = frozenset()) -
             line = False
             at = end
             continue
+        if text[at] == " ":  # the most frequent blank
+            at += 1
+            continue
         m = _JS.match(text, at)
         if text[at] == "/" and (m is None or m.lastgroup == "op") and (prev is None or prev not in _VALUE_ENDS and prev not in soft):
             pattern = _REGEX.match(text, at)

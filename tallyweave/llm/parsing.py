@@ -193,10 +193,43 @@ class Tables:
         self.lengths = [len(r) for _, r in prods]
         self.lefts = [left for left, _ in prods]
         self.start_empty = grammar.start_empty
+        self.pieces: dict[tuple, list] = {}
+        self.forget_stacks()
         self.units: dict[tuple[int, int, str], int] = {}  # filled while parsing; at most states times states times terminals
         self.terminals = {x for _, r in prods for x in r if x not in by and not x.isupper()}  # the words and marks
         del closures
 
+    def forget_stacks(self) -> None:
+        """Stacks by state and the stack below: equal stacks are one object."""
+        self.stacks: dict[tuple[int, int], tuple] = {}
+        self.bottom = self.kept((0, None))
+
+    def kept(self, stack: tuple) -> tuple:
+        """The one object for stacks that are equal to this one."""
+        new = []
+        below: tuple | None = stack
+        while below is not None:
+            found = self.stacks.get((below[0], id(below[1])))
+            if found is below:
+                break
+            new.append(below)
+            below = below[1]
+        for state, _ in reversed(new):
+            key = (state, id(below))
+            found = self.stacks.get(key)
+            if found is None:
+                found = self.stacks[key] = (state, below)
+            below = found
+        return below
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("pieces", "stacks", "bottom")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.pieces = {}
+        self.forget_stacks()
+
     @staticmethod
     def _first(prods: list, by: dict) -> dict[str, set]:
         first: dict[str, set] = {x: set() for x in by}
@@ -298,18 +331,57 @@ def _settle(tables: Tables, tops: list, token: str) -> list | None:
     return list(shifted.values())
 
 
+#: Tokens after which a piece of a text ends that is parsed as one, and pieces and stacks that are remembered.
+PIECE_ENDS = frozenset([";", "{", "}", "NEWLINE", ","])
+MOST_KNOWN = 100_000
+#: The longest piece.
+PIECE = 40
+
+
 def first_error(tables: Tables, tokens: list[str], may_insert: list[bool] | None = None, inserted: str = ";") -> int | None:
     """The index of the first token at which no parse is left (len(tokens): the end), or None for a valid text.
 
-    Where `may_insert` is true, `inserted` is put before a token that no parse can take.
+    Where `may_insert` is true, `inserted` is put before a token that no parse can take. Pieces of
+    code are alike once names are tokens, and a list of statements leaves one stack however long it
+    is: where a piece leads from which stacks is remembered, so that most pieces are looked up.
     """
     if not tokens and tables.start_empty:
         return None
+    known = tables.pieces
+    tops: list = [tables.bottom]
+    count = len(tokens)
+    i = 0
+    ends = [k + 1 for k, t in enumerate(tokens) if t in PIECE_ENDS]
+    ends.append(count)
+    for end in ends:
+        while i < end:
+            stop = min(end, i + PIECE)
+            flags = tuple(may_insert[i:stop]) if may_insert is not None and True in may_insert[i:stop] else None
+            key = (tuple(map(id, tops)), tuple(tokens[i:stop]), flags)
+            found = known.get(key)
+            if found is None:
+                if len(known) > MOST_KNOWN or len(tables.stacks) > MOST_KNOWN:
+                    known.clear()
+                    tables.forget_stacks()
+                    tops = [tables.kept(t) for t in tops]
+                    key = (tuple(map(id, tops)), *key[1:])
+                after, error = _advance(tables, tops, tokens, i, stop, may_insert, inserted)
+                if error is not None:
+                    return error
+                if after is None:
+                    return None
+                found = known[key] = [tables.kept(t) for t in after]
+            tops = found
+            i = stop
+    return _advance(tables, tops, tokens, count, count + 1, may_insert, inserted)[1]
+
+
+def _advance(tables: Tables, tops: list, tokens: list[str], start: int, stop: int, may_insert: list[bool] | None, inserted: str) -> tuple[list | None, int | None]:
+    """(stacks, None) after the tokens from `start` to `stop`, (None, None) for an accepted text, or (None, index of the error)."""
     action, goto, lengths, lefts = tables.action, tables.goto, tables.lengths, tables.lefts
     units = tables.units
-    tops: list = [(0, None)]
     count = len(tokens)
-    for i in range(count + 1):
+    for i in range(start, stop):
         token = tokens[i] if i < count else END
         before = tops
         if len(tops) == 1:  # the usual case: one stack and one action
@@ -321,7 +393,7 @@ def first_error(tables: Tables, tokens: list[str], may_insert: list[bool] | None
                     break
                 if a >= 0:
                     if a == Tables.ACCEPT:
-                        return None
+                        return None, None
                     top = (a, top)
                     break
                 if lengths[~a] == 1:
@@ -347,17 +419,17 @@ def first_error(tables: Tables, tokens: list[str], may_insert: list[bool] | None
             if a is not None:
                 tops = _settle(tables, tops, token)
                 if tops is None:
-                    return None
+                    return None, None
         else:
             tops = _settle(tables, tops, token)
             if tops is None:
-                return None
+                return None, None
         if not tops and may_insert is not None and may_insert[i]:
             tops = _settle(tables, before, inserted) or []
             if tops:
                 tops = _settle(tables, tops, token)
                 if tops is None:
-                    return None
+                    return None, None
         if not tops:
-            return i
-    return count
+            return None, i
+    return (tops, None) if stop <= count else (None, count)

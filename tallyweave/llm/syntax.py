@@ -6,9 +6,6 @@ operator is one pass over the files without a shuffle.
 
 from __future__ import annotations
 
-import ast
-import sys
-import warnings
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -60,9 +57,7 @@ def error_line(text: str, language: str, tables: dict[str, Tables] | None = None
     at = _error_offset(text, lex, table)
     if at is None and language == "C" and "#" in text:
         at = _error_of_branches(text, lex, table)
-    if at is None or language == "Python" and _python_takes(text):
-        return None
-    return lexing.line_of(text, at)
+    return None if at is None else lexing.line_of(text, at)
 
 
 def _error_offset(text: str, lex: Callable, table: Tables) -> int | None:
@@ -89,17 +84,6 @@ def _error_of_branches(text: str, lex: Callable, table: Tables) -> int | None:
         seen |= live
 
 
-def _python_takes(text: str) -> bool:
-    """The exact check of what the grammar rejects, by the language's own parser."""
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False
-    return True
-
-
 def known_language(language: Column, path: Column) -> Column:
     """The language, or what the extension of the path tells where it is null."""
     known = F.create_map(*(F.lit(x) for pair in EXTENSIONS.items() for x in pair))
@@ -120,7 +104,6 @@ def check_files(df: DataFrame, keep: list[str], content: str = "content", langua
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = sent.value
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 3000))
         for batch in batches:
             valid: list[bool | None] = []
             lines: list[int | None] = []

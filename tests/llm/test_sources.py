@@ -86,8 +86,7 @@ def test_every_branch_of_a_c_file(text, line):
     assert syntax.error_line(text, "C") == line
 
 
-def test_own_python_grammar_agrees_with_the_language(monkeypatch):
-    monkeypatch.setattr(syntax, "_python_takes", lambda _: False)
+def test_own_python_grammar_agrees_with_the_language():
     for text in (*VALID["Python"], *INVALID["Python"]):
         try:
             ast.parse(text)
@@ -188,3 +187,26 @@ def test_mangled_names_stand_out(spark):
     df = spark.createDataFrame([(i, r, p, "JavaScript", c) for i, r, p, c in rows], "file_id bigint, repository string, path string, language string, content string")
     found = {r.file_id: r.reason for r in H.judged_files(df).collect()}
     assert found[99] == "mangled" and found[3] is None
+
+
+def test_pieces_that_are_looked_up_change_nothing(monkeypatch):
+    """Every text three times, with as much memory as there is and with next to none."""
+    everything = [(t, name) for name in VALID for t in (*VALID[name], *INVALID[name])]
+    tables = syntax.build_tables()
+    first = [syntax.error_line(t, name, tables) for t, name in everything]
+    assert [syntax.error_line(t, name, tables) for t, name in everything] == first
+    monkeypatch.setattr(parsing, "MOST_KNOWN", 3)
+    assert [syntax.error_line(t, name, tables) for t, name in everything] == first
+    monkeypatch.setattr(parsing, "PIECE_ENDS", frozenset())
+    monkeypatch.setattr(parsing, "PIECE", 1)
+    assert [syntax.error_line(t, name, syntax.build_tables()) for t, name in everything] == first
+
+
+def test_braces_after_backslashes_in_formatted_strings():
+    for text in ('x = rf"\\.\\{y}"\n', 'x = f"\\{y}"\n', 'x = f"\\N{EM DASH}"\n', 'x = rf"\\"\n'.replace('\\"', '\\""')):
+        try:
+            ast.parse(text)
+            good = True
+        except SyntaxError:
+            good = False
+        assert (syntax.error_line(text, "Python") is None) == good, text
