@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +113,20 @@ class _Words(dict):
 _words = _Words()
 
 
+class _Chunks(dict):
+    """The words of what stands between blanks: no expression below crosses a blank."""
+
+    def __missing__(self, chunk: str) -> tuple[str, ...]:
+        if len(self) > MOST_KNOWN:
+            self.clear()
+        text = _SIGN.sub(lambda m: _SIGNS[m.group()], _CODE_WORD.sub(" CODE ", chunk))
+        self[chunk] = tuple(_words[w] for w in _WORD.findall(text))
+        return self[chunk]
+
+
+_chunks = _Chunks()
+
+
 def word_lists(lines: Sequence[str]) -> list[list[str]]:
     """The words of sentences as the model sees them; CODE stands for identifiers and paths, NUM for numbers.
 
@@ -119,14 +134,12 @@ def word_lists(lines: Sequence[str]) -> list[list[str]]:
     """
     if not lines:
         return []
-    text = plain("\n".join(s.replace("\n", " ") if "\n" in s else s for s in lines))
+    text = "\n".join([plain(s.replace("\n", " ")) for s in lines])
     text = _PREFIX.sub("", text)
     text = _SPACED.sub(lambda m: " " + _GAP.sub("", m.group()) + " ", text)
     if "*" in text or "#" in text:
         text = _MASKED.sub(_unmask, text)
-    text = _CODE_WORD.sub(" CODE ", text)
-    text = _SIGN.sub(lambda m: _SIGNS[m.group()], text)
-    return [[_words[w] for w in _WORD.findall(line)] for line in text.split("\n")]
+    return [list(chain.from_iterable(map(_chunks.__getitem__, line.split()))) for line in text.split("\n")]
 
 
 def words_of(sentence: str) -> list[str]:
