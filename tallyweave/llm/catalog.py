@@ -38,6 +38,16 @@ def p2_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reservoir.merged_reservoirs(table(spark, sf_dir, "reservoir"), ["language", "size_bucket"])
 
 
+def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What p2_samples holds per stratum: how many were offered, how many items it has, and how many different ones."""
+    return p2_samples(spark, sf_dir).select("language", "size_bucket", "capacity", "seen", F.size("items").alias("items"), F.size(F.array_distinct("items")).alias("distinct_items"))
+
+
+def p2_merged_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What p2_merged holds per stratum."""
+    return p2_merged(spark, sf_dir).select("language", "size_bucket", "capacity", "seen", F.size("items").alias("items"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.check_files(table(spark, sf_dir, "file_contents"), ["file_id"]).filter("not _valid").select("file_id")
 
@@ -152,11 +162,31 @@ from ranked cross join (select unnest([250, 500, 750, 900, 990]) as permille)
 where rank = greatest(1, (n * permille + 999) // 1000)
 """
 
+_COUNTED = """
+with runs as (
+  select language, shard, metric, v from (
+    select language, shard, 'elapsed_ms' as metric, elapsed_ms as v from robustness_full union all select language, shard, 'peak_memory_bytes', cast(peak_memory_bytes as double) from robustness_full)
+  where v is not null and not isnan(v)
+), steps as (
+  select language, metric, sign(v)::int as side, case when v = 0 then 0 else floor(ln(abs(v)) / ln(1.01 / 0.99))::bigint end as step, count(*) as rows from runs group by 1, 2, 3, 4
+), summed as (
+  select *, sum(rows) over (partition by language, metric order by side, case when side < 0 then -step else step end) as upto, sum(rows) over (partition by language, metric) as n from steps
+), ranked as (
+  select *, greatest(1, (n * permille + 999) // 1000) as rank from summed cross join (select unnest([250, 500, 750, 900, 990]) as permille)
+), cells as (
+  select *, pow(1.01 / 0.99, step) as near, pow(1.01 / 0.99, step + 1) as far from ranked where rank <= upto and rank > upto - rows
+)
+select language, metric, n::bigint as n, permille, case side when 0 then 0 else side * 2 * near * far / (near + far) end as value,
+  case side when 0 then 0 when 1 then near else -far end as low, case side when 0 then 0 when 1 then far else -near end as high from cells
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_reasons": p1_reasons,
     "p2_samples": p2_samples,
     "p2_merged": p2_merged,
+    "p2_sizes": p2_sizes,
+    "p2_merged_sizes": p2_merged_sizes,
     "p3_found": p3_found,
     "p3_rates": p3_rates,
     "p4_percentiles": p4_percentiles,
@@ -171,6 +201,14 @@ QUERIES = {
     "p10_rates": p10_rates,
 }
 SQL = {
+    "p2_sizes": """select language, size_bucket, 16 as capacity, count(*) as seen, least(16, count(*))::int as items, least(16, count(*))::int as distinct_items
+from candidates where language is not null and size_bucket is not null group by 1, 2""",
+    "p2_merged_sizes": """with whole as (select * from reservoir where language is not null and size_bucket is not null and seen is not null and items is not null),
+one as (select * from whole qualify row_number() over (partition by language, size_bucket, piece order by seen desc, reported_at desc nulls last, items desc) = 1),
+size as (select language, size_bucket, min(capacity) as capacity, sum(seen) as seen from one group by 1, 2),
+short as (select o.language, o.size_bucket, min(case when len(o.items) < least(o.seen, s.capacity) then len(o.items) end) as held from one o join size s on s.language = o.language and s.size_bucket = o.size_bucket group by 1, 2)
+select language, size_bucket, capacity::int as capacity, seen::bigint as seen, least(capacity, seen, coalesce(held, capacity))::int as items from size join short using (language, size_bucket)""",
+    "p4_combined": _COUNTED,
     "p4_percentiles": _P4,
     "p7_found": _P7 + "select first_run_id, run_id as best_run_id from ranked where rank = 1 and n_rows > 1",
     "p7_survivors": _P7

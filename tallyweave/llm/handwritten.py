@@ -148,11 +148,19 @@ _LETTER = re.compile(r"[^\W_]")
 
 
 class _Lines(dict):
-    """Of a line without outer blanks: its characters, those of literals of data, whether it is a row of data, and its shape."""
+    """Of a line: its characters without blanks and line comments, those of literals of data, and its shape (none for rows of data)."""
 
-    def __missing__(self, bare: str) -> tuple[int, int, bool, str | None]:
+    def __missing__(self, line: str) -> tuple[int, int, str | None]:
         if len(self) > MOST_KNOWN:
             self.clear()
+        bare = " ".join(line.split())
+        cut = bare.find(" //")
+        bare = bare[:cut] if cut > 0 else bare
+        self[line] = (0, 0, None) if not bare or bare.startswith(("//", "# ")) else self.measured(bare)
+        return self[line]
+
+    @staticmethod
+    def measured(bare: str) -> tuple[int, int, str | None]:
         size = len(bare)
         digits = _DIGIT.search(bare) is not None
         quoted = '"' in bare or "'" in bare or "`" in bare
@@ -166,24 +174,24 @@ class _Lines(dict):
         if not row and _LETTER.search(bare):
             shape = _NAME.sub("w", _STRING.sub("s", bare) if quoted else bare)
             shape = _DIGITS.sub("0", shape) if digits else shape
-        self[bare] = (size, data, row, shape)
-        return self[bare]
+        return size, data, shape
 
 
 _lines = _Lines()
 
 
-def layout(text: str) -> dict[str, float]:
-    """What the file looks like: shapes of lines, literals, blanks, names."""
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
+def code_of(text: str) -> str:
+    """The text without block comments."""
+    return _COMMENT.sub(" ", text)
+
+
+def layout(text: str, code: str | None = None) -> dict[str, float]:
+    """What the file looks like: shapes of lines, literals, blanks; `code` is code_of(text)."""
+    code = code_of(text) if code is None else code
     shapes: Counter = Counter()
     data = total = 0
-    for line in _COMMENT.sub(" ", text).split("\n"):
-        bare = " ".join(line.split())
-        if not bare or bare.startswith(("//", "# ")):
-            continue
-        cut = bare.find(" //")
-        size, literal, _, shape = _lines[bare[:cut] if cut > 0 else bare]
+    for line in (code.replace("\r\n", "\n").replace("\r", "\n") if "\r" in code else code).split("\n"):
+        size, literal, shape = _lines[line]
         total += size
         data += literal
         if shape is not None:
@@ -201,8 +209,9 @@ def layout(text: str) -> dict[str, float]:
     }
 
 
-def names_of(text: str) -> list[str]:
-    return _NAME.findall(_STRING.sub(" ", _COMMENT.sub(" ", text)))
+def names_of(text: str, code: str | None = None) -> list[str]:
+    """The names in the code, in order; `code` is code_of(text)."""
+    return _NAME.findall(_STRING.sub(" ", code_of(text) if code is None else code))
 
 
 def triples(names: list[str]) -> list[int]:
@@ -260,14 +269,14 @@ class Bits:
         return sum(a for a, _ in found) / max(1, sum(n for _, n in found))
 
 
-def _judge(name: str | None, text: str, path: str, repository: str | None, judge: Bits | None, ids: list[str] | None = None) -> tuple[str | None, float]:
+def _judge(name: str | None, text: str, path: str, repository: str | None, judge: Bits | None, ids: list[str] | None = None, code: str | None = None) -> tuple[str | None, float]:
     """The reason found in the file itself, if any, and the bits per character of its names; `mangled?` is a packed file, whose bits decide."""
     ids = names_of(text) if ids is None else ids
-    return _reason(name, text, path, repository, ids), judge.per_character(set(ids)) if ids and judge else 0.0
+    return _reason(name, text, path, repository, ids, code), judge.per_character(set(ids)) if ids and judge else 0.0
 
 
-def _reason(name: str | None, text: str, path: str, repository: str | None, ids: list[str]) -> str | None:
-    look = layout(text)
+def _reason(name: str | None, text: str, path: str, repository: str | None, ids: list[str], code: str | None) -> str | None:
+    look = layout(text, code)
     head = head_of(text)
     if look["data"] >= DATA_CHARS and look["data_share"] >= DATA_SHARE:
         return "data"
@@ -321,8 +330,9 @@ def judged_files(
                 stem = where.rsplit("/", 1)[-1].rsplit(".", 1)[0].lower()
                 parts = [x for x in re.split(r"[^a-z0-9]+", (repo or "").lower()) if x]
                 named.append(sum(x == stem for x in parts) / max(1, len(parts)))
-                names = names_of(text) if text else []
-                reason, b = _judge(name, text, where, repo, judges.get(name), names) if text else (None, 0.0)
+                code = code_of(text) if text else ""
+                names = names_of(text, code) if text else []
+                reason, b = _judge(name, text, where, repo, judges.get(name), names, code) if text else (None, 0.0)
                 reasons.append(reason)
                 bits.append(b)
                 counts.append(len(set(names)))

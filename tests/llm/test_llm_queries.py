@@ -8,6 +8,12 @@ import pytest
 from tallyweave.llm import catalog
 
 
+def plain(v):
+    if isinstance(v, float):
+        return float(f"{v:.9g}")
+    return v.isoformat()[:26] if hasattr(v, "isoformat") else v
+
+
 @pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, sf, name):
     df = catalog.QUERIES[name](spark, sf)
@@ -20,4 +26,6 @@ def test_query(spark, sf, name):
         got = c.execute(catalog.SQL[name])
         names = [x[0] for x in got.description]
         assert sorted(names) == sorted(df.columns)
-        assert len(rows) == len(got.fetchall())
+        ours = sorted(([plain(r[df.columns.index(c)]) for c in sorted(names)] for r in rows), key=repr)
+        theirs = sorted(([plain(r[names.index(c)]) for c in sorted(names)] for r in got.fetchall()), key=repr)
+        assert ours == theirs
