@@ -54,24 +54,52 @@ def status_counts(rows: DataFrame, by: Sequence[str], status: str, known: Sequen
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col(status) == s).alias(s) for s in known), F.count_if(F.col(status).isNull()).alias("no_status"))
 
 
+def at_ranks(rows: DataFrame, by: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """`by`, _n and one column per name: the values of each group at the given ranks (from 1; columns over _n, the rows of the group).
+
+    Values are sorted in ranges of the whole order and numbered from the sizes of the ranges before,
+    so that no task sees a group whole, nor keeps its distinct values. Null values aren't counted.
+    """
+    names = [f"_g{i}" for i in range(len(by))]
+    known = rows.filter(F.col(value).isNotNull()).select(*(F.col(g).alias(n) for g, n in zip(by, names, strict=True)), F.col(value).alias("_v"))
+    ranged = cut_lineage(known.repartitionByRange(*names, "_v").withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part", *names).agg(F.count(F.lit(1)).alias("_in"))  # few rows: ranges and groups
+    before = Window.partitionBy(*names).orderBy("_part")
+    parts = sizes.select(F.col("_part").alias("_p"), *(F.col(n).alias(f"{n}p") for n in names), (F.sum("_in").over(before) - F.col("_in")).alias("_before"), F.sum("_in").over(Window.partitionBy(*names)).alias("_n"))
+    parts = parts.withColumns({f"_r{i}": r for i, r in enumerate(ranks.values())})
+    # Equal values are one row with their ranks from and to.
+    counted = ranged.groupBy("_part", *names, "_v").agg(F.count(F.lit(1)).alias("_in"))
+    upto = F.sum("_in").over(Window.partitionBy("_part", *names).orderBy("_v"))
+    placed = counted.withColumn("_upto", upto).join(parts, [F.col("_part") == F.col("_p"), *(F.col(n).eqNullSafe(F.col(f"{n}p")) for n in names)])
+    here = lambda i: (F.col(f"_r{i}") > F.col("_before") + F.col("_upto") - F.col("_in")) & (F.col(f"_r{i}") <= F.col("_before") + F.col("_upto"))
+    found = placed.groupBy(*names, "_n").agg(*(F.max(F.when(here(i), F.col("_v"))).alias(c) for i, c in enumerate(ranks)))
+    return found.select(*(F.col(n).alias(g) for n, g in zip(names, by, strict=True)), "_n", *ranks)
+
+
+def linear_percentiles(rows: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """`by` and one column per name: percentiles by linear interpolation between the two nearest ranks."""
+    place = {c: (F.col("_n") - 1) * p for c, p in shares.items()}
+    ranks = {f"_{side}{c}": (way(x) + 1).cast("bigint") for c, x in place.items() for side, way in (("low", F.floor), ("high", F.ceil))}
+    found = at_ranks(rows.withColumn("_value", F.col(value).cast("double")), by, "_value", ranks)
+    between = {c: F.col(f"_low{c}") + (F.col(f"_high{c}") - F.col(f"_low{c}")) * (x - F.floor(x)) for c, x in place.items()}
+    return found.select(*by, *(x.alias(c) for c, x in between.items()))
+
+
 def spread(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """n, mean, deviation, skewness, percentiles by linear interpolation, largest."""
     v = F.col(value).cast("double")
-    return rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("deviation"),
-        F.skewness(v).alias("skew"),
-        *(F.percentile(v, p / 100).alias(f"p{p}") for p in (50, 75, 90, 99)),
-        F.max(v).alias("largest"),
-    )
+    moments = rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("deviation"), F.skewness(v).alias("skew"), F.max(v).alias("largest"))
+    asked = (50, 75, 90, 99)
+    found = linear_percentiles(rows, by, value, {f"p{p}": p / 100 for p in asked})
+    percentiles = found.select(*(F.col(g).alias(f"_{g}") for g in by), *(f"p{p}" for p in asked))
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in by] or [F.lit(True)]
+    return moments.join(percentiles, same).select(*by, "n", "mean", "deviation", "skew", *(f"p{p}" for p in asked), "largest")
 
 
 def nearest_rank(rows: DataFrame, by: Sequence[str], value: str, permilles: Sequence[int]) -> DataFrame:
-    """One column per permille: the value of rank ceil(n p / 1000); percentile_disc is that definition."""
-    return rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(
-        *(F.expr(f"percentile_disc({p / 1000}) within group (order by `{value}`)").cast("double").alias(f"p{p}") for p in permilles)
-    )
+    """One column per permille: the value of rank ceil(n p / 1000)."""
+    ranks = {f"p{p}": F.greatest(F.lit(1), F.ceil(F.col("_n") * p / 1000)).cast("bigint") for p in permilles}
+    return at_ranks(rows, by, value, ranks).select(*by, *(F.col(c).cast("double").alias(c) for c in ranks))
 
 
 def most_by(rows: DataFrame, by: Sequence[str], value: str, label: Sequence[str], tie: str) -> DataFrame:
@@ -175,7 +203,7 @@ def histogram(rows: DataFrame, by: Sequence[str], value: str, bins: int, trim: f
     """by, bin, n: equal bins (of the logarithm) up to the percentile `trim` of each group; larger values are left out by design."""
     v = F.col(value).cast("double")
     known = rows.filter(v > 0 if log else v.isNotNull()).withColumn("_v", F.log10(v) if log else v)
-    edges = known.groupBy(*(F.col(b).alias(f"_{b}") for b in by)).agg(F.min("_v").alias("_lo"), F.percentile("_v", trim).alias("_hi"))
+    edges = linear_percentiles(known, by, "_v", {"_lo": 0.0, "_hi": trim}).withColumnsRenamed({b: f"_{b}" for b in by})
     same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by] or [F.lit(True)]
     joined = known.join(edges, same)
     bin_ = F.when(F.col("_hi") == F.col("_lo"), 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)))

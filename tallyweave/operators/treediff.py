@@ -30,6 +30,8 @@ MOVED_SIZE = 4
 DIAGNOSTIC = {"log", "print", "println", "printf", "assert", "assert_eq", "debug", "warn", "error", "console", "panic", "raise", "throw"}
 # Words before parentheses and blocks that declare nothing.
 CONTROL = {"if", "else", "elif", "for", "foreach", "while", "until", "unless", "do", "loop", "switch", "match", "case", "when", "try", "catch", "except", "finally", "with", "return", "synchronized"}
+# Words that may stand before a declaration.
+MODIFIERS = {"pub", "public", "private", "protected", "internal", "static", "final", "const", "async", "abstract", "override", "virtual", "inline", "extern", "export", "default", "unsafe", "mut", "readonly", "synchronized"}
 IMPORTS = {"import", "use", "from", "include", "require", "using"}
 
 
@@ -488,11 +490,11 @@ class PairDiff:
             self.pair(p[1], q[1], "GroupedGreedy")
 
     def leading_siblings(self) -> None:
-        """Unmatched comments right before matched nodes pair back to the first difference."""
+        """Unmatched comments and modifiers right before matched nodes pair back to the first difference."""
         for x in sorted(self.to):
             y = self.to[x]
             left, right = self._before(self.a, x), self._before(self.b, y)
-            while left and right and left not in self.to and right not in self.back and self.a.kind[left] == self.b.kind[right] == "comment" and self.a.text[left] == self.b.text[right]:
+            while left and right and left not in self.to and right not in self.back and self.a.kind[left] == self.b.kind[right] and self.a.text[left] == self.b.text[right] and (self.a.kind[left] == "comment" or self.a.text[left] in MODIFIERS):
                 self.pair(left, right, "LeadingSibling")
                 left, right = self._before(self.a, left), self._before(self.b, right)
 
@@ -582,9 +584,9 @@ class PairDiff:
                 self.unpair(x)
 
     def sibling_terminators(self) -> None:
-        """The semicolon after a node pairs with the one right after the node's partner."""
+        """The semicolon after an inner node pairs with the one right after the node's partner, where its parent has two inner nodes or more."""
         for x, y in sorted(self.to.items()):
-            if not self.a.children[x] or not self.b.children[y]:
+            if not self.a.children[x] or not self.b.children[y] or sum(bool(self.a.children[c]) for c in self.a.children[self.a.parent[x]]) < 2:
                 continue
             s, t = self._after(self.a, x), self._after(self.b, y)
             if s and t and self.a.text[s] == self.b.text[t] == ";" and self.to.get(s) != t:
