@@ -164,17 +164,20 @@ class _Lines(dict):
         size = len(bare)
         digits = _DIGIT.search(bare) is not None
         quoted = '"' in bare or "'" in bare or "`" in bare
-        numbers = sum(map(len, _NUMBER.findall(bare))) if digits else 0
-        blobs = sum(len(s) for s in _STRING.findall(bare) if len(s) > 33 and _BLOB.match(s[1:-1])) if quoted else 0
+        blobs = sum(len(s) for s in _STRING.findall(bare) if len(s) > 33 and _BLOB.match(s[1:-1])) if quoted and size > 33 else 0
         table = digits and _TABLE_ROW.match(bare) is not None
-        separators = bare.count(",") + bare.count(" ") if numbers > 0.4 * size and (table or bare.count(",") > 12) else 0
-        data = min(size, blobs + (numbers + separators if separators else 0))
+        data = blobs
+        if digits and (table or bare.count(",") > 12):  # numbers and what lies between them
+            numbers = sum(map(len, _NUMBER.findall(bare)))
+            separators = bare.count(",") + bare.count(" ")
+            if numbers > 0.4 * size and separators:
+                data = min(size, blobs + numbers + separators)
         row = table or blobs > 0.7 * size
         shape = None
         if not row and _LETTER.search(bare):
             shape = _NAME.sub("w", _STRING.sub("s", bare) if quoted else bare)
             shape = _DIGITS.sub("0", shape) if digits else shape
-        return size, data, shape
+        return size, min(size, data), shape
 
 
 _lines = _Lines()
@@ -230,7 +233,7 @@ def train(df: DataFrame, language: str, content: str) -> dict[str, np.ndarray]:
         for batch in batches:
             seen: dict[str, Counter] = {}
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text and name is not None and len(text) - len("".join(text.split())) > BLANKS * len(text):
+                if text and name is not None and len(text) - sum(map(len, text.split())) > BLANKS * len(text):
                     seen.setdefault(name, Counter()).update(set(names_of(text)))
             for name, names in seen.items():
                 grams = [codes(x) for x in names]
@@ -251,9 +254,12 @@ def train(df: DataFrame, language: str, content: str) -> dict[str, np.ndarray]:
 class Bits:
     """Bits of n-grams of names under one model."""
 
+    #: Sums are whole numbers, so that their order doesn't matter: bits in so many parts, and n-grams in the low half.
+    PARTS, HALF = 1 << 20, 1 << 40
+
     def __init__(self, model: np.ndarray):
-        self.model = model
-        self.known: dict[str, tuple[float, int]] = {}
+        self.model = np.rint(model * self.PARTS).astype(np.int64)
+        self.known: dict[str, int] = {}
 
     def per_character(self, names: set[str]) -> float:
         """The cross-entropy of the distinct names."""
@@ -264,9 +270,9 @@ class Bits:
             grams = [codes(x) for x in new]
             sizes = np.fromiter(map(len, grams), np.int64, len(grams))
             sums = np.add.reduceat(self.model[np.fromiter(chain.from_iterable(grams), np.int64)], np.cumsum(sizes) - sizes)
-            self.known.update(zip(new, zip(sums.tolist(), sizes.tolist(), strict=True), strict=True))
-        found = [self.known[x] for x in sorted(names)]
-        return sum(a for a, _ in found) / max(1, sum(n for _, n in found))
+            self.known.update(zip(new, (a * self.HALF + n for a, n in zip(sums.tolist(), sizes.tolist(), strict=True)), strict=True))
+        bits, n = divmod(sum(map(self.known.__getitem__, names)), self.HALF)
+        return bits / self.PARTS / max(1, n)
 
 
 def _judge(name: str | None, text: str, path: str, repository: str | None, judge: Bits | None, ids: list[str] | None = None, code: str | None = None) -> tuple[str | None, float]:
