@@ -458,6 +458,8 @@ _PY = re.compile(
     |(?P<op>\.\.\.|->|:=|\*\*|//|<<|>>|<=|>=|==|!=|[][(){}.,;:@%^&*+\-=/<>|~])""",
     re.X,
 )
+_INDENT = re.compile(r"[ \t\f]*")
+_QUOTE = re.compile(r"\"\"\"|'''|\"|'")
 _PREFIXES = {"", "r", "u", "b", "f", "br", "rb", "fr", "rf"}
 
 
@@ -505,7 +507,7 @@ def _replacement(text: str, at: int, quote: str, raw: bool) -> int | None:
         elif c in ")]" or c in "\r\n" and len(quote) == 1:
             return None
         elif c in "\"'":
-            m = re.compile(r"\"\"\"|'''|\"|'").match(text, at)
+            m = _QUOTE.match(text, at)
             k = at
             while k > begin and text[k - 1].isalpha():
                 k -= 1
@@ -550,9 +552,12 @@ def lex_python(text: str, words: set[str]) -> tuple[list, list]:
 
     while at < n:
         if fresh:
-            m = re.compile(r"[ \t\f]*").match(text, at)
-            wide = narrow = 0
-            for c in m.group():
+            m = _INDENT.match(text, at)
+            wide = narrow = m.end() - at
+            mixed = m.group() if wide and m.group().count(" ") < wide else ""
+            if mixed:
+                wide = narrow = 0
+            for c in mixed:
                 if c == "\t":
                     wide, narrow = (wide // 8 + 1) * 8, narrow + 1
                 elif c == "\f":
@@ -629,6 +634,7 @@ _JS = re.compile(
     |(?P<op>\.\.\.|\?\.(?![0-9])|=>|===|!==|\*\*=|\*\*|<<=|<<|<=|>=|==|!=|&&=|\|\|=|\?\?=|&&|\|\||\?\?|\+\+|--|[-+*/%&|^]=|[][(){}.,;:?~!%^&*+\-=/<>|@])""",
     re.X,
 )
+_COLON = re.compile(r"\s*:")
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*")
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\(?s:.)|\$(?!\{))*")
 #: After these an operand follows: a slash opens a pattern, a brace an object.
@@ -705,7 +711,7 @@ def lex_script(text: str, words: set[str], soft: frozenset[str] = frozenset()) -
             kind = value if value in words or value in ("function", "class") else "ID"
             if prev in (".", "?."):
                 kind = "ID"
-            elif prev in (",", "o{") and re.compile(r"\s*:").match(text, end):
+            elif prev in (",", "o{") and _COLON.match(text, end):
                 kind = "ID"
             elif kind in ("function", "class") and prev in _BEFORE_EXPRESSION:
                 kind = "fexpr" if kind == "function" else "cexpr"
