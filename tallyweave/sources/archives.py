@@ -42,17 +42,23 @@ def sniff(data: bytes) -> str | None:
     return "tar" if data[257:262] == b"ustar" else None
 
 
+def _member_hash(crc: int, size: int) -> int:
+    """The checksum in the upper and the size in the lower half of 64 bits, as a bigint."""
+    value = (crc << 32 ^ size) & (1 << 64) - 1
+    return value - (1 << 64) if value >> 63 else value
+
+
 def members(data: bytes, most: int = MOST_EXPANDED) -> tuple[str | None, list[tuple[str, int, int]]]:
     """The format and (path, hash, size) of every member; of a zip nothing is decompressed. No archive: (None, [])."""
     kind = sniff(data)
     if kind == "zip":
         with zipfile.ZipFile(io.BytesIO(data)) as z:
-            return kind, [(i.filename, i.CRC << 31 ^ i.file_size, i.file_size) for i in z.infolist() if not i.is_dir()]
+            return kind, [(i.filename, _member_hash(i.CRC, i.file_size), i.file_size) for i in z.infolist() if not i.is_dir()]
     if kind in ("gzip", "xz", "bzip2"):
         opened = {"gzip": gzip.open, "xz": lzma.open, "bzip2": bz2.open}[kind](io.BytesIO(data))
         data = _expand(opened, most)
         if sniff(data) != "tar":
-            return kind, [("(content)", zlib.crc32(data) << 31 ^ len(data), len(data))]
+            return kind, [("(content)", _member_hash(zlib.crc32(data), len(data)), len(data))]
     if kind is None:
         return None, []
     out, size = [], 0
@@ -63,7 +69,7 @@ def members(data: bytes, most: int = MOST_EXPANDED) -> tuple[str | None, list[tu
                 if size > most:
                     raise TooLarge("expands beyond the limit")
                 body = t.extractfile(m).read()
-                out.append((m.name, zlib.crc32(body) << 31 ^ m.size, m.size))
+                out.append((m.name, _member_hash(zlib.crc32(body), m.size), m.size))
     return kind, out
 
 
