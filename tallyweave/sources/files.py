@@ -5,7 +5,11 @@ from __future__ import annotations
 import json
 import os
 import sqlite3
+import subprocess
+import tempfile
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
+from typing import IO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -152,6 +156,87 @@ def numstat(lines: DataFrame, line: str, keep: list[str]) -> DataFrame:
     return rows.select(*keep, renamed_from(parts[2]).alias("old_path"), renamed_to(parts[2]).alias("path"), count(0).alias("added"), count(1).alias("removed"))
 
 
+HISTORY_SCHEMA = "repository string, commit string, parents int, committed_at timestamp, shallow boolean, change_type string, old_path string, path string, added int, removed int, error string"
+
+
+def commit_history(repos: DataFrame, path: str, most: int | None = None, command: str = "git") -> DataFrame:
+    """HISTORY_SCHEMA: the changed files of the commits of each checkout, one row per file, read from its objects by `git log`.
+
+    A repository is one unit of work, streamed as the log comes; `most` visits only so many of its
+    latest commits (before any filter on parents). A commit that changes nothing has one row without
+    a path, a merge likewise. Binary files have null counts. `shallow` marks commits at the boundary
+    of a shallow clone. A folder that can't be read is one row with its error; the rest goes on.
+    """
+    names = [f.split()[0] for f in HISTORY_SCHEMA.split(", ")]
+    ask = [command, "-c", "core.quotepath=off", "log", "--raw", "--numstat", "--no-abbrev", "-M", "-z", "--format=%x01%H%x02%P%x02%ct"] + ([f"-{most}"] if most else [])
+
+    def rows_of(folder: str) -> Iterator[tuple]:
+        said = tempfile.TemporaryFile()
+        done = subprocess.Popen([ask[0], "-C", folder, *ask[1:]], stdout=subprocess.PIPE, stderr=said)
+        boundary = set()
+        marker = os.path.join(folder, ".git", "shallow")
+        if os.path.exists(marker):
+            with open(marker) as f:
+                boundary = set(f.read().split())
+        for block in blocks_of(done.stdout):
+            head, _, rest = block.decode("utf-8", "surrogateescape").partition("\0")
+            commit, parents, when = head.split("\x02")
+            base = (folder, commit, len(parents.split()), datetime.fromtimestamp(int(when), timezone.utc), commit in boundary)
+            kinds: dict[str, tuple[str, str | None]] = {}
+            counts: dict[str, tuple[int | None, int | None]] = {}
+            parts = iter(rest.lstrip("\n").split("\0"))
+            for part in parts:
+                part = part.lstrip("\n")
+                if part.startswith(":"):
+                    kind = part.split()[-1]
+                    old = next(parts)
+                    kinds[next(parts) if kind[0] in "RC" else old] = (kind, old if kind[0] in "RC" else None)
+                elif part.count("\t") >= 2:
+                    added, removed, name = part.split("\t", 2)
+                    if not name:  # a rename: the old and the new path follow
+                        next(parts)
+                        name = next(parts)
+                    counts[name] = tuple(None if x == "-" else int(x) for x in (added, removed))
+            if not kinds:
+                yield (*base, None, None, None, None, None, None)
+            for name, (kind, old) in sorted(kinds.items()):
+                clean = lambda x: None if x is None else x.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+                yield (*base, kind, clean(old), clean(name), *counts.get(name, (None, None)), None)
+        if done.wait():
+            said.seek(0)
+            raise OSError(said.read().decode("utf-8", "replace").strip() or f"{command} failed")
+
+    def blocks_of(stream: IO[bytes]) -> Iterator[bytes]:
+        """What follows each mark, as it comes."""
+        held = b""
+        while chunk := stream.read(1 << 20):
+            *whole, held = (held + chunk).split(b"\x01")
+            yield from filter(None, whole)
+        if held:
+            yield held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(types)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                rows: list[tuple] = []
+                try:
+                    for row in rows_of(folder):
+                        rows.append(row)
+                        if len(rows) == 10_000:
+                            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
+                            rows = []
+                except (OSError, ValueError, TypeError) as e:
+                    rows.append((folder, *[None] * 9, f"{type(e).__name__}: {e}"))
+                if rows:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
+
+    types = repos.sparkSession.createDataFrame([], HISTORY_SCHEMA).schema
+    return repos.select(path).mapInArrow(run, HISTORY_SCHEMA)
+
+
 def code_edits(changes: DataFrame, commits: DataFrame, key: list[str], parents: str, shallow: DataFrame | None = None) -> DataFrame:
     """Rows of numstat() that count as edits: of commits that merge nothing, not at the boundary of a shallow clone, not binary."""
     rows = changes.filter("added is not null and removed is not null").join(commits.filter(F.col(parents) <= 1).select(*key).distinct(), key, "left_semi")

@@ -2,6 +2,7 @@
 
 import json
 import os
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,36 @@ def test_edits_of_commits(spark):
     assert [(r.commit, r.path, r.added, r.removed) for r in got.collect()] == [("c1", "a.rs", 1, 2)]
 
 
+def test_history_from_objects(spark, tmp_path):
+    repo = tmp_path / "r"
+    repo.mkdir()
+
+    def git(*args):
+        subprocess.run(["git", "-C", str(repo), "-c", "user.name=a", "-c", "user.email=a@b", *args], check=True, capture_output=True)
+
+    git("init", "-q", "-b", "main")
+    (repo / "a b.txt").write_text("one\ntwo\nthree\nfour\n")
+    (repo / "bin").write_bytes(b"\0\1")
+    git("add", ".")
+    git("commit", "-qm", "first")
+    git("checkout", "-qb", "side")
+    git("mv", "a b.txt", "zürich.txt")
+    (repo / "zürich.txt").write_text("one\ntwo\nthree\nfour\nfive\n")
+    git("commit", "-qam", "second")
+    git("checkout", "-q", "main")
+    (repo / "c").write_text("x\n")
+    git("add", ".")
+    git("commit", "-qm", "third")
+    git("merge", "-q", "--no-ff", "-m", "merged", "side")
+    repos = spark.createDataFrame([(str(repo),), (str(tmp_path / "none"),)], "path string")
+    rows = files.commit_history(repos, "path").collect()
+    changes = {(r.change_type[0], r.old_path, r.path, r.added, r.removed) for r in rows if r.path}
+    assert changes == {("A", None, "a b.txt", 4, 0), ("A", None, "bin", None, None), ("R", "a b.txt", "zürich.txt", 1, 0), ("A", None, "c", 1, 0)}
+    assert sorted(r.parents for r in rows if r.error is None and r.path is None) == [2]
+    assert sum(r.error is not None for r in rows) == 1
+    assert {r.parents for r in files.commit_history(repos.limit(1), "path", most=1).collect()} == {2}
+
+
 def test_queue_counts(spark):
     queue = review.review_queue(spark.createDataFrame([("one\tb1 a2\tnote",), ("one\tb3",), ("# no",), ("two",)], "line string"), "line")
     cases = spark.createDataFrame([("one",), ("three",)], "case string")
