@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 from .painting import MINIMAL, Options, paint
-from .treediff import PairDiff
+from .treediff import PairDiff, diff_trees
 from .trees import Tree, parse, token_tree
 
 
@@ -131,3 +131,19 @@ def ablation_costs(pairs: DataFrame, before: str, after: str, language: str, nam
         return out
 
     return _counted(pairs, [before, after, language], "without string", "cost", tally)
+
+
+def status_counts(pairs: DataFrame, before: str, after: str, language: str) -> DataFrame:
+    """kind, status, nodes: matched and deleted nodes of the sides before, per kind; a text without a tree has none."""
+
+    def tally(rows) -> Counter:
+        out: Counter = Counter()
+        for b, a, lang in rows:
+            left = parse(b, lang)
+            if left is not None:
+                for x, y, *_ in diff_trees(left, parse(a, lang)):
+                    if x:
+                        out[left.kind[x], "Matched" if y else "Deleted"] += 1
+        return out
+
+    return _counted(pairs, [before, after, language], "kind string, status string", "nodes", tally)

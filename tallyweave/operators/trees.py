@@ -200,8 +200,8 @@ def nodes(df: DataFrame, text: str, language: str, keep: list[str]) -> DataFrame
                 ids = range(1, len(tree) + 1)
                 rows = [(n, tree.parent[n], tree.depth[n], tree.place[n], tree.kind[n], tree.text[n], *tree.span[n], tree.size[n], tree.full[n], tree.shape[n]) for n in ids]
                 columns = [pa.array(c, t_) for c, t_ in zip(zip(*rows, strict=True), types, strict=True)]
-                own = batch.slice(i, 1).take(pa.array([0] * len(rows), pa.int64()))
-                yield pa.RecordBatch.from_arrays([*own.columns[: len(keep)], *columns], names=[*keep, *names])
+                own = pa.array([i] * len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in range(len(keep))), *columns], names=[*keep, *names])
 
     return spread(source).mapInArrow(work, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), NODE_SCHEMA]))
 
@@ -395,3 +395,65 @@ def owned_gaps(nodes_: DataFrame, key: list[str]) -> DataFrame:
     gaps = nodes_.filter("parent_id > 0").select(*key, "parent_id", F.greatest(F.col("start") - F.lag("end").over(w), F.lit(0)).alias("_gap"))
     inside = gaps.groupBy(*key, "parent_id").agg(F.sum("_gap").alias("_gap"))
     return nodes_.join(inside.withColumnRenamed("parent_id", "node_id"), [*key, "node_id"]).groupBy("kind").agg(F.sum("_gap").alias("gap_characters"))
+
+
+def gaps_of_texts(df: DataFrame, text: str) -> DataFrame:
+    """kind, gap_characters: what owned_gaps() gives of the token trees of `text`, counted where they are parsed; one sum per kind and batch is shuffled."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[str, int] = {}
+            for t in batch.column(0).to_pylist():
+                if t is None:
+                    continue
+                tree = token_tree(t)
+                span = tree.span
+                for n in range(1, len(tree) + 1):
+                    kids = tree.children[n]
+                    if kids:
+                        found[tree.kind[n]] = found.get(tree.kind[n], 0) + sum(max(0, span[b][0] - span[a][1]) for a, b in zip(kids, kids[1:], strict=False))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["kind", "gap"])
+
+    return spread(df.select(text)).mapInArrow(work, "kind string, gap bigint").groupBy("kind").agg(F.sum("gap").alias("gap_characters"))
+
+
+def paths_of_texts(df: DataFrame, text: str, language: str, keep: list[str]) -> DataFrame:
+    """`keep`, node_id, path: what node_paths() gives of the trees of `text`, made where they are parsed. No shuffle."""
+    source = df.select(*keep, F.col(text).alias("_text"), F.col(language).alias("_language"))
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
+    k = len(keep)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, ids, paths, chars = [], [], [], 0
+
+            def packed() -> pa.RecordBatch:
+                rows = pa.array(at, pa.int64())
+                return pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in range(k)), pa.array(ids, pa.int32()), pa.array(paths, pa.string())], names=[*keep, "node_id", "path"])
+
+            for i, (t, lang) in enumerate(zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist(), strict=True)):
+                tree = parse(t, lang)
+                if tree is None or not len(tree):
+                    continue
+                open_: list[tuple[int, str, dict[str, int]]] = []  # the way to the node: node, path, children so far by kind
+                for n in range(1, len(tree) + 1):
+                    up, kind, path = tree.parent[n], tree.kind[n], ""
+                    while open_ and open_[-1][0] != up:
+                        open_.pop()
+                    if open_:
+                        _, above, seen = open_[-1]
+                        seen[kind] = seen.get(kind, 0) + 1
+                        path = f"{above}/{kind}:{seen[kind]}" if above else f"{kind}:{seen[kind]}"
+                    if tree.children[n]:
+                        open_.append((n, path, {}))
+                    at.append(i)
+                    ids.append(n)
+                    paths.append(path)
+                    chars += len(path)
+                    if chars > BATCH_CHARS:
+                        yield packed()
+                        at, ids, paths, chars = [], [], [], 0
+            yield packed()
+
+    return spread(source).mapInArrow(work, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "node_id int, path string"]))

@@ -185,9 +185,9 @@ def tree_reasons(spark, d):
 
 @query()
 def tree_costs(spark, d):
-    """The cost of each pair's mapping, from its operations and the node tables."""
+    """The cost of each pair's mapping."""
     m = treediff.tree_mapping(version_pairs(spark, d), "pair_id", "before", "after", "language")
-    return trees.mapping_cost(m, _tree_nodes(spark, d, "before"), _tree_nodes(spark, d, "after"), ["pair_id"])
+    return m.groupBy("pair_id").agg(F.sum("cost").alias("cost"))
 
 
 _TOKEN = r"""(?s)\s+|//[^\n]*|#[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''|\d[\p{L}\p{N}_.]*|[\p{L}_][\p{L}\p{N}_]*|."""
@@ -205,16 +205,13 @@ def tree_unique_keys(spark, d):
 @query()
 def tree_gaps(spark, d):
     """Characters of inner nodes that no child covers. JSON is read as tokens too, as nodes of its own trees have no place in the text."""
-    f = table(spark, d, "file_contents").withColumn("language", F.lit(None).cast("string"))
-    return trees.owned_gaps(trees.nodes(f, "content", "language", ["file_id"]), ["file_id"])
+    return trees.gaps_of_texts(table(spark, d, "file_contents"), "content")
 
 
 @query()
 def tree_status(spark, d):
     """Matched, deleted and inserted nodes per kind of the side before."""
-    m = treediff.tree_mapping(version_pairs(spark, d), "pair_id", "before", "after", "language")
-    n = _tree_nodes(spark, d, "before")
-    return review.node_status(m, ["pair_id"], "before").join(n.select("pair_id", "node_id", "kind"), ["pair_id", "node_id"]).groupBy("kind", "status").agg(F.count(F.lit(1)).alias("nodes"))
+    return conventions.status_counts(version_pairs(spark, d), "before", "after", "language")
 
 
 @query()
@@ -240,8 +237,7 @@ def tree_leaf_conventions(spark, d):
 def tree_node_paths(spark, d):
     """How many distinct paths of kinds every file has; a null language is told by the extension."""
     f = table(spark, d, "file_contents").withColumn("language", F.coalesce("language", F.when(F.lower("path").endswith(".json"), "Json")))
-    n = trees.nodes(f, "content", "language", ["file_id"])
-    return trees.node_paths(n, ["file_id"]).groupBy("file_id").agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("path").alias("paths"))
+    return trees.paths_of_texts(f, "content", "language", ["file_id"]).groupBy("file_id").agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("path").alias("paths"))
 
 
 @query("""with h as (select repository, doc_id, case when contains(lower(text), 'grammar') then doc_id end as hit from documents)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.operators import conventions, pairing, reports, sketches
+from tallyweave.operators import conventions, pairing, reports, review, sketches
 from tallyweave.operators import treediff as D
 from tallyweave.operators import treedistance as E
 from tallyweave.operators import trees as T
@@ -154,6 +154,27 @@ def test_matches_in_place_equal_those_by_joins(spark, sf):
     assert sorted(map(tuple, T.outermost_matches(pairs, "pair_id", "before", "after", "language", 3).collect())) == sorted(map(tuple, joined.collect()))
 
 
+def test_gaps_and_paths_in_place_equal_those_of_node_tables(spark, sf):
+    files = spark.read.parquet(f"{sf}/file_contents.parquet")
+    nodes = T.nodes(files, "content", "language", ["file_id"])
+    assert sorted(map(tuple, T.paths_of_texts(files, "content", "language", ["file_id"]).collect())) == sorted(map(tuple, T.node_paths(nodes, ["file_id"]).collect()))
+    tokens = T.nodes(files.withColumn("language", F.lit(None).cast("string")), "content", "language", ["file_id"])
+    assert sorted(map(tuple, T.gaps_of_texts(files, "content").collect())) == sorted(map(tuple, T.owned_gaps(tokens, ["file_id"]).collect()))
+    deep = spark.createDataFrame([(1, "(" * 1500 + ")" * 1500, None)], "file_id int, content string, language string")
+    assert T.paths_of_texts(deep, "content", "language", ["file_id"]).agg(F.max(F.length("path"))).first()[0] > 20_000
+
+
+def test_counts_in_place_equal_those_of_node_tables(spark, sf):
+    files = spark.read.parquet(f"{sf}/file_contents.parquet")
+    pairs = pairing.with_previous(files, ["repository", "language"], ["path", "file_id"], "file_id", "content", ["language"]).filter("before is not null and after is not null").cache()
+    mapping = D.tree_mapping(pairs, "pair_id", "before", "after", "language").cache()
+    before, after = (T.nodes(pairs, s, "language", ["pair_id"]).cache() for s in ("before", "after"))
+    joined = review.node_status(mapping, ["pair_id"], "before").join(before.select("pair_id", "node_id", "kind"), ["pair_id", "node_id"]).groupBy("kind", "status").count()
+    assert sorted(map(tuple, conventions.status_counts(pairs, "before", "after", "language").collect())) == sorted(map(tuple, joined.collect()))
+    own = {r.pair_id: r.cost for r in mapping.groupBy("pair_id").agg(F.sum("cost").alias("cost")).collect()}
+    assert own == {r.pair_id: r.cost for r in T.mapping_cost(mapping, before, after, ["pair_id"]).collect()}
+
+
 def test_previous_rows(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice(["hot"] * 6 + ["a", None]), rng.choice(["x", None]), rng.randrange(20)) for i in range(500)]
