@@ -57,3 +57,12 @@ def test_table(spark):
     assert {r.raw_id: r.reason for r in B.bad_rows(out).collect()} == {5: "no_text", 7: "too_few_fields"}
     assert out.filter("raw_id = 1").select("raw_path", "path", "elapsed_ms").first() == ("x", "a/b.go", 1.5)
     assert B.load_records(df.limit(0)).count() == 0
+
+
+def test_another_layout(spark):
+    layout = B.Layout(B.Field("id", "whole", needed_if=("kind", "row")), B.Field("kind", one_of=("row", "note")), B.Field("price", "decimal"), B.Field("text", not_empty=True, pattern="[A-Z].*"))
+    lines = ["1,row,2.5,Good", ",note,,Also", ",row,1,Good", "x,note,,Good", "1,other,,Good", "1,row,1.,Good", "1,row,1,bad", "1,row,1,", "1,row,1", 'id,kind,price,text', '2,row,,"A ""b"", c"']
+    df = spark.createDataFrame(list(enumerate(lines)), "n int, raw_line string")
+    out = B.load_records(df, layout=layout).cache()
+    assert {r.n: (r.id, r.kind, r.price, r.text) for r in B.good_rows(out).collect()} == {0: (1, "row", 2.5, "Good"), 1: (None, "note", None, "Also"), 10: (2, "row", None, 'A "b", c')}
+    assert {r.n: r.reason for r in B.bad_rows(out, layout).collect()} == {2: "missing_id", 3: "bad_id", 4: "bad_kind", 5: "bad_price", 6: "bad_text", 7: "empty_text", 8: "too_few_fields"}
