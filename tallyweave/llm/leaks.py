@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,12 @@ WINDOW = 12
 #: A window of a section within the limits has at most this many edits somewhere in it (pigeonhole).
 WINDOW_EDITS = 2
 EMBEDDINGS, TABLES, PLACES = 4, 32, 8
-#: Item words per broadcast block.
-BLOCK_WORDS = 100_000
+#: Item words per broadcast block, and blocks that one pass over the documents holds: about 60 MB each in a task.
+BLOCK_WORDS, PASS_BLOCKS = 100_000, 4
 #: Windows embedded at once in a task.
 BATCH_WINDOWS = 100_000
+#: Characters of documents that a task splits into words at once.
+BATCH_CHARS = 4_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _BITMAP = 22
@@ -234,10 +237,14 @@ def repeats(item: np.ndarray, doc: np.ndarray) -> bool:
 
 def leaks_in(index: Index, texts: list[str | None]) -> list[tuple[int, int]]:
     """(number of the text, number of the item) of every leak that the index finds."""
+    return leaks_of_words(index, [words_of(t) for t in texts])
+
+
+def leaks_of_words(index: Index, texts: list[list[str]]) -> list[tuple[int, int]]:
     lists: list[np.ndarray] = []
     get, other = index.vocabulary.get, index.other
-    for t in texts:
-        lists.append(np.array([get(w, other) for w in words_of(t)], np.int32))
+    for words in texts:
+        lists.append(np.array([get(w, other) for w in words], np.int32))
     out: list[tuple[int, int]] = []
     batch: list[int] = []
     size = 0
@@ -289,11 +296,11 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
     A document repeats an item if it has RUN consecutive words of it, or SECTION of them with one
     word in six replaced, left out or added at most. Words are runs of letters and digits without
-    case. Null and short texts repeat nothing; no items give an empty result; items of one id are
-    one item; equal documents
-    have a row each, as have all items of a shared passage. Only where an item is longer than
-    BLOCK_WORDS, a document id that is repeated has one row. The driver holds one block of items
-    at a time; every block is one pass over the documents. Other columns aren't read.
+    case. Null and short texts repeat nothing; no items give an empty result; items of one id in
+    one block are one item; equal documents have a row each, as have all items of a shared passage.
+    Only where an item is longer than BLOCK_WORDS, a document id that is repeated has one row. The
+    driver reads the items one by one; PASS_BLOCKS blocks are one pass over the documents. Other
+    columns aren't read.
     """
     held = items.select(F.col(item_id), F.col(item_text)).filter(F.col(item_text).isNotNull() & F.col(item_id).isNotNull())
     kinds = dict(docs.dtypes) | {"": dict(items.dtypes)[item_id]}
@@ -302,17 +309,26 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     source = spread(docs.select(doc_id, text))
     out: DataFrame | None = None
     spans = False  # whether an item lies in several blocks
-    for block, spans in item_blocks(held.toLocalIterator()):
-        sent = spark.sparkContext.broadcast(Index(block))
+    blocks = item_blocks(held.toLocalIterator())
+    while True:
+        taken = list(islice(blocks, PASS_BLOCKS))
+        if not taken:
+            break
+        spans = taken[-1][1]
+        sent = [spark.sparkContext.broadcast(Index(block)) for block, _ in taken]
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
             for batch in batches:
-                # parts of one item count once
-                pairs = list(dict.fromkeys((k, index.ids[i]) for k, i in leaks_in(index, batch.column(1).to_pylist())))
-                if pairs:
-                    rows, ids = zip(*pairs, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(0).take(pa.array(rows, pa.int64()))], names=[item_id, doc_id])
+                texts = batch.column(1).to_pylist()
+                sizes = np.cumsum([len(t) if t else 0 for t in texts])
+                for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes // BATCH_CHARS)) + 1):
+                    words = [words_of(texts[k]) for k in part.tolist()]
+                    for index in (s.value for s in sent):
+                        # parts of one item count once
+                        pairs = list(dict.fromkeys((k, index.ids[i]) for k, i in leaks_of_words(index, words)))
+                        if pairs:
+                            rows, ids = zip(*pairs, strict=True)
+                            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(0).take(pa.array(part[list(rows)], pa.int64()))], names=[item_id, doc_id])
 
         part = source.mapInArrow(work, schema)
         out = part if out is None else out.unionByName(part)

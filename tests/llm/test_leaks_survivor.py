@@ -92,6 +92,9 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     held = spark.createDataFrame(items, "item_id bigint, text string")
     whole = {tuple(r) for r in L.leaks(docs, held).collect()}
     monkeypatch.setattr(L, "BLOCK_WORDS", 50)
+    monkeypatch.setattr(L, "BATCH_CHARS", 100)
+    assert {tuple(r) for r in L.leaks(docs, held).collect()} == whole
+    monkeypatch.setattr(L, "PASS_BLOCKS", 2)
     assert {tuple(r) for r in L.leaks(docs, held).collect()} == whole == {(i, i) for i, _ in items}
 
 
