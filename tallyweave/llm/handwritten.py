@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from ..session import cut_lineage, spread
+from ..session import BROADCAST_ROWS, cut_lineage, spread
 from .syntax import EXTENSIONS, known_language
 
 #: What a language that isn't one of the bundled ones is called.
@@ -39,6 +39,8 @@ MANGLED_BITS, PACKED_BITS, LEAST_NAMES = 2.0, 1.0, 20
 BLANKS, SHORT_SHARE = 0.13, 0.4
 #: What a task remembers of names and lines, in entries; beyond that it starts anew.
 MOST_KNOWN = 200_000
+#: Files that share a triple up to which they meet in one task.
+HOT_FILES = 100_000
 #: A copy: the share of name triples that another project is the home of, and the least number of triples.
 FOREIGN_SHARE, LEAST_TRIPLES = 0.5, 3
 
@@ -360,13 +362,22 @@ def judged_files(
     names = keyed.filter("not _mangled").select("_key", "_repository", "_named", F.explode("_triples").alias("_t")).withColumn("_repository", F.coalesce("_repository", F.lit("")))
     # Per triple and repository first, so that a triple of a third of all files is few rows.
     held = names.groupBy("_t", "_repository").agg(F.max("_named").alias("_named"), F.count(F.lit(1)).alias("_n"))
-    home = held.groupBy("_t").agg(F.max(F.struct("_named", "_n", "_repository"))["_repository"].alias("_home"), F.count(F.lit(1)).alias("_repos")).filter("_repos > 1")
+    home = held.groupBy("_t").agg(F.max(F.struct("_named", "_n", "_repository"))["_repository"].alias("_home"), F.count(F.lit(1)).alias("_repos"), F.sum("_n").alias("_files")).filter("_repos > 1")
     # Who says where a triple comes from says it for all its holders.
     told = keyed.filter("size(_origins) > 0").select(F.explode("_triples").alias("_t"), "_origins").select("_t", F.explode("_origins").alias("_o")).groupBy("_t").agg(F.collect_set("_o").alias("_told"))
     own = F.regexp_replace(F.lower("_repository"), "[^a-z0-9]", "")
     elsewhere = F.when(F.col("_told").isNotNull(), ~F.exists("_told", lambda x: F.contains(own, x))).otherwise(F.col("_home") != F.col("_repository"))
+    facts, on = cut_lineage(home.join(told, "_t", "full")), ["_t"]
+    # A triple of very many files is in several parts, to each of which what is known of it goes.
+    hot = facts.filter(F.col("_files") > HOT_FILES).select("_t", F.ceil(F.col("_files") / HOT_FILES).cast("int").alias("_parts"))
+    n_hot = hot.count()
+    if n_hot:
+        hot, on = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, ["_t", "_part"]
+        parts = F.coalesce("_parts", F.lit(1))
+        names = names.join(hot, "_t", "left").withColumn("_part", F.pmod(F.xxhash64("_key"), parts).cast("int")).drop("_parts")
+        facts = facts.join(hot, "_t", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     foreign = (
-        names.join(home.join(told, "_t", "full"), "_t")
+        names.join(facts, on)
         .groupBy("_key")
         .agg(F.count_if(elsewhere).alias("_foreign"), F.count(F.lit(1)).alias("_shared"))
         .filter(F.col("_foreign") >= LEAST_TRIPLES)

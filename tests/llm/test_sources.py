@@ -172,6 +172,21 @@ def test_copies_and_homes(spark):
     assert H.judged_files(df.limit(0)).count() == 0
 
 
+def test_doubled_rows_and_hot_triples_change_nothing(spark, monkeypatch):
+    """A file of which a part is another project's: given once, twice, and with its triples in several parts."""
+    lib = HAND.replace("table", "atlas")
+    own = HAND.replace("_", "_own_") + HAND.replace("_", "_mine_")
+    rows = [(1, "lib-lib", "lib.py", lib), (2, "other", "a.py", own + lib), (3, "other", "b.py", "x_value = 1\n" + lib)]
+    schema = "file_id bigint, repository string, path string, language string, content string"
+    once = spark.createDataFrame([(i, r, p, "Python", c) for i, r, p, c in rows], schema)
+    want = {1: None, 2: None, 3: "copied"}
+    assert {r.file_id: r.reason for r in H.judged_files(once).collect()} == want
+    twice = once.unionAll(once)
+    assert sorted((r.file_id, r.reason or "") for r in H.judged_files(twice).collect()) == sorted((i, w or "") for i, w in want.items() for _ in range(2))
+    monkeypatch.setattr(H, "HOT_FILES", 1)
+    assert {r.file_id: r.reason for r in H.judged_files(twice).collect()} == want
+
+
 def test_a_copier_is_no_home_because_it_sorts_last(spark):
     """One copy names its project, whose own repository isn't there: then no holder is at home."""
     lib, own = HAND.replace("table", "atlas"), HAND.replace("_", "_own_")
