@@ -12,7 +12,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,21 +71,19 @@ _PROJECT = re.compile(
 )
 
 
-def symbol(c: str) -> int:
-    o = ord(c)
-    if 97 <= o <= 122:
-        return o - 96
-    if 65 <= o <= 90:
-        return o - 64
-    if 48 <= o <= 57:
-        return 27 + o - 48
-    return 37 if c == "_" else 38
+#: Symbols of bytes: letters of either case, digits, `_`, and one for all others; 0 is the beginning and end of a name.
+_SYMBOL = bytes(0 if o == 0 else o - 96 if 97 <= o <= 122 else o - 64 if 65 <= o <= 90 else 27 + o - 48 if 48 <= o <= 57 else 37 if o == 95 else 38 for o in range(256))
 
 
-def codes(name: str) -> list[int]:
-    """The n-grams of a name, each as one number; 0 is its beginning and end."""
-    line = [0, 0, *map(symbol, name), 0]
-    return [(line[i] * SYMBOLS + line[i + 1]) * SYMBOLS + line[i + 2] for i in range(len(line) - 2)]
+def codes(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of all names, one after the other, each as one number, and how many every name has."""
+    sizes = np.fromiter(map(len, names), np.int64, len(names)) + 1
+    line = np.frombuffer("".join([f"\0\0{x}\0" for x in names]).encode("latin-1", "replace").translate(_SYMBOL), np.uint8).astype(np.int32)
+    grams = (line[:-2] * SYMBOLS + line[1:-1]) * SYMBOLS + line[2:]
+    ends = np.cumsum(sizes + 2)[:-1]
+    inside = np.ones(len(grams), bool)
+    inside[ends - 1] = inside[ends - 2] = False  # from one name into the next
+    return grams[inside], sizes
 
 
 def head_of(text: str) -> str:
@@ -238,8 +235,10 @@ def train(df: DataFrame, language: str, content: str) -> dict[str, np.ndarray]:
                 if text and name is not None and len(text) - sum(map(len, text.split())) > BLANKS * len(text):
                     seen.setdefault(name, Counter()).update(set(names_of(text)))
             for name, names in seen.items():
-                grams = [codes(x) for x in names]
-                tally = np.bincount(np.fromiter(chain.from_iterable(grams), np.int64), np.repeat(np.fromiter(names.values(), np.float64), [len(g) for g in grams]), SYMBOLS**ORDER)
+                if not names:
+                    continue
+                grams, sizes = codes(list(names))
+                tally = np.bincount(grams, np.repeat(np.fromiter(names.values(), np.float64), sizes), SYMBOLS**ORDER)
                 k = np.flatnonzero(tally)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(tally[k].astype(np.int64))], names=["l", "k", "n"])
 
@@ -269,9 +268,8 @@ class Bits:
             self.known.clear()
         new = [x for x in names if x not in self.known]
         if new:
-            grams = [codes(x) for x in new]
-            sizes = np.fromiter(map(len, grams), np.int64, len(grams))
-            sums = np.add.reduceat(self.model[np.fromiter(chain.from_iterable(grams), np.int64)], np.cumsum(sizes) - sizes)
+            grams, sizes = codes(new)
+            sums = np.add.reduceat(self.model[grams], np.cumsum(sizes) - sizes)
             self.known.update(zip(new, (a * self.HALF + n for a, n in zip(sums.tolist(), sizes.tolist(), strict=True)), strict=True))
         bits, n = divmod(sum(map(self.known.__getitem__, names)), self.HALF)
         return bits / self.PARTS / max(1, n)
