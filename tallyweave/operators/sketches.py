@@ -58,4 +58,6 @@ def near_classes(rows: DataFrame, id_: str, sketch: str, least: float, size: int
     pairs = shelf.alias("l").join(shelf.alias("r"), "_h").filter("l._c < r._c").select(F.col("l._c").alias("left_class"), F.col("r._c").alias("right_class")).distinct()
     with_left = pairs.join(classes.select(F.col("_c").alias("left_class"), F.col("_s").alias("_a")), "left_class")
     both = with_left.join(classes.select(F.col("_c").alias("right_class"), F.col("_s").alias("_b")), "right_class")
+    # What the two share bounds the estimate, and is cheaper to count.
+    both = both.filter(F.size(F.array_intersect("_a", "_b")) >= F.ceil(F.greatest(F.size("_a"), F.size("_b")) * F.lit(least) - 1e-9))
     return both.select("left_class", "right_class", similarity(F.col("_a"), F.col("_b"), size).alias("similarity")).filter(F.col("similarity") >= least - 1e-12)
