@@ -33,6 +33,7 @@ def test_query(spark, sf, duck, name):
     rows = df.collect()
     assert df.columns
     sql = entry.oracle_sql().get(name)
+    assert rows or sql
     if sql:
         got = duck.execute(sql)
         names = [x[0] for x in got.description]
