@@ -294,5 +294,5 @@ u as (select l.c as left_class, r.c as right_class, list_sort(list_distinct(list
 e as (select left_class, right_class, len(list_intersect(u, list_intersect(a, b))) / len(u) as similarity from u) select * from e where similarity >= 0.7""")
 def near_documents(spark, d):
     """Classes of documents of one sketch whose estimated similarity is 0.7 or more; copies are one class."""
-    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", sketches.sketch_of(F.transform(text.word_set(F.col("text")), text.portable_hash)).alias("s"))
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", sketches.word_sketch(text.word_set(F.col("text"))).alias("s"))
     return sketches.near_classes(docs, "doc_id", "s", 0.7)

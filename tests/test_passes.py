@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyweave.functions import text
 from tallyweave.operators import conventions, pairing, reports, review, sketches
 from tallyweave.operators import treediff as D
 from tallyweave.operators import treedistance as E
@@ -221,6 +222,30 @@ def test_near_classes_against_all_pairs(spark):
         assert got == pytest.approx(want)
 
 
+def test_near_classes_write_no_candidates(spark):
+    rng = random.Random(4)
+    # Nearly every pair shares a rare hash; in every second sketch all hashes fall on one bit.
+    sets = [sorted(v * (64 if i % 2 else 1000003) for v in rng.sample(range(30), 16)) for i in range(500)]
+    df = spark.createDataFrame([(f"{i:04}", s) for i, s in enumerate(sets)], "id string, s array<bigint>")
+    found = sketches.near_classes(df, "id", "s", 0.6)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for i, a in enumerate(map(set, sets)):
+        for j in range(i + 1, len(sets)):
+            n = len(a.intersection(sets[j], sorted(a.union(sets[j]))[:16]))
+            if n >= 0.6 * 16 and sets[i] != sets[j]:
+                want[f"{i:04}", f"{j:04}"] = n / 16
+    got = [tuple(r) for r in found.collect()]
+    assert len(want) > 1000 and sorted(got) == sorted((*k, v) for k, v in want.items())
+
+
+def test_word_sketches(spark):
+    df = spark.createDataFrame([(" ".join(f"w{k * i}" for k in range(40)),) for i in range(5)] + [("",), (None,)], "t string")
+    words = text.word_set(F.col("t"))
+    rows = df.select(sketches.word_sketch(words).alias("a"), sketches.sketch_of(F.transform(words, text.portable_hash)).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and len(rows[1].a) == 16
+
+
 def test_verdicts_spans_caps_and_numbers(spark):
     ours = spark.createDataFrame([("a", "before", 1, "deleted"), ("a", "after", 2, "inserted")], "k string, side string, row int, v string")
     theirs = spark.createDataFrame([("a", "before", 1, "deleted"), ("a", "before", 3, "moved")], "k string, side string, row int, v string")
