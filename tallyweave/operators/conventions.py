@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 from .painting import MINIMAL, Options, paint
-from .treediff import PairDiff, diff_trees
+from .treediff import PairDiff, costs_without, diff_trees
 from .trees import Tree, parse, token_tree
 
 
@@ -112,7 +112,7 @@ def leaf_conventions(pairs: DataFrame, before: str, after: str, language: str) -
 
 
 def ablation_costs(pairs: DataFrame, before: str, after: str, language: str, names: list[str]) -> DataFrame:
-    """without, cost: the summed cost of all pairs with one pass left out (`none`: with all); every pair is parsed once."""
+    """without, cost: the summed cost of all pairs with one pass left out (`none`: with all); every pair is parsed once, and passes before the one left out run once."""
     wrong = [n for n in names if n != "none" and n not in PairDiff.PASSES]
     if wrong:
         raise ValueError(f"no such pass: {wrong}")
@@ -121,13 +121,8 @@ def ablation_costs(pairs: DataFrame, before: str, after: str, language: str, nam
         out: Counter = Counter({(n,): 0 for n in names})
         for b, a, lang in rows:
             left, right = parse(b, lang) or Tree().finish(), parse(a, lang) or Tree().finish()
-            for without in names:
-                d = PairDiff(left, right)
-                if len(left) and len(right):
-                    for name in PairDiff.PASSES:
-                        if name != without:
-                            getattr(d, name)()
-                out[(without,)] += sum(r[4] for r in d.rows())
+            for without, cost in costs_without(left, right, names).items():
+                out[(without,)] += cost
         return out
 
     return _counted(pairs, [before, after, language], "without string", "cost", tally)

@@ -57,6 +57,7 @@ class Tree:
         self.full = [0] * n
         self.shape = [0] * n
         parent, kind, text, size, full, shape = self.parent, self.kind, self.text, self.size, self.full, self.shape
+        self.statements = [i for i in range(1, n) if kind[i] == "statement"]
         for i in range(2, n):
             self.depth[i] = self.depth[parent[i]] + 1
         for i in range(n - 1, 0, -1):

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,6 +203,21 @@ def test_brackets_and_leaves(spark):
         conventions.ablation_costs(df, "b", "a", "language", ["nothing"])
 
 
+def test_ablations_share_what_is_before_the_pass_left_out(sf, monkeypatch):
+    files = duckdb.sql(f"select language, lag(content) over (partition by repository, language order by path nulls first, file_id) as b, content as a from '{sf}/file_contents.parquet'").fetchall()
+    pairs = [(T.parse(b, lang), T.parse(a, lang)) for lang, b, a in files[:60]] + [(T.token_tree(x), T.token_tree(y)) for x, y in [("f(a);\ng(b);\n", "g(b);\nf(a, c);\n"), ("", "x"), ("(", "")]]
+    names = ["none", "hash_descent", "unique_type", "residual", "moved_subtrees", "surviving_values", "mutual_ancestors", "wrap_growth"]
+    calls = []
+    descent = D.PairDiff.hash_descent
+    monkeypatch.setattr(D.PairDiff, "hash_descent", lambda d: calls.append(1) or descent(d))
+    for b, a in pairs:
+        left, right = b or T.Tree().finish(), a or T.Tree().finish()
+        want = {n: sum(r[4] for r in D.diff_trees(b, a, frozenset({n}))) for n in names}
+        calls.clear()
+        assert D.costs_without(left, right, names) == want
+        assert len(calls) <= 1
+
+
 def test_near_classes_against_all_pairs(spark):
     rng = random.Random(9)
     base = [sorted(rng.sample(range(60), 22)) for _ in range(25)]
